@@ -18,40 +18,54 @@ def with_chunk(df: DataFrame, order: str, width: int = CHUNK_ROWS) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
-def running_sums(
-    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], width: int = CHUNK_ROWS
+def running(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
+    width: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Running sums per key up to and including the row, computed chunk by chunk.
+    """Running sums and last non-null values per key up to and including the row.
 
     The first order column is the position in the key. One exchange moves the rows (by key and
-    chunk); chunk totals are one row per chunk.
+    chunk); what passes from chunk to chunk is one row per chunk.
     """
+    sums, lasts = sums or {}, lasts or {}
     df = with_chunk(df, order[0], width)
-    for name, expr in sums.items():
-        df = df.withColumn(f"_v_{name}", expr.cast("bigint"))
+    df = df.withColumns({f"_v_{n}": e.cast("bigint") for n, e in sums.items()})
+    df = df.withColumns({f"_v_{n}": e for n, e in lasts.items()})
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = df
-    for name in sums:
-        local = local.withColumn(name, F.sum(f"_v_{name}").over(inside))
-    totals = df.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumns(
+        {
+            **{n: F.sum(f"_v_{n}").over(inside) for n in sums},
+            **{n: F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in lasts},
+        }
     )
-    bases = totals.select(
+    position = F.struct(*order)
+    tails = df.groupBy(*keys, "_chunk").agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[
+            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_t_{n}")
+            for n in lasts
+        ],
+    )
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tails.select(
         *keys,
         "_chunk",
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in lasts],
     )
     out = local.join(bases, [*keys, "_chunk"], "left")
-    for name in sums:
-        out = out.withColumn(name, F.col(name) + F.col(f"_b_{name}"))
-    return out.drop(
-        "_chunk", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums]
-    )
+    out = out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums})
+    out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_b_{n}")) for n in lasts})
+    names = [*sums, *lasts]
+    return out.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_b_{n}" for n in names])
 
 
 def previous_value(

@@ -28,15 +28,16 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def load_all() -> None:
-    from mxposture.plans import (  # noqa: F401
-        certificate_queries,
-        detector_queries,
-        finding_queries,
+    # Later modules read adapter views of earlier ones.
+    from mxposture.plans import (  # noqa: F401, I001
         flow_queries,
+        finding_queries,
         handshake_queries,
-        report_queries,
-        rule_queries,
         session_queries,
-        stream_queries,
+        certificate_queries,
+        rule_queries,
+        detector_queries,
+        report_queries,
         text_queries,
+        stream_queries,
     )
