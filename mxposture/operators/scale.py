@@ -25,14 +25,16 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     width: int = CHUNK_ROWS,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Running sums and last non-null values per key up to and including the row.
 
-    The first order column is the position in the key. One exchange moves the rows (by key and
-    chunk); what passes from chunk to chunk is one row per chunk.
+    The first order column is the position in the key, unless ``chunk`` (any non-decreasing
+    function of the order) is given. One exchange moves the rows (by key and chunk); what passes
+    from chunk to chunk is one row per chunk.
     """
     sums, lasts = sums or {}, lasts or {}
-    df = with_chunk(df, order[0], width)
+    df = with_chunk(df, order[0], width) if chunk is None else df.withColumn("_chunk", chunk)
     df = df.withColumns({f"_v_{n}": e.cast("bigint") for n, e in sums.items()})
     df = df.withColumns({f"_v_{n}": e for n, e in lasts.items()})
     inside = (
