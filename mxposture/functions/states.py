@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from mxposture.constants import STATE_RANK, UNUSABLE_STATES
 
 
+def _sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def lookup(key: Column, table: Mapping, default=None) -> Column:
-    """Fixed table as a CASE chain: stays inside code generation, no map built per row."""
-    if not table:
-        return F.lit(default)
-    groups: dict = {}
-    for k, v in table.items():
-        groups.setdefault(v, []).append(k)
-    out = None
-    for value, keys in groups.items():
-        cond = key.isin(keys) if len(keys) > 1 else key == F.lit(keys[0])
-        out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
-    return out.otherwise(F.lit(default)) if default is not None else out
+    """Fixed table as one literal map: a constant in the plan, small generated code."""
+    entries = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in table.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def state_rank(state: Column) -> Column:

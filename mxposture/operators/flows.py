@@ -50,11 +50,12 @@ def byte_ranges(recon: DataFrame) -> DataFrame:
     )
 
 
-def fold_reconstruction(recon: DataFrame, order: list[str]) -> DataFrame:
+def fold_reconstruction(recon: DataFrame, order: Column) -> DataFrame:
     """One row per connection: counts, flags, range totals and the last inconsistency length.
 
     Every aggregate merges map-side, so a connection with very many events moves one partial row
-    per input partition.
+    per input partition. ``order`` is a single BIGINT position: with fixed-width buffers only, the
+    aggregation stays hash-based.
     """
     explicit = F.col("range_start") if "range_start" in recon.columns else F.lit(None).cast("bigint")
     end = F.col("range_end") if "range_end" in recon.columns else F.lit(None).cast("bigint")
@@ -83,9 +84,9 @@ def fold_reconstruction(recon: DataFrame, order: list[str]) -> DataFrame:
         F.coalesce(F.max(kind == "out_of_order"), F.lit(False)).alias("out_of_order"),
         F.coalesce(F.max(kind == "duplicate"), F.lit(False)).alias("duplicate"),
         F.coalesce(F.max(kind == "rexmit_inconsistency"), F.lit(False)).alias("inconsistent"),
-        F.max(
-            F.when(kind == "rexmit_inconsistency", F.struct(*order, F.col("len").alias("last_len")))
-        )["last_len"].alias("last_conflict_len"),
+        F.max_by(
+            F.col("len").cast("bigint"), F.when(kind == "rexmit_inconsistency", order.cast("bigint"))
+        ).alias("last_conflict_len"),
     )
 
 
@@ -235,7 +236,7 @@ def conflicting_ranges(recon: DataFrame, flows: DataFrame) -> DataFrame:
 def build_flows(
     conn: DataFrame,
     recon: DataFrame,
-    order: list[str],
+    order: Column,
     captures: DataFrame | None = None,
     key: str = "capture_no",
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mxposture.functions import coerce
@@ -10,7 +10,12 @@ from mxposture.operators import flows as ops
 from mxposture.plans.adapters import VIEWS, table, view
 from mxposture.plans.registry import query
 
-RECON_ORDER = ["line", "seq"]
+
+
+def recon_order() -> Column:
+    """Position of an event in its connection as one number: line, then sequence, then length."""
+    return (F.col("line") * 100_000_000 + F.col("seq")) * 1000 + F.col("len")
+
 
 # Capture-wide facts: every fifth capture was cut by its snap length, capture 7 lost packets.
 VIEWS["x_capture"] = """
@@ -74,7 +79,7 @@ def built_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.build_flows(
         view(spark, sf_dir, "x_conn"),
         view(spark, sf_dir, "x_recon"),
-        RECON_ORDER,
+        recon_order(),
         view(spark, sf_dir, "x_capture"),
     )
 
@@ -87,7 +92,7 @@ def built_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(last_conflict_len, -1) AS last_conflict_len FROM ({_FOLD})""",
 )
 def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = ops.fold_reconstruction(view(spark, sf_dir, "x_recon"), RECON_ORDER)
+    folded = ops.fold_reconstruction(view(spark, sf_dir, "x_recon"), recon_order())
     return folded.select(
         "uid",
         "gap_count",
