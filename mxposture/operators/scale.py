@@ -98,10 +98,10 @@ def previous_value(
 def cumulative_share(
     df: DataFrame, group: list[str], value: str, bucket: Column, name: str
 ) -> DataFrame:
-    """``100 * count(x <= value) / n`` in each group, the group never in one task.
+    """(group, value, share): ``100 * count(x <= value) / n``, the group never in one task.
 
     Equal values collapse map-side first; ``bucket`` is any non-decreasing function of the value
-    that cuts a group into a bounded number of pieces.
+    that cuts a group into a bounded number of pieces. Join the result back on group and value.
     """
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bk", bucket)
     buckets = counts.groupBy(*group, "_bk").agg(F.sum("_n").alias("_bn"))
@@ -114,16 +114,12 @@ def cumulative_share(
         F.sum("_bn").over(whole).alias("_total"),
     )
     inside = Window.partitionBy(*group, "_bk").orderBy(value)
-    ranked = (
+    share = F.lit(100.0) * (F.col("_base") + F.col("_in")) / F.col("_total")
+    return (
         counts.withColumn("_in", F.sum("_n").over(inside))
         .join(bases, [*group, "_bk"])
-        .select(
-            *group,
-            value,
-            (F.lit(100.0) * (F.col("_base") + F.col("_in")) / F.col("_total")).alias(name),
-        )
+        .select(*group, value, share.alias(name))
     )
-    return df.join(ranked, [*group, value], "left")
 
 
 def exact_quantiles(
