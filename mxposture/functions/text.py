@@ -29,20 +29,13 @@ def _escapable() -> list[int]:
 
 
 def _escape_with(value: Column, render) -> Column:
-    """Replace each code point by its rendering; rows without any skip the whole chain."""
+    """Replace each code point by its rendering: one native byte search per code point, and none
+    at all for rows without any of them."""
     pattern = "[" + "".join(f"\\x{{{cp:04X}}}" for cp in _escapable()) + "]"
-    pieces = F.transform(
-        F.split(value, "", -1), lambda c: F.coalesce(_render_case(c, render), c)
-    )
-    return F.when(value.rlike(pattern), F.array_join(pieces, "")).otherwise(value)
-
-
-def _render_case(char: Column, render) -> Column:
-    out = None
+    shown = value
     for cp in _escapable():
-        cond = char == F.lit(chr(cp))
-        out = F.when(cond, F.lit(render(cp))) if out is None else out.when(cond, F.lit(render(cp)))
-    return out
+        shown = F.replace(shown, F.lit(chr(cp)), F.lit(render(cp)))
+    return F.when(value.rlike(pattern), shown).otherwise(value)
 
 
 def report_text(value: Column) -> Column:

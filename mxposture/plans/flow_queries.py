@@ -59,7 +59,7 @@ SELECT *,
       ELSE 'incomplete' END AS quality,
  CASE WHEN (proto = 'tcp' AND reason = 'snaplen_truncation') OR reason IN ('midstream_start', 'segment_gap')
       THEN CASE WHEN missed_bytes > 0 THEN missed_bytes ELSE gap_total END ELSE 0 END AS gap_bytes
-FROM (SELECT c.*, r.* EXCLUDE (uid, gap_total), coalesce(gap_total, 0) AS gap_total,
+FROM (SELECT c.*, truncated, r.* EXCLUDE (uid, gap_total), coalesce(gap_total, 0) AS gap_total,
   CASE WHEN proto <> 'tcp' THEN CASE WHEN truncated THEN 'snaplen_truncation' ELSE '' END
        WHEN coalesce(inconsistent, false) THEN 'overlapping_retransmission_conflict'
        WHEN truncated THEN 'snaplen_truncation'
