@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mxposture.constants import DRIFT_DELTA, DRIFT_LAMBDA
 from mxposture.operators.sessions import CREDENTIAL_COMMANDS, HARMLESS_COMMANDS, UPGRADE_VERB
 
+_DRIFT = Row("endpoint_id", "day_index", "drift")
+_OUTCOME = Row("uid", "protocol", "state")
+
 
 def daily_windows(events: DataFrame, rates: dict[str, str], late: str = "1 day") -> DataFrame:
     """Tumbling one-day windows per endpoint; rows later than ``late`` are left out.
@@ -38,17 +40,14 @@ class DriftProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("drift", "mean double, total double, n bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mean, total, n = self._state.get() if self._state.exists() else (0.0, 0.0, 0)
-        pdf = pd.concat(list(rows)).sort_values("day_index")
-        out = []
-        for r in pdf.itertuples(index=False):
+        for r in sorted(rows, key=lambda r: r.day_index):
             n += 1
             mean += (r.value - mean) / n
             total = max(0.0, total + r.value - mean - DRIFT_DELTA)
-            out.append((key[0], int(r.day_index), total / DRIFT_LAMBDA))
+            yield _DRIFT(key[0], int(r.day_index), total / DRIFT_LAMBDA)
         self._state.update((float(mean), float(total), int(n)))
-        yield pd.DataFrame(out, columns=["endpoint_id", "day_index", "drift"])
 
     def close(self) -> None:
         pass
@@ -56,7 +55,7 @@ class DriftProcessor(StatefulProcessor):
 
 def drift_stream(values: DataFrame) -> DataFrame:
     """``values``: endpoint_id, day_index, value."""
-    return values.groupBy("endpoint_id").transformWithStateInPandas(
+    return values.groupBy("endpoint_id").transformWithState(
         statefulProcessor=DriftProcessor(),
         outputStructType="endpoint_id string, day_index bigint, drift double",
         outputMode="Append",
@@ -99,7 +98,7 @@ class UpgradeProcessor(StatefulProcessor):
         if e.kind == "request" and command == verb:
             s.update(requested=True, waiting=True, tag=e.tag)
         elif s["waiting"] and e.kind == "reply":
-            code = e.reply_code if e.reply_code == e.reply_code else None
+            code = e.reply_code
             good = {
                 "smtp": code is not None and 200 <= code < 300,
                 "imap": text == "OK" or text.startswith("OK "),
@@ -117,24 +116,23 @@ class UpgradeProcessor(StatefulProcessor):
             if harmful and s["accepted"] and not s["hello"]:
                 s["violation"] = True
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = [f.split()[0] for f in self.FIELDS.split(", ")]
         blank = dict.fromkeys(names, False) | {"protocol": None, "tag": None}
         s = dict(zip(names, self._state.get(), strict=True)) if self._state.exists() else blank
-        pdf = pd.concat(list(rows)).sort_values("ord")
-        out = []
-        for e in pdf.itertuples(index=False):
+        ended = False
+        for e in sorted(rows, key=lambda r: r.ord):
             s["protocol"] = s["protocol"] or e.protocol
             s["hello"] = bool(s["hello"] or e.client_hello)
             if e.kind == "end":
-                out.append((key[0], s["protocol"], self.outcome(s)))
+                ended = True
+                yield _OUTCOME(key[0], s["protocol"], self.outcome(s))
             else:
                 self.advance(s, e)
-        if out:
+        if ended:
             self._state.clear()
         else:
             self._state.update(tuple(s[n] for n in names))
-        yield pd.DataFrame(out, columns=["uid", "protocol", "state"])
 
     def close(self) -> None:
         pass
@@ -142,7 +140,7 @@ class UpgradeProcessor(StatefulProcessor):
 
 def upgrade_stream(events: DataFrame) -> DataFrame:
     """``events``: uid, ord, protocol, kind (or ``end``), command, reply_code, text, tag, client_hello."""
-    return events.groupBy("uid").transformWithStateInPandas(
+    return events.groupBy("uid").transformWithState(
         statefulProcessor=UpgradeProcessor(),
         outputStructType="uid string, protocol string, state string",
         outputMode="Append",

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +27,7 @@ SIGNATURES = {
 }
 GREETING = r"^[\x20-\x7e]{3,80}\r\n"
 OUTPUT_SCHEMA = "uid string, ord bigint, protocol string, kind string, text string"
+_EVENT = Row("uid", "ord", "protocol", "kind", "text")
 
 
 def identify_payload(payloads: DataFrame) -> DataFrame:
@@ -93,42 +93,41 @@ class ProtocolProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._flags = handle.getValueState("flags", "confirmed boolean, greeted boolean, listing boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         confirmed, greeted, listing = (
             self._flags.get() if self._flags.exists() else (False, False, False)
         )
-        pdf = pd.concat(list(rows)).sort_values("ord")  # one connection of one micro-batch
-        out, ended = [], False
-        for e in pdf.itertuples(index=False):
+        ended = False
+        # One connection of one micro-batch; the trigger bounds it.
+        for e in sorted(rows, key=lambda r: r.ord):
             if e.kind == "greeting":
                 greeted = True
             elif e.kind == "end":
                 ended = True
                 if greeted and not confirmed:
-                    out.append((key[0], e.ord, "unknown", "ambiguous_banner", None))
+                    yield _EVENT(key[0], e.ord, "unknown", "ambiguous_banner", None)
             elif e.kind == "data":
                 if e.text == ".":
                     listing = False
                 elif listing and e.text:
-                    out.append((key[0], e.ord, e.protocol, "capability", e.text))
                     confirmed = True
+                    yield _EVENT(key[0], e.ord, e.protocol, "capability", e.text)
             else:
                 if e.kind == "request" and e.protocol == "pop3":
                     listing = (e.command or "").upper() == "CAPA"
-                out.append((key[0], e.ord, e.protocol, e.kind, e.text))
                 confirmed = True
+                yield _EVENT(key[0], e.ord, e.protocol, e.kind, e.text)
         if ended:
             self._flags.clear()
         else:
             self._flags.update((confirmed, greeted, listing))
-        yield pd.DataFrame(out, columns=["uid", "ord", "protocol", "kind", "text"])
 
     def close(self) -> None:
         pass
 
 
 def protocol_stream(raw: DataFrame) -> DataFrame:
-    return raw.groupBy("uid").transformWithStateInPandas(
+    return raw.groupBy("uid").transformWithState(
         statefulProcessor=ProtocolProcessor(),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",

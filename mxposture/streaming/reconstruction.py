@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,8 @@ COLUMNS = [
     "range_end",
 ]
 
+_EVENT = Row(*COLUMNS)
+
 
 def step(state: tuple, flags: str, seq: int, size: int) -> tuple[tuple, tuple | None]:
     """State after one packet, and the (event, length) it causes.
@@ -116,25 +118,21 @@ class ReconstructionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("tcp", STATE_SCHEMA)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = tuple(self._state.get()) if self._state.exists() else (None, None, False)
-        pdf = pd.concat(list(rows)).sort_values("ord")  # one direction of one micro-batch
-        out = []
-        for p in pdf.itertuples(index=False):
+        # One direction of one micro-batch; the trigger bounds it.
+        for p in sorted(rows, key=lambda r: r.ord):
             state, event = step(state, p.flags or "", int(p.seq), int(p.len))
             if event:
-                out.append(_row(key[0], key[1], p.ord, int(p.seq), event))
+                yield _EVENT(*_row(key[0], key[1], p.ord, int(p.seq), event))
         self._state.update(state)
-        yield pd.DataFrame(out, columns=COLUMNS).astype(
-            {c: "Int64" for c in ("ord", "seq", "len", "range_start", "range_end")}
-        )
 
     def close(self) -> None:
         pass
 
 
 def reconstruct_stream(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("uid", "is_orig").transformWithStateInPandas(
+    return packets.groupBy("uid", "is_orig").transformWithState(
         statefulProcessor=ReconstructionProcessor(),
         outputStructType=EVENT_SCHEMA,
         outputMode="Append",
