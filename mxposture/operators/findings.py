@@ -64,13 +64,16 @@ def session_uid(references: Column) -> Column:
     )
 
 
-def cluster_facts(findings: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """One row per code, endpoint, profile and pack, without the cluster id.
+def cluster_facts(
+    findings: DataFrame, carry: list[str] | None = None, by: list[str] | None = None
+) -> DataFrame:
+    """One row per code, endpoint, profile and pack (and ``by`` columns), without the cluster id.
 
     Two map-side-combined steps: first by (cluster, occurrence), which spreads a hot cluster over
     its occurrences, then by cluster.
     """
     carry = carry or []
+    keys = [*(by or []), *CLUSTER_KEYS]
     neg = F.col("outcome") == "negative"
     sev, basis = lookup(F.col("severity"), SEVERITY_RANK), state_rank(F.col("basis_state"))
     parts = findings.withColumn(
@@ -105,7 +108,7 @@ def cluster_facts(findings: DataFrame, carry: list[str] | None = None) -> DataFr
     if "policy_evaluation_time" in has:
         first.append(F.max("policy_evaluation_time").alias("_time"))
         second.append(F.max("_time").alias("policy_evaluation_time"))
-    grouped = parts.groupBy(*CLUSTER_KEYS, "_occ").agg(*first).groupBy(*CLUSTER_KEYS).agg(*second)
+    grouped = parts.groupBy(*keys, "_occ").agg(*first).groupBy(*keys).agg(*second)
     chosen = F.when(F.col("_neg"), F.col("_text_neg")).otherwise(F.col("_text_all"))
     return (
         grouped.withColumn("outcome", F.when(F.col("_neg"), "negative").otherwise("indeterminate"))
@@ -129,16 +132,20 @@ def cluster_facts(findings: DataFrame, carry: list[str] | None = None) -> DataFr
 
 
 def cluster_ids(
-    findings: DataFrame, clusters: DataFrame, exact_members: int = EXACT_MEMBERS
+    findings: DataFrame,
+    clusters: DataFrame,
+    exact_members: int = EXACT_MEMBERS,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """``clusters`` with ``finding_id``: SHA-256 over the cluster key and its member ids."""
-    keys = clusters.select(*CLUSTER_KEYS, "recurrence_count")
-    ids = findings.select(*CLUSTER_KEYS, "finding_id")
-    small = keys.where(F.col("recurrence_count") <= exact_members).select(*CLUSTER_KEYS)
-    large = keys.where(F.col("recurrence_count") > exact_members).select(*CLUSTER_KEYS)
+    keys = [*(by or []), *CLUSTER_KEYS]
+    sizes = clusters.select(*keys, "recurrence_count")
+    ids = findings.select(*keys, "finding_id")
+    small = sizes.where(F.col("recurrence_count") <= exact_members).select(*keys)
+    large = sizes.where(F.col("recurrence_count") > exact_members).select(*keys)
     exact = (
-        ids.join(small, CLUSTER_KEYS, "left_semi")
-        .groupBy(*CLUSTER_KEYS)
+        ids.join(small, keys, "left_semi")
+        .groupBy(*keys)
         .agg(F.array_join(F.sort_array(F.collect_list("finding_id")), "|").alias("_members"))
     )
     word = [
@@ -146,8 +153,8 @@ def cluster_ids(
         for i in range(4)
     ]
     multiset = (
-        ids.join(large, CLUSTER_KEYS, "left_semi")
-        .groupBy(*CLUSTER_KEYS)
+        ids.join(large, keys, "left_semi")
+        .groupBy(*keys)
         .agg(
             F.concat_ws(
                 "|", F.count(F.lit(1)).cast("string"), *[F.sum(w).cast("string") for w in word]
@@ -159,14 +166,17 @@ def cluster_ids(
     )
     digest = F.sha2(F.concat_ws("|", F.col("_form"), *CLUSTER_KEYS, F.col("_members")), 256)
     return (
-        clusters.join(members, CLUSTER_KEYS).withColumn("finding_id", digest).drop("_form", "_members")
+        clusters.join(members, keys).withColumn("finding_id", digest).drop("_form", "_members")
     )
 
 
 def cluster_findings(
-    findings: DataFrame, carry: list[str] | None = None, exact_members: int = EXACT_MEMBERS
+    findings: DataFrame,
+    carry: list[str] | None = None,
+    exact_members: int = EXACT_MEMBERS,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    return cluster_ids(findings, cluster_facts(findings, carry), exact_members)
+    return cluster_ids(findings, cluster_facts(findings, carry, by), exact_members, by)
 
 
 def cluster_members(findings: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -195,13 +205,16 @@ def merged_references(references: DataFrame, keys: list[str], limit: int = MERGE
     )
 
 
-def with_assets(clusters: DataFrame, assets: DataFrame | None) -> DataFrame:
+def with_assets(
+    clusters: DataFrame, assets: DataFrame | None, by: list[str] | None = None
+) -> DataFrame:
     """Exposure, criticality and blast radius by endpoint; unknown where the inventory is silent."""
     cols = ["exposure", "asset_criticality", "blast_radius"]
     if assets is None:
         return clusters.withColumns({c: F.lit("unknown") for c in cols})
-    inventory = assets.select(F.col("endpoint").alias("affected_endpoint"), *cols)
-    joined = clusters.join(inventory, "affected_endpoint", "left")
+    keys = [*(by or []), "affected_endpoint"]
+    inventory = assets.select(*(by or []), F.col("endpoint").alias("affected_endpoint"), *cols)
+    joined = clusters.join(inventory, keys, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in cols})
 
 
@@ -224,10 +237,13 @@ def score(clusters: DataFrame) -> DataFrame:
 
 
 def prioritised_findings(
-    findings: DataFrame, assets: DataFrame | None = None, carry: list[str] | None = None
+    findings: DataFrame,
+    assets: DataFrame | None = None,
+    carry: list[str] | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Clusters with their score, unordered; see :func:`priority_order`."""
-    return score(with_assets(cluster_findings(findings, carry), assets))
+    return score(with_assets(cluster_findings(findings, carry, by=by), assets, by))
 
 
 def priority_order() -> list[Column]:

@@ -90,8 +90,10 @@ def observed_commands(events: DataFrame, words: list[str]) -> DataFrame:
 
 
 def handshake_struct(handshakes: DataFrame) -> DataFrame:
+    """Handshake records; an ``ord`` column, when present, decides which is the first of a uid."""
     return handshakes.select(
         "uid",
+        *(["ord"] if "ord" in handshakes.columns else []),
         F.struct(
             "uid",
             "established",
@@ -165,7 +167,7 @@ def contexts(
     first_handshake = handshakes.groupBy("uid").agg(
         F.min_by(
             F.struct("handshake", "_secrecy"),
-            F.struct(F.coalesce(F.col("ord"), F.lit(0)) if "ord" in handshakes.columns else F.lit(0)),
+            F.col("ord") if "ord" in handshakes.columns else F.lit(0),
         ).alias("_h")
     ).select("uid", "_h.*")
     leaf = leaf_per_uid(
