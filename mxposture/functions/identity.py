@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ASCII = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _idna(names: pd.Series) -> pd.Series:
     """ASCII form of names with other letters; a label that cannot be encoded gives null."""
 
@@ -27,7 +28,7 @@ def _idna(names: pd.Series) -> pd.Series:
     return names.map(encode)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ip6(values: pd.Series) -> pd.Series:
     from ipaddress import ip_address
 
