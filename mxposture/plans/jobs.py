@@ -23,7 +23,7 @@ from mxposture.operators import reports as report_ops
 from mxposture.operators import rules as rule_ops
 from mxposture.operators import sessions as session_ops
 from mxposture.operators import windows as window_ops
-from mxposture.session import get_session
+from mxposture.session import checkpointed, get_session
 from mxposture.sources import logs as log_source
 from mxposture.sources import stores
 from mxposture.sources.rulepacks import RulePack, built_in_pack
@@ -51,7 +51,8 @@ def analyze_logs(
     """Evidence tables, findings, checks and endpoint windows of any number of captures.
 
     ``preflight``: capture_id, truncated_packets_present, capture_start_time; ``cert_facts``: one
-    row of parsed facts per der_sha256; ``anchors``: trusted subjects.
+    row of parsed facts per der_sha256; ``anchors``: trusted subjects. The four evidence tables are
+    materialised once in the checkpoint folder: every later step reads them from there.
     """
     logs = {name: _scoped(rows) for name, rows in logs.items()}
     conn = coerce.well_formed_connection(logs["conn"])
@@ -72,9 +73,11 @@ def analyze_logs(
             {"truncated": F.lit(False), "capture_start_time": F.lit(None).cast("timestamp")}
         )
     recon = logs["tcp_recon"]
-    flows = flow_ops.build_flows(conn, recon, F.col("source_ord"), captures, "capture_id")
+    flows = checkpointed(
+        flow_ops.build_flows(conn, recon, F.col("source_ord"), captures, "capture_id")
+    )
     ssl = logs["ssl"]
-    handshakes = hs_ops.build_handshakes(ssl, flows)
+    handshakes = checkpointed(hs_ops.build_handshakes(ssl, flows))
     last_tls = hs_ops.last_per_uid(
         ssl.withColumn(
             "client_hello", F.coalesce(F.col("ssl_history").contains("C"), F.lit(False))
@@ -90,8 +93,10 @@ def analyze_logs(
     events = session_ops.drop_repeated_capabilities(
         session_ops.clean_events(events, flows), ["ord"]
     )
-    sessions = session_ops.build_sessions(flows, events, tls_facts=last_tls)
-    certificates = _certificates(logs, ssl, last_tls, cert_facts, anchors, analysis_time, captures)
+    sessions = checkpointed(session_ops.build_sessions(flows, events, tls_facts=last_tls))
+    certificates = checkpointed(
+        _certificates(logs, ssl, last_tls, cert_facts, anchors, analysis_time)
+    )
     words = rule_ops.observed_commands(events, ["LOGIN", "PASS"])
     flow_facts = flows.select("uid", F.col("capture_id").alias("_capture"), "capture_start_time")
     structs = (
@@ -112,8 +117,8 @@ def analyze_logs(
         found = f if found is None else found.unionByName(f)
         seen = c if seen is None else seen.unionByName(c)
     by_capture = F.element_at(F.split("record_key", r"\|"), 1)
-    found = found.withColumn("capture_id", by_capture)
-    seen = seen.withColumn("capture_id", by_capture)
+    found = checkpointed(found.withColumn("capture_id", by_capture))
+    seen = checkpointed(seen.withColumn("capture_id", by_capture))
     scored = finding_ops.prioritised_findings(found, None, ["title"], ["capture_id"])
     windows = window_ops.endpoint_rollup(
         sessions.select("uid", "protocol", "upgrade_state", F.col("first_ord").alias("ord")),
@@ -145,7 +150,7 @@ _FACT_SCHEMA = (
 )
 
 
-def _certificates(logs, ssl, last_tls, cert_facts, anchors, analysis_time, captures) -> DataFrame:
+def _certificates(logs, ssl, last_tls, cert_facts, anchors, analysis_time) -> DataFrame:
     """Certificate records of the server and client chains, with validation where facts allow."""
     spark = ssl.sparkSession
     facts = cert_facts if cert_facts is not None else spark.createDataFrame([], _FACT_SCHEMA)
@@ -164,7 +169,7 @@ def _certificates(logs, ssl, last_tls, cert_facts, anchors, analysis_time, captu
     places = places.join(seen, "uid", "left").withColumn(
         "capture_time", F.timestamp_micros((F.col("_ts") * 1_000_000).cast("bigint"))
     )
-    certs = cert_ops.assemble(places.drop("_ts"), facts, analysis_time)
+    certs = checkpointed(cert_ops.assemble(places.drop("_ts"), facts, analysis_time))
     if anchors is None:
         return certs
     leaf = certs.where("chain_index = 0 AND role = 'server' AND syntax_valid")

@@ -47,22 +47,26 @@ FRAME_FIELDS = [
 ]
 
 
+# A line without this field is not a record of its log.
+_REQUIRED = {"capture_loss": "gaps", "cert_files": "fuid"}
+
+
 def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One analyzer log as a table; blank lines, broken lines and non-objects are left out.
 
-    The rows keep their source file, so logs of many captures are read in one job, and
-    ``source_ord``: the start of the file split plus the row number in its task. A task never reads
-    more rows than bytes, so the number grows with the place in the file.
+    A field of the wrong type is null, the rest of its line is kept. The rows keep their source
+    file, so logs of many captures are read in one job, and ``source_ord``: the start of the file
+    split plus the row number in its task. A task never reads more rows than bytes, so the number
+    grows with the place in the file.
     """
-    schema = LOG_SCHEMAS[name] + ", _broken string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = spark.read.schema(LOG_SCHEMAS[name]).json(path)
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.select(
         "*",
         F.col("_metadata.file_path").alias("source_file"),
         (F.col("_metadata.file_block_start") + in_task).alias("source_ord"),
     )
-    return rows.where(F.col("_broken").isNull()).drop("_broken")
+    return rows.where(F.col(_REQUIRED.get(name, "uid")).isNotNull())
 
 
 def read_log_dir(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
