@@ -28,14 +28,23 @@ def _escapable() -> list[int]:
     return [*range(0x00, 0x20), *range(0x7F, 0xA0), *BIDI_CODE_POINTS]
 
 
+# Line breaks and tabs are in most texts; the other code points are rare.
+_FREQUENT = [0x09, 0x0A, 0x0D]
+
+
 def _escape_with(value: Column, render) -> Column:
-    """Replace each code point by its rendering: one native byte search per code point, and none
-    at all for rows without any of them."""
-    pattern = "[" + "".join(f"\\x{{{cp:04X}}}" for cp in _escapable()) + "]"
-    shown = value
-    for cp in _escapable():
-        shown = F.replace(shown, F.lit(chr(cp)), F.lit(render(cp)))
-    return F.when(value.rlike(pattern), shown).otherwise(value)
+    """Replace each code point by its rendering: one native byte search per code point. The long
+    chain runs only for rows that hold one of the rare code points."""
+    rare = [cp for cp in _escapable() if cp not in _FREQUENT]
+    pattern = "[" + "".join(f"\\x{{{cp:04X}}}" for cp in rare) + "]"
+
+    def replaced(text: Column, code_points: list[int]) -> Column:
+        for cp in code_points:
+            text = F.replace(text, F.lit(chr(cp)), F.lit(render(cp)))
+        return text
+
+    usual = replaced(value, _FREQUENT)
+    return F.when(value.rlike(pattern), replaced(usual, rare)).otherwise(usual)
 
 
 def report_text(value: Column) -> Column:
