@@ -525,10 +525,10 @@ def advisory_items(
         note = f"The forest needs {forest_min} training windows; {history_count} are stored. The baseline ran."
         first = spark.createDataFrame([(0, "ADVISORY_INSUFFICIENT_HISTORY", note)], schema)
         return first.unionByName(items.where(F.col("position") < limit))
-    none = spark.createDataFrame(
-        [(0, "ADVISORY_NONE", "Scoring ran; no endpoint window met the review threshold.")], schema
-    )
-    return items.unionByName(none.join(items.limit(1).select(F.lit(0).alias("position")), "position", "left_anti"))
+    if items.isEmpty():
+        note = "Scoring ran; no endpoint window met the review threshold."
+        return spark.createDataFrame([(0, "ADVISORY_NONE", note)], schema)
+    return items
 
 
 def score_current(history: DataFrame, current: DataFrame, scorers: list[Scorer]) -> DataFrame:

@@ -229,12 +229,13 @@ def certificate_frames(messages: DataFrame) -> DataFrame:
     )
 
 
-def timeline(messages: DataFrame) -> DataFrame:
-    """Horizontal place of each message and the width of its row."""
-    whole = Window.partitionBy("uid")
-    return messages.withColumn("x", F.lit(16) + F.col("position") * 92).withColumn(
-        "width", F.greatest(F.lit(160), F.lit(28) + F.count(F.lit(1)).over(whole) * 92)
-    )
+def timeline(handshakes: DataFrame, keys: list[str]) -> DataFrame:
+    """Horizontal place of each message and the width of its row; no shuffle, because a history
+    and its messages sit in one row."""
+    messages = tls.history_messages(F.col("ssl_history"), MAX_HISTORY)
+    width = F.greatest(F.lit(160), F.lit(28) + F.size(messages) * 92)
+    rows = handshakes.select(*keys, width.alias("width"), F.explode(messages).alias("_m"))
+    return rows.select(*keys, "_m.*", "width", (F.lit(16) + F.col("_m.position") * 92).alias("x"))
 
 
 def first_per_uid(rows: DataFrame, order: list[str], keep: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mxposture.session import checkpoint_dir, checkpointed
+
 CHUNK_ROWS = 100_000
 
 
@@ -167,6 +169,30 @@ def exact_quantiles(
     return ranked.agg(*aggs)
 
 
+def global_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Place of every row in a total order, without sorting the table in one task.
+
+    A range exchange puts the rows into sorted pieces, each piece numbers its own rows, and the
+    running piece sizes (one row per piece) are added. The pieces are materialised first, because
+    a range exchange samples anew whenever it is computed again. ``order`` must be unique.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id())
+    if checkpoint_dir(df.sparkSession) is None:
+        ranged = ranged.persist()
+    else:
+        ranged = checkpointed(ranged)
+    sizes = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
+    return (
+        ranged.withColumn("_in", inside)
+        .join(bases, "_piece")
+        .withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint"))
+        .drop("_piece", "_in", "_base")
+    )
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows

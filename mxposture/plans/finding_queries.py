@@ -9,6 +9,7 @@ from mxposture.constants import SEVERITY_RANK
 from mxposture.functions.states import lookup, weakest, weakest_agg, weakest_in_array
 from mxposture.functions.text import joined_digest
 from mxposture.operators import findings as ops
+from mxposture.operators.scale import global_position
 from mxposture.plans.adapters import VIEWS, view
 from mxposture.plans.registry import query
 
@@ -313,26 +314,20 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT row_number() OVER (ORDER BY score DESC, CASE outcome WHEN 'negative' THEN 0 ELSE 1 END,
          CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC,
          code, affected_endpoint, finding_id) AS position, finding_id, score
-       FROM y_scored ORDER BY position LIMIT 256""",
+       FROM y_scored""",
 )
 def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    top = scored(spark, sf_dir).orderBy(*ops.priority_order()).limit(256)
-    rank = F.row_number().over(Window.orderBy(*ops.priority_order())).cast("bigint")
-    return top.select(rank.alias("position"), "finding_id", "score")
+    rows = scored(spark, sf_dir)
+    return global_position(rows, ops.priority_order()).select("position", "finding_id", "score")
 
 
 @query(
     "t02_finding_order",
     """SELECT row_number() OVER (ORDER BY affected_endpoint,
          CASE record_type WHEN 'flow' THEN 0 WHEN 'session' THEN 1 WHEN 'handshake' THEN 2 ELSE 3 END,
-         record_key, code, outcome, finding_id) AS position, finding_id FROM x_findings
-       ORDER BY position LIMIT 500""",
+         record_key, code, outcome, finding_id) AS position, finding_id FROM x_findings""",
 )
 def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     from mxposture.constants import TARGET_RANK
 
     keys = [
@@ -343,9 +338,7 @@ def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("outcome"),
         F.col("finding_id"),
     ]
-    first = findings(spark, sf_dir).orderBy(*keys).limit(500)
-    rank = F.row_number().over(Window.orderBy(*keys)).cast("bigint")
-    return first.select(rank.alias("position"), "finding_id")
+    return global_position(findings(spark, sf_dir), keys).select("position", "finding_id")
 
 
 @query(

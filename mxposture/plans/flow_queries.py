@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mxposture.functions import coerce
 from mxposture.operators import flows as ops
+from mxposture.operators.scale import global_position
 from mxposture.plans.adapters import VIEWS, table, view
 from mxposture.plans.registry import query
 
@@ -361,14 +362,9 @@ def pass_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "t01_flow_order",
     """SELECT row_number() OVER (ORDER BY proto, orig_h, orig_p, resp_h, resp_p, uid) AS position,
-       uid FROM x_conn ORDER BY position LIMIT 500""",
+       uid FROM x_conn""",
 )
 def flow_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The sorted listing is paged: the first 500 come from a distributed top-k.
     keys = ["proto", "orig_h", "orig_p", "resp_h", "resp_p", "uid"]
-    first = view(spark, sf_dir, "x_conn").select(*keys).orderBy(*keys).limit(500)
-    from pyspark.sql import Window
-
-    return first.select(
-        F.row_number().over(Window.orderBy(*keys)).cast("bigint").alias("position"), "uid"
-    )
+    rows = view(spark, sf_dir, "x_conn").select(*keys)
+    return global_position(rows, keys).select("position", "uid")

@@ -236,8 +236,8 @@ def cert_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
        greatest(160, 28 + length(ssl_history) * 92) AS width FROM x_ssl""",
 )
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.message_rows(view(spark, sf_dir, "x_ssl"), ["uid"])
-    return ops.timeline(rows).select("uid", "position", "x", "width")
+    out = ops.timeline(view(spark, sf_dir, "x_ssl"), ["uid"])
+    return out.select("uid", "position", "x", "width")
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mxposture.operators import findings as finding_ops
 from mxposture.operators import reports as ops
 from mxposture.operators import validate
+from mxposture.operators.scale import global_position
 from mxposture.plans.adapters import VIEWS, table, view
 from mxposture.plans.certificate_queries import validated
 from mxposture.plans.finding_queries import findings, scored
@@ -68,13 +69,11 @@ def protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "t04_dashboard_order",
     """SELECT row_number() OVER (ORDER BY score DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC,
-         code, finding_id) AS position, finding_id FROM y_scored ORDER BY position LIMIT 100""",
+         code, finding_id) AS position, finding_id FROM y_scored""",
 )
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("title", F.col("code"))
-    top = rows.orderBy(*ops.dashboard_order()).limit(100)
-    rank = F.row_number().over(Window.orderBy(*ops.dashboard_order())).cast("bigint")
-    return top.select(rank.alias("position"), "finding_id")
+    return global_position(rows, ops.dashboard_order()).select("position", "finding_id")
 
 
 @query(
@@ -214,8 +213,7 @@ def list_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT row_number() OVER (ORDER BY coalesce(risk_score, -1) DESC, unknown_count + not_observable_count DESC, case_id) AS position, case_id FROM r",
 )
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(*ops.catalog_order())).cast("bigint")
-    return cases(spark, sf_dir).select(rank.alias("position"), "case_id")
+    return global_position(cases(spark, sf_dir), ops.catalog_order()).select("position", "case_id")
 
 
 @query(

@@ -89,11 +89,10 @@ SELECT CAST(conv_id AS STRING) AS uid, turn % 2 = 1 AS is_orig,
 @query(
     "st05_payload_signatures",
     """SELECT uid, CASE WHEN c AND s THEN CASE CAST(uid AS BIGINT) % 4 WHEN 0 THEN 'smtp' WHEN 1 THEN 'imap' ELSE '' END ELSE '' END AS protocols FROM (
-       SELECT uid, bool_or(is_orig) AS c, bool_or(NOT is_orig) AS s FROM x_payloads WHERE CAST(uid AS BIGINT) % 4 < 3 GROUP BY uid)""",
+       SELECT uid, bool_or(is_orig) AS c, bool_or(NOT is_orig) AS s FROM x_payloads GROUP BY uid)""",
 )
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "x_payloads").where(F.col("uid").cast("bigint") % 4 < 3)
-    out = protocols.identify_payload(rows)
+    out = protocols.identify_payload(view(spark, sf_dir, "x_payloads"))
     return out.select("uid", F.array_join("protocols", ",").alias("protocols"))
 
 

@@ -249,12 +249,12 @@ def reusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s17_job_queue",
-    f"SELECT run_id FROM ({_JOBS}) WHERE status = 'queued' ORDER BY created_at, run_id LIMIT 50",
+    f"SELECT run_id FROM ({_JOBS}) WHERE status = 'queued'",
 )
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mxposture.sources.stores import job_queue
 
-    return job_queue(jobs(spark, sf_dir), 50).select("run_id")
+    return job_queue(jobs(spark, sf_dir)).select("run_id")
 
 
 @query(
