@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mxposture.constants import STATE_RANK, UNUSABLE_STATES
 
 
-def _sql_literal(value) -> str:
+def sql_literal(value) -> str:
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return str(value)
@@ -18,7 +18,7 @@ def _sql_literal(value) -> str:
 
 def lookup(key: Column, table: Mapping, default=None) -> Column:
     """Fixed table as one literal map: a constant in the plan, small generated code."""
-    entries = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in table.items())
+    entries = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in table.items())
     found = F.try_element_at(F.expr(f"map({entries})"), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 

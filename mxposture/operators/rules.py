@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mxposture.constants import CHECK_CATEGORY, STATE_RANK, USABLE_STATES
-from mxposture.functions.states import conjunction, predicate, state_from_rank, state_rank
+from mxposture.functions.states import predicate, sql_literal, state_from_rank, state_rank
 from mxposture.functions.text import joined_digest
 from mxposture.operators.certificates import leaf_per_uid
 from mxposture.sources.rulepacks import Predicate, Rule, RulePack
@@ -245,13 +245,6 @@ def _state_column(schema: T.StructType, path: str) -> Column:
     return F.coalesce(*options)
 
 
-def _active(rule: Rule, day: Column) -> Column:
-    on = day >= F.lit(rule.effective_from)
-    if rule.effective_until is not None:
-        on = on & (day < F.lit(rule.effective_until))
-    return on
-
-
 def evaluate(context: DataFrame, pack: RulePack, target: str, clock: Column) -> DataFrame:
     """One row per applicable (record, rule): result, check outcome, states and references.
 
@@ -281,75 +274,66 @@ def evaluate(context: DataFrame, pack: RulePack, target: str, clock: Column) ->
         rank = state_rank(F.when(value.isNull() & source.isin(USABLE_STATES), "indeterminate").otherwise(source))
         columns[f"_r{index}"] = F.coalesce(rank, F.lit(STATE_RANK["indeterminate"]))
     ready = context.withColumns(columns)
-    judged = F.array(*[_judge(i, rule, slot) for i, rule in enumerate(rules)])
-    keep = [c for c in context.columns]
-    out = ready.select(
-        *keep, F.explode(F.filter(judged, lambda j: j["check_outcome"].isNotNull())).alias("_j")
-    )
-    return out.select(*keep, "_j.*")
+    judged = ", ".join(_judge(rule, slot) for rule in rules)
+    keep = [F.col(f"`{c}`") for c in context.columns]
+    applied = F.expr(f"filter(array({judged}), j -> j.check_outcome IS NOT NULL)")
+    return ready.select(*keep, F.explode(applied).alias("_j")).select(*keep, "_j.*")
 
 
-def _least(parts: list[Column]) -> Column:
-    return parts[0] if len(parts) == 1 else F.least(*parts)
+def _least(parts: list[str]) -> str:
+    return parts[0] if len(parts) == 1 else f"least({', '.join(parts)})"
 
 
-def _judge(index: int, rule: Rule, slot) -> Column:
+def _judge(rule: Rule, slot) -> str:
+    """SQL struct with the judgement of one rule over the predicate columns ``_p<n>`` (true, false,
+    null for unusable) and their state ranks ``_r<n>``."""
     where = [slot(p) for p in rule.where]
     check = [slot(p) for p in rule.check]
-    active = _active(rule, F.col("_day"))
+    active = f"_day >= DATE'{rule.effective_from}'"
+    if rule.effective_until is not None:
+        active += f" AND _day < DATE'{rule.effective_until}'"
     if rule.roles:
-        active = active & F.col("derived.service_role").isin(list(rule.roles))
-    w = conjunction([F.col(f"_p{i}") for i in where])
-    a = conjunction([F.col(f"_p{i}") for i in check])
-
-    def unusable_rank(ids: list[int]) -> Column:
-        return _least(
-            [F.when(F.col(f"_p{i}").isNull(), F.col(f"_r{i}")).otherwise(F.lit(99)) for i in ids]
-        )
+        names = ", ".join(sql_literal(r) for r in rule.roles)
+        active += f" AND derived.service_role IN ({names})"
+    # SQL AND is the conjunction wanted here: false beats null beats true.
+    w = " AND ".join(f"_p{i}" for i in where) or "true"
+    a = " AND ".join(f"_p{i}" for i in check)
 
-    states = _least([F.col(f"_r{i}") for i in check])
-    where_rank = unusable_rank(where) if where else F.lit(99)
-    check_rank = unusable_rank(check)
-    unseen = STATE_RANK["not_observable"]
+    def unusable(ids: list[int]) -> str:
+        return _least([f"if(_p{i} IS NULL, _r{i}, 99)" for i in ids]) if ids else "99"
 
-    def gap(rank: Column) -> Column:
-        return F.when(rank == unseen, "not_observable").otherwise("unknown")
+    def gap(rank: str) -> str:
+        return f"if({rank} = {STATE_RANK['not_observable']}, 'not_observable', 'unknown')"
 
-    failed = "unknown" if rule.fail_outcome == "indeterminate" else "fail"
+    soft = rule.fail_outcome == "indeterminate"
     outcome = (
-        F.when(~F.coalesce(active, F.lit(False)), None)
-        .when(w.isNull(), gap(where_rank))
-        .when(~w, None)
-        .when(a.isNull(), gap(check_rank))
-        .when(a, "pass")
-        .otherwise(failed)
+        f"CASE WHEN NOT coalesce({active}, false) THEN NULL WHEN ({w}) IS NULL THEN {gap(unusable(where))} "
+        f"WHEN NOT ({w}) THEN NULL WHEN ({a}) IS NULL THEN {gap(unusable(check))} "
+        f"WHEN {a} THEN 'pass' ELSE '{'unknown' if soft else 'fail'}' END"
     )
     result = (
-        F.when(w.isNull() | ~w, "not_applicable")
-        .when(a.isNull(), "indeterminate")
-        .when(a, "pass")
-        .otherwise("indeterminate" if rule.fail_outcome == "indeterminate" else "negative")
+        f"CASE WHEN ({w}) IS NULL OR NOT ({w}) THEN 'not_applicable' WHEN ({a}) IS NULL THEN 'indeterminate' "
+        f"WHEN {a} THEN 'pass' ELSE '{'indeterminate' if soft else 'negative'}' END"
+    )
+    states = _least([f"_r{i}" for i in check])
+    coverage = (
+        f"CASE WHEN ({w}) IS NULL THEN {unusable(where)} WHEN ({a}) IS NULL THEN {unusable(check)} "
+        f"ELSE {states} END"
     )
-    coverage = F.when(w.isNull(), where_rank).when(a.isNull(), check_rank).otherwise(states)
-    by_path: dict[str, list[Column]] = {}
+    by_path: dict[str, list[str]] = {}
     for p in (*rule.where, *rule.check):
-        by_path.setdefault(p.path, []).append(F.col(f"_r{slot(p)}"))
+        by_path.setdefault(p.path, []).append(f"_r{slot(p)}")
     if rule.roles:
-        by_path["derived.service_role"] = [F.lit(STATE_RANK["inferred"])]
-    references = F.array(
-        *[
-            F.struct(F.lit(path).alias("field_path"), _least(ranks).cast("int").alias("rank"))
-            for path, ranks in sorted(by_path.items())
-        ]
+        by_path["derived.service_role"] = [str(STATE_RANK["inferred"])]
+    references = ", ".join(
+        f"named_struct('field_path', '{path}', 'rank', CAST({_least(ranks)} AS INT))"
+        for path, ranks in sorted(by_path.items())
     )
     basis = _least([r for ranks in by_path.values() for r in ranks])
-    return F.struct(
-        F.lit(rule.code).alias("code"),
-        result.alias("result"),
-        outcome.alias("check_outcome"),
-        coverage.cast("int").alias("coverage_rank"),
-        basis.cast("int").alias("basis_rank"),
-        references.alias("references"),
+    return (
+        f"named_struct('code', {sql_literal(rule.code)}, 'result', {result}, 'check_outcome', {outcome}, "
+        f"'coverage_rank', CAST({coverage} AS INT), 'basis_rank', CAST({basis} AS INT), "
+        f"'references', array({references}))"
     )
 
 
