@@ -18,7 +18,6 @@ from mxposture.constants import (
     SEVERITY_RANK,
 )
 from mxposture.functions.states import lookup, state_from_rank, state_rank
-from mxposture.functions.text import joined_digest
 
 CLUSTER_KEYS = ["code", "affected_endpoint", "policy_profile", "policy_pack_version"]
 # Clusters up to this size get the digest over their sorted member ids; it equals the largest
@@ -378,7 +377,3 @@ def score_bars(scored: DataFrame) -> DataFrame:
         .select("finding_id", "_p.*")
         .withColumn("percent", F.round(100.0 * F.col("value") / F.col("cap"), 1))
     )
-
-
-def finding_id(*parts: Column) -> Column:
-    return joined_digest(*parts)

@@ -191,8 +191,3 @@ def global_position(df: DataFrame, order: list, name: str = "position") -> DataF
         .withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint"))
         .drop("_piece", "_in", "_base")
     )
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows

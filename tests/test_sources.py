@@ -208,3 +208,31 @@ def test_upserts_are_idempotent(spark, tmp_path):
     run.run_upserts(stream(), path)  # nothing new: nothing changes
     got = run.latest_rows(spark, path, ["endpoint_id", "day"]).collect()
     assert [(r.session_count, round(r.handshake_failure_rate, 6)) for r in got] == [(3, round(1 / 3, 6))]
+
+
+def test_new_log_files_are_picked_up_once(spark, tmp_path):
+    folder = tmp_path / "logs"
+    lines(folder / "weird.1.log", [{"uid": "a", "name": "x"}])
+    path = str(tmp_path / "out")
+    run.run_upserts(run.log_stream(spark, str(folder), "weird", 1), path, "append")
+    lines(folder / "weird.2.log", [{"uid": "b", "name": "y"}, {"uid": "c", "name": "z"}])
+    run.run_upserts(run.log_stream(spark, str(folder), "weird", 1), path, "append")
+    run.run_upserts(run.log_stream(spark, str(folder), "weird", 1), path, "append")
+    assert sorted(r.uid for r in spark.read.parquet(f"{path}/rows").collect()) == ["a", "b", "c"]
+
+
+def test_same_rows(spark):
+    from mxposture.operators.validate import same_rows
+
+    a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    assert same_rows(a, a.repartition(3)) and not same_rows(a, a.distinct())
+
+
+def test_names_outside_ascii_and_long_addresses(spark):
+    from mxposture.functions import identity
+
+    rows = spark.createDataFrame([("bücher.example",), ("*.exämple.com",), ("a..b",), ("x" * 64 + ".de",)], "n string")
+    got = [r[0] for r in rows.select(identity.dns_name(F.col("n"))).collect()]
+    assert got == ["xn--bcher-kva.example", "*.xn--exmple-cua.com", None, None]
+    ips = spark.createDataFrame([("2001:DB8:0:0::1",), (" 10.0.0.1",), ("10.0.0.256",), ("::ffff:zz",)], "n string")
+    assert [r[0] for r in ips.select(identity.ip_literal(F.col("n"))).collect()] == ["2001:db8::1", "10.0.0.1", None, None]
