@@ -10,7 +10,7 @@ from mxposture.operators import reports as ops
 from mxposture.operators import validate
 from mxposture.operators.scale import global_position
 from mxposture.plans.adapters import VIEWS, table, view
-from mxposture.plans.certificate_queries import validated
+from mxposture.plans.certificate_queries import _CERTS, _PATHS, validated
 from mxposture.plans.finding_queries import findings, scored
 from mxposture.plans.flow_queries import built_flows
 from mxposture.plans.handshake_queries import built_handshakes
@@ -336,7 +336,16 @@ def row_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("a19_certificate_states")
+@query(
+    "a19_certificate_states",
+    f"""WITH paths AS ({_PATHS.strip()}), ref AS (SELECT uid, min(host) AS host FROM x_host GROUP BY uid),
+       hit AS (SELECT r.uid, coalesce(bool_or(c.san = r.host OR (starts_with(c.san, '*.') AND contains(r.host, '.')
+                 AND substr(c.san, 3) = regexp_replace(r.host, '^[^.]*\\.', ''))), false) AS hit
+               FROM ref r LEFT JOIN x_cert_dated c ON c.uid = r.uid AND c.chain_index = 0 AND c.syntax_valid AND NOT c.truncated GROUP BY r.uid)
+       SELECT 'certificate' AS kind, CASE WHEN NOT good OR NOT then_ok OR (c.chain_index = 0 AND (NOT p.path_valid OR (h.uid IS NOT NULL AND NOT h.hit)))
+         THEN 'attention' ELSE 'clear' END AS state, count(*) AS n
+       FROM ({_CERTS}) c LEFT JOIN paths p ON c.cert_no = p.cert_no LEFT JOIN hit h ON c.uid = h.uid GROUP BY 2""",
+)
 def certificate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.row_states("certificate", validated(spark, sf_dir))
 

@@ -128,7 +128,16 @@ def daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily_rows(run.latest_rows(spark, path, ["endpoint_id", "day"]))
 
 
-@query("st02_reconstruction_stream")
+VIEWS["x_packets_keyed"] = """
+SELECT CAST(l_orderkey AS STRING) AS uid, l_suppkey % 2 = 0 AS is_orig,
+       CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS ord,
+       CASE WHEN l_partkey % 37 = 0 THEN 'S' ELSE 'A' END AS flags,
+       CAST(1 + 10 * (l_linenumber % 5) AS BIGINT) AS seq, CAST(CASE l_partkey % 5 WHEN 0 THEN 20 WHEN 1 THEN 0 ELSE 10 END AS BIGINT) AS len
+FROM lineitem
+"""
+
+
+@query("st02_reconstruction_stream", _WALK.replace("x_packets", "x_packets_keyed"))
 def reconstruction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         rows = run.table_stream(spark, sf_dir, "lineitem")
@@ -142,7 +151,8 @@ def reconstruction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return reconstruction.reconstruct_stream(packets)
 
-    return run.run_stateful(spark, build, "tcp")
+    out = run.run_stateful(spark, build, "tcp")
+    return out.select("uid", "is_orig", "ord", "event_type", "len")
 
 
 @query(
