@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mxposture.llm import elias, packing
+from mxposture.llm import elias, packing, quality
 from mxposture.llm.common import documents, shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,3 +41,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("key").alias("doc_id"), (F.col("base") + F.col("border")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+@query("op4_perplexity_bands")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(documents(spark, sf_dir), ["doc_id"])
+    return rows.select("doc_id", *quality.MEASURES, "base_failed", "kept", "perplexity", "lower", "upper")

@@ -73,11 +73,10 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndar
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
-    weight = np.uint64(1)
+    weight = 1
     for k in range(width):
-        total += hashes[k : k + n] * weight
-        weight = weight * _ROOT + np.uint64(0x632BE59BD9B4E019 & ~1)
-        weight |= np.uint64(1)
+        total += hashes[k : k + n] * np.uint64(weight)
+        weight = weight * int(_ROOT) % 2**64
     place = np.flatnonzero(owner[:n] == owner[width - 1 :])
     return mixed(total[place]), place
 
