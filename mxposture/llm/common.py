@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -101,3 +101,22 @@ def shared_folder(spark: SparkSession, stem: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
     return f"{folder.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+def joined(spans: Column) -> Column:
+    """``kind:start:end`` of the spans, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind in brackets."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        piece = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        return F.when(
+            span["start"] >= state["at"],
+            F.struct(span["end"].alias("at"), F.concat(state["out"], piece, F.lit("["), span["kind"], F.lit("]")).alias("out")),
+        ).otherwise(F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out")))
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))

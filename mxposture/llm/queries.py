@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mxposture.llm import elias, packing, quality
-from mxposture.llm.common import documents, shared_folder
+from mxposture.llm import counts, decontam, elias, licenses, neardup, packing, pii, quality, secrets, sharding
+from mxposture.llm.common import documents, joined, shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,3 +47,89 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(documents(spark, sf_dir), ["doc_id"])
     return rows.select("doc_id", *quality.MEASURES, "base_failed", "kept", "perplexity", "lower", "upper")
+
+
+@query("op7_minhash_coordinates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.linked(documents(spark, sf_dir), width=2, percent=80)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scanned(documents(spark, sf_dir), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(pii.BASE))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE
+    ]
+    return rows.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+@query("op8_randomness_battery")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scanned(documents(spark, sf_dir), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(list(secrets.FORMS)))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.FORMS
+    ]
+    return rows.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+@query("op3_benchmark_regions")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.found(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op1_hypergeometric_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    rows = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
+    )
+    dealt = sharding.deal(rows, shards=24)
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op2_licence_paragraphs")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir), ["doc_id"])
+
+
+def edit_script():
+    """Three edits that every document can take: an insertion, a removal and a replacement."""
+    n = F.length("text")
+    edits = [(n / 2, F.lit(0), F.concat(F.lit(" "), F.col("source"), F.lit(" "))), (n / 3, F.lit(40), F.lit(""))]
+    edits.append((2 * n / 3, F.lit(10), F.lit("corrected passage, see above")))
+    return F.array(
+        *[
+            F.struct(F.floor(start).alias("start"), remove.cast("long").alias("remove"), insert.alias("insert"))
+            for start, remove, insert in edits
+        ]
+    )
+
+
+@query("op9_edited_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("edits", edit_script())
+    return counts.edited_counts(docs, ["doc_id"], BYTE_BPE)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
