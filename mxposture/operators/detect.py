@@ -111,7 +111,7 @@ def _finish(rows: DataFrame, name: str, digest: str) -> DataFrame:
 
 
 _EMPTY_PARTS = "array<struct<rank:double,feature:string,evidence_field:string,value_num:double,value_str:string,reference_num:double,reference_str:string>>"
-_MAINTENANCE = "maintenance window suppressed; field session.explicit_upgrade.state."
+_MAINTENANCE = "announced work, not scored [evidence: session.explicit_upgrade.state]"
 
 
 def _outcome(rows: DataFrame, threshold: Column, reason: Column) -> DataFrame:
@@ -125,7 +125,7 @@ def _outcome(rows: DataFrame, threshold: Column, reason: Column) -> DataFrame:
             "score": F.when(still | skipped, F.lit(0.0)).otherwise(F.col("raw_score")),
             "threshold": threshold,
             "reason": F.when(still, F.lit(_MAINTENANCE))
-            .when(skipped, F.concat(F.col("skip_reason"), F.lit(": session_count; field session.uid.")))
+            .when(skipped, F.concat(F.col("skip_reason"), F.lit(" [evidence: session.uid]")))
             .otherwise(reason),
             "contributions": F.when(
                 still | skipped, F.array().cast(_EMPTY_PARTS)

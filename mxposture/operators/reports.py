@@ -91,21 +91,21 @@ def briefing(top: DataFrame, counts: DataFrame) -> DataFrame:
     row = both.agg(*[F.max(c).alias(c) for c in both.columns])
     found = F.col("title").isNotNull()
     title = (
-        F.when(found, F.concat(F.col("title"), F.lit(" needs the first review.")))
-        .when(F.col("gaps") > 0, "No observed failure, but the evidence is incomplete.")
-        .otherwise("No deterministic failures in the observed scope.")
+        F.when(found, F.concat(F.lit("Review first: "), F.col("title")))
+        .when(F.col("gaps") > 0, "Nothing failed, but part of the evidence is missing.")
+        .otherwise("Nothing failed in what was observed.")
     )
     detail = F.when(
         found,
         F.format_string(
-            "%s leads the queue with a score of %d/100. %d policy checks failed and %d remain unresolved.",
+            "%s scores %d of 100; %d checks failed, %d are open.",
             "affected_endpoint",
             "score",
             "failed_count",
             "gaps",
         ),
-    ).when(F.col("gaps") > 0, F.format_string("%d checks are unknown or not observable.", "gaps")).otherwise(
-        "All applicable checks passed within the available evidence."
+    ).when(F.col("gaps") > 0, F.format_string("Open checks: %d.", "gaps")).otherwise(
+        "Every check that applies has passed."
     )
     return row.select(title.alias("title"), detail.alias("detail"))
 
@@ -279,13 +279,13 @@ def limitations(flows: DataFrame, handshakes: DataFrame, by: list[str]) -> DataF
         F.array(
             note(
                 F.col("truncated_packets_present"),
-                F.lit("Capture contains truncated packets; reconstruction may be incomplete."),
+                F.lit("Packets were cut short in this capture, so streams may have holes."),
             ),
-            note(inc > 0, F.format_string("%d flow(s) have incomplete TCP reconstruction.", inc)),
-            note(con > 0, F.format_string("%d flow(s) have conflicting TCP reconstructions.", con)),
+            note(inc > 0, F.format_string("Flows with missing bytes: %d.", inc)),
+            note(con > 0, F.format_string("Flows whose copies disagree: %d.", con)),
             note(
                 cert > 0,
-                F.format_string("%d handshake(s) have certificates that are not observable.", cert),
+                F.format_string("Handshakes whose certificate could not be seen: %d.", cert),
             ),
         )
     )

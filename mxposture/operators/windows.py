@@ -332,24 +332,23 @@ def reason_text(contributions: Column, prefix: str | None = None) -> Column:
     def part(c: Column) -> Column:
         number = F.concat(
             c["feature"],
-            F.lit(" is "),
+            F.lit("="),
             F.format_string("%.4f", c["value_num"]),
-            F.lit(" (trailing median "),
+            F.lit(", usually "),
             F.format_string("%.4f", c["reference_num"]),
-            F.lit(")"),
         )
         word = F.concat(
-            c["feature"], F.lit(" is "), c["value_str"], F.lit(" ("), c["reference_str"], F.lit(")")
+            c["feature"], F.lit("="), c["value_str"], F.lit(", "), c["reference_str"]
         )
         return F.when(c["value_num"].isNotNull(), number).otherwise(word)
 
     body = F.concat(
         F.array_join(F.transform(contributions, part), "; "),
-        F.lit("; fields "),
+        F.lit(" [evidence: "),
         F.array_join(F.array_distinct(F.transform(contributions, lambda c: c["evidence_field"])), ", "),
-        F.lit("."),
+        F.lit("]"),
     )
     if prefix:
         body = F.concat(F.lit(prefix + " "), body)
-    empty = F.lit("insufficient_history: session_count; field session.uid.")
+    empty = F.lit("too little history [evidence: session.uid]")
     return F.when(F.size(contributions) == 0, empty).otherwise(body)

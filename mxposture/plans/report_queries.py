@@ -88,9 +88,9 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f48_briefing",
-    """SELECT code || ' needs the first review.' AS title, affected_endpoint || ' leads the queue with a score of ' || score || '/100. ' ||
-         (SELECT count(*) FROM x_checks WHERE outcome = 'fail') || ' policy checks failed and ' ||
-         (SELECT count(*) FROM x_checks WHERE outcome IN ('unknown', 'not_observable')) || ' remain unresolved.' AS detail
+    """SELECT 'Review first: ' || code AS title, affected_endpoint || ' scores ' || score || ' of 100; ' ||
+         (SELECT count(*) FROM x_checks WHERE outcome = 'fail') || ' checks failed, ' ||
+         (SELECT count(*) FROM x_checks WHERE outcome IN ('unknown', 'not_observable')) || ' are open.' AS detail
        FROM y_scored ORDER BY score DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, code, finding_id LIMIT 1""",
 )
 def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +254,10 @@ def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a10_limitations",
     f"""SELECT capture_no, incomplete_flow_count, conflicting_flow_count, not_observable_certificate_count, truncated AS truncated_packets_present,
-        concat_ws('|', CASE WHEN truncated THEN 'Capture contains truncated packets; reconstruction may be incomplete.' END,
-          CASE WHEN incomplete_flow_count > 0 THEN incomplete_flow_count || ' flow(s) have incomplete TCP reconstruction.' END,
-          CASE WHEN conflicting_flow_count > 0 THEN conflicting_flow_count || ' flow(s) have conflicting TCP reconstructions.' END,
-          CASE WHEN not_observable_certificate_count > 0 THEN not_observable_certificate_count || ' handshake(s) have certificates that are not observable.' END) AS notes
+        concat_ws('|', CASE WHEN truncated THEN 'Packets were cut short in this capture, so streams may have holes.' END,
+          CASE WHEN incomplete_flow_count > 0 THEN 'Flows with missing bytes: ' || incomplete_flow_count || '.' END,
+          CASE WHEN conflicting_flow_count > 0 THEN 'Flows whose copies disagree: ' || conflicting_flow_count || '.' END,
+          CASE WHEN not_observable_certificate_count > 0 THEN 'Handshakes whose certificate could not be seen: ' || not_observable_certificate_count || '.' END) AS notes
         FROM ({_LIMITS})""",
 )
 def limits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def forest(windows):
 
 
 def test_cohort_shape(windows):
-    assert windows.count() == 23 * 70 + 20
+    assert windows.count() == 22 * 70 + 18
     total = windows.select(F.max(F.abs(F.col("tls13_share") + F.col("tls12_share") + F.col("tls10_share") - 1)))
     assert total.first()[0] < 1e-9
 
@@ -95,9 +95,9 @@ def test_all_gates_hold(spark, windows, baseline, forest):
 
 def test_advisories(spark, windows, baseline):
     found = detect.anomalies(baseline)
-    top = found.where("endpoint_id = 'mx-02'").first()
+    top = found.where("endpoint_id = 'edge-south-4'").first()
     assert top.code == "ADVISORY_HANDSHAKE_FAILURE_RATE"
-    assert "handshake_failure_rate is 0.1800 (trailing median" in top.reason
+    assert "handshake_failure_rate=0.2400, usually 0.00" in top.reason
     assert found.count() == found.select("endpoint_id").distinct().count()
     assert detect.advisory_items(found, 3).first().code == "ADVISORY_INSUFFICIENT_HISTORY"
     assert detect.advisory_items(found, 30).count() == 1 + found.count()
@@ -111,7 +111,7 @@ def test_refit_schedule():
 
 
 def test_feature_vector_has_28_entries(windows):
-    rows = detect.Forest().vectors(windows.where("endpoint_id = 'mx-01'"))
+    rows = detect.Forest().vectors(windows.where("endpoint_id = 'edge-north-1'"))
     assert {r.n for r in rows.select(F.size("vector").alias("n")).collect()} == {len(RATE_FEATURES) + 8 + 4 + 1 + 4}
 
 
