@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_string(value: Column, max_len: int) -> Column:
-    """Non-empty string of at most ``max_len`` characters, otherwise null."""
-    return F.when((F.length(value) > 0) & (F.length(value) <= max_len), value)
+def bounded_string(value: Column, max_len: int | None = None) -> Column:
+    """Non-empty string, of at most ``max_len`` characters if given, otherwise null."""
+    fits = F.length(value) > 0
+    return F.when(fits if max_len is None else fits & (F.length(value) <= max_len), value)
 
 
 def whole_number(value: Column, dtype: str = "string") -> Column:
@@ -32,8 +33,8 @@ def real_number(value: Column, dtype: str = "string") -> Column:
     return value.try_cast("double")
 
 
-def int_list(value: Column, dtype: str = "string", limit: int = 64) -> Column:
-    """``"1, 2,x"`` or an array to an array of integers; bad items vanish after the limit."""
+def int_list(value: Column, dtype: str = "string", limit: int | None = None) -> Column:
+    """``"1, 2,x"`` or an array to an array of integers; bad items vanish (after the limit, if any)."""
     if dtype.startswith("array"):
         parts = value.cast("array<string>")
     else:
@@ -41,17 +42,19 @@ def int_list(value: Column, dtype: str = "string", limit: int = 64) -> Column:
             F.transform(F.split(value, ","), lambda p: F.trim(p)), lambda p: F.length(p) > 0
         )
     numbers = F.transform(
-        F.slice(parts, 1, limit), lambda p: F.when(p.rlike("^[0-9]+$"), p.try_cast("bigint"))
+        parts if limit is None else F.slice(parts, 1, limit), lambda p: F.when(p.rlike("^[0-9]+$"), p.try_cast("bigint"))
     )
     return F.filter(numbers, lambda n: n.isNotNull())
 
 
-def string_list(value: Column, dtype: str = "string", max_len: int = 128, limit: int = 64) -> Column:
-    """Array or comma list to lower-cased strings within length, first ``limit`` kept."""
+def string_list(
+    value: Column, dtype: str = "string", max_len: int | None = None, limit: int | None = None
+) -> Column:
+    """Array or comma list to lower-cased non-empty strings, bounded where a bound is given."""
     parts = value if dtype.startswith("array") else F.split(value, ",")
     cleaned = F.transform(parts, lambda p: F.lower(F.trim(p)))
-    cleaned = F.filter(cleaned, lambda p: (F.length(p) > 0) & (F.length(p) <= max_len))
-    return F.slice(cleaned, 1, limit)
+    cleaned = F.filter(cleaned, lambda p: bounded_string(p, max_len).isNotNull())
+    return cleaned if limit is None else F.slice(cleaned, 1, limit)
 
 
 def flat_or_nested(df: DataFrame, path: str) -> Column:
@@ -73,15 +76,15 @@ def well_formed_connection(df: DataFrame) -> DataFrame:
     """Connection rows with the five required fields and legal ports, flat column names."""
     out = df.select(
         "*",
-        bounded_string(flat_or_nested(df, "id.orig_h"), 253).alias("_oh"),
+        bounded_string(flat_or_nested(df, "id.orig_h")).alias("_oh"),
         flat_or_nested(df, "id.orig_p").alias("_op"),
-        bounded_string(flat_or_nested(df, "id.resp_h"), 253).alias("_rh"),
+        bounded_string(flat_or_nested(df, "id.resp_h")).alias("_rh"),
         flat_or_nested(df, "id.resp_p").alias("_rp"),
     )
     drop = [c for c in ("id", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p") if c in df.columns]
     keep = [f"`{c}`" for c in df.columns if c not in drop and c != "uid"]
     return out.select(
-        bounded_string(F.col("uid"), 64).alias("uid"),
+        bounded_string(F.col("uid")).alias("uid"),
         *keep,
         F.col("_oh").alias("orig_h"),
         F.col("_op").try_cast("bigint").alias("orig_p"),

@@ -11,14 +11,14 @@ from mxposture.constants import BIDI_CODE_POINTS, CONTROL_NAMES, REDACTED, SECRE
 _EDGE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def bound_text(value: Column, max_len: int = 128) -> Column:
-    """Strip, empty to null, cut to ``max_len`` characters."""
+def bound_text(value: Column, max_len: int | None = None) -> Column:
+    """Strip, empty to null; for display also cut to ``max_len`` characters."""
     stripped = F.regexp_replace(value, _EDGE, "")
-    return F.when(F.length(stripped) > 0, F.substring(stripped, 1, max_len))
+    return F.when(F.length(stripped) > 0, F.substring(stripped, 1, max_len) if max_len else stripped)
 
 
-def redact(command: Column, value: Column, max_len: int = 128) -> Column:
-    """Bounded text, replaced as a whole when the command carries secrets or addresses."""
+def redact(command: Column, value: Column, max_len: int | None = None) -> Column:
+    """Stripped text, replaced as a whole when the command carries secrets or addresses."""
     secret = F.coalesce(F.upper(command).isin(SECRET_COMMANDS), F.lit(False))
     bounded = bound_text(value, max_len)
     return F.when(bounded.isNull(), None).when(secret, F.lit(REDACTED)).otherwise(bounded)
@@ -68,7 +68,7 @@ def byte_label(value: Column) -> Column:
     )
 
 
-def case_id(requested: Column, filename: Column, digest: Column) -> Column:
+def case_id(requested: Column, filename: Column, digest: Column, max_stem: int | None = None) -> Column:
     """Given id if legal, else the cleaned file stem plus a digest prefix."""
     stem = F.when(filename.contains("."), F.regexp_replace(filename, r"\.[^.]*$", "")).otherwise(
         filename
@@ -76,7 +76,7 @@ def case_id(requested: Column, filename: Column, digest: Column) -> Column:
     cleaned = F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "-")
     cleaned = F.regexp_replace(cleaned, r"^[-._]+|[-._]+$", "")
     cleaned = F.when(cleaned.rlike("^[A-Za-z0-9]"), cleaned).otherwise(F.lit("cap"))
-    derived = F.concat(F.substring(cleaned, 1, 140), F.lit("-"), F.substring(digest, 1, 8))
+    derived = F.concat(cleaned if max_stem is None else F.substring(cleaned, 1, max_stem), F.lit("-"), F.substring(digest, 1, 8))
     return F.coalesce(F.trim(requested), derived)
 
 

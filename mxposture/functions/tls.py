@@ -49,11 +49,8 @@ def has_server_hello(history: Column) -> Column:
     return history.contains("s") | history.contains("j")
 
 
-def history_messages(history: Column, max_len: int | None = 64) -> Column:
-    """History letters as ordered messages; upper case is the originator.
-
-    The history string itself is bounded by the analyzer, so the array is bounded too.
-    """
+def history_messages(history: Column, max_len: int | None = None) -> Column:
+    """History letters as ordered messages; upper case is the originator."""
     letters = F.split(F.substring(history, 1, max_len) if max_len else history, "", -1)
     letters = F.filter(letters, lambda c: c != "")
 
@@ -134,7 +131,7 @@ def decode_signature(value: Column) -> Column:
         low.rlike("^[0-9]{1,9}$"), low
     )
     named = lookup(code.cast("bigint"), SIGNATURE_SCHEMES)
-    return F.when((F.length(last) > 0) & (F.length(last) <= 128), F.coalesce(named, low))
+    return F.when(F.length(last) > 0, F.coalesce(named, low))
 
 
 def cipher_state(name: Column, code: Column, history: Column) -> Column:

@@ -26,14 +26,14 @@ def certificate_files(files: DataFrame) -> DataFrame:
     return files.where((F.col("source") == "SSL") & mime.isin(CERTIFICATE_MIME))
 
 
-def fingerprint_rows(tls_rows: DataFrame, limit: int = MAX_CHAIN_DEPTH) -> DataFrame:
+def fingerprint_rows(tls_rows: DataFrame) -> DataFrame:
     """Chain fingerprints of both roles to one row per certificate place."""
 
     def role_rows(column: str, role: str) -> DataFrame:
         return tls_rows.select(
             "uid",
             F.lit(role).alias("role"),
-            F.posexplode(F.slice(F.col(column), 1, limit)).alias("chain_index", "fingerprint"),
+            F.posexplode(column).alias("chain_index", "fingerprint"),
         )
 
     return role_rows("cert_chain_fps", "server").unionByName(
@@ -66,7 +66,7 @@ def match_files(tls_rows: DataFrame, files: DataFrame, extracted: DataFrame) ->
     A file belongs to its uid, or to each of its connection uids when it names none. It matches
     by SHA-256, then SHA-1, then file id; a certificate counts once per connection.
     """
-    owners = F.when(F.col("uid").isNotNull(), F.array("uid")).otherwise(F.slice("conn_uids", 1, 8))
+    owners = F.when(F.col("uid").isNotNull(), F.array("uid")).otherwise(F.col("conn_uids"))
     rows = files.withColumn("uid", F.explode(owners))
     rows = rows.join(tls_rows.select("uid").distinct(), "uid", "left_semi")
     by_sha = digest_index(extracted)

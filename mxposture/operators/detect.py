@@ -32,7 +32,7 @@ from mxposture.constants import (
 from mxposture.functions.states import lookup
 from mxposture.functions.text import joined_digest
 from mxposture.operators import windows as W
-from mxposture.operators.scale import cumulative_share, exact_quantiles
+from mxposture.operators.scale import cumulative_share, exact_quantiles, global_position
 from mxposture.session import checkpointed
 
 VERSION_BUCKETS = ["TLSv10", "TLSv12", "TLSv13", "other"]
@@ -507,24 +507,26 @@ def anomalies(scores: DataFrame) -> DataFrame:
 
 
 def advisory_items(
-    anomalies_: DataFrame, history_count: int, limit: int = 256, baseline_min: int = MIN_HISTORY,
+    anomalies_: DataFrame, history_count: int, limit: int | None = None, baseline_min: int = MIN_HISTORY,
     forest_min: int = FOREST_MIN_TRAIN,
 ) -> DataFrame:
     """Advisory section: a note when history is short, else the leading anomalies, else a note."""
     spark = anomalies_.sparkSession
     schema = "position int, code string, reason string"
-    top = (
-        anomalies_.orderBy(F.col("score").desc(), "endpoint_id", "day_index").limit(limit)
-    )
-    order = Window.orderBy(F.col("score").desc(), "endpoint_id", "day_index")
-    items = top.select(F.row_number().over(order).alias("position"), "code", "reason")
+    order = [F.col("score").desc(), "endpoint_id", "day_index"]
+    if limit is None:
+        items = global_position(anomalies_, order).withColumn("position", F.col("position").cast("int"))
+    else:
+        top = anomalies_.orderBy(*order).limit(limit)
+        items = top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    items = items.select("position", "code", "reason")
     if history_count < baseline_min:
         note = f"History holds {history_count} endpoint windows; the baseline needs {baseline_min} and the forest {forest_min}."
         return spark.createDataFrame([(0, "ADVISORY_INSUFFICIENT_HISTORY", note)], schema)
     if history_count < forest_min:
         note = f"The forest needs {forest_min} training windows; {history_count} are stored. The baseline ran."
         first = spark.createDataFrame([(0, "ADVISORY_INSUFFICIENT_HISTORY", note)], schema)
-        return first.unionByName(items.where(F.col("position") < limit))
+        return first.unionByName(items if limit is None else items.where(F.col("position") < limit))
     if items.isEmpty():
         note = "Scoring ran; no endpoint window met the review threshold."
         return spark.createDataFrame([(0, "ADVISORY_NONE", note)], schema)

@@ -20,11 +20,6 @@ from mxposture.constants import (
 from mxposture.functions.states import lookup, state_from_rank, state_rank
 
 CLUSTER_KEYS = ["code", "affected_endpoint", "policy_profile", "policy_pack_version"]
-# Clusters up to this size get the digest over their sorted member ids; it equals the largest
-# request the original accepts. Beyond it the member part is an order-free multiset digest, so
-# no member list is ever built for a hot cluster.
-EXACT_MEMBERS = 4096
-MERGED_REFERENCES = 1024
 REFERENCE_FIELDS = ["record_type", "record_key", "field_path", "evidence_state", "frame_number"]
 
 
@@ -130,52 +125,30 @@ def cluster_facts(
     )
 
 
-def cluster_ids(
-    findings: DataFrame,
-    clusters: DataFrame,
-    exact_members: int = EXACT_MEMBERS,
-    by: list[str] | None = None,
-) -> DataFrame:
-    """``clusters`` with ``finding_id``: SHA-256 over the cluster key and its member ids."""
-    keys = [*(by or []), *CLUSTER_KEYS]
-    sizes = clusters.select(*keys, "recurrence_count")
-    ids = findings.select(*keys, "finding_id")
-    small = sizes.where(F.col("recurrence_count") <= exact_members).select(*keys)
-    large = sizes.where(F.col("recurrence_count") > exact_members).select(*keys)
-    exact = (
-        ids.join(small, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_join(F.sort_array(F.collect_list("finding_id")), "|").alias("_members"))
-    )
+def member_digest() -> Column:
+    """Order-free digest of a group's ``finding_id``: their number and four sums over their hashes.
+
+    It is an aggregate of sums, so a cluster of any size merges map-side and gets one kind of id.
+    """
     word = [
         F.conv(F.substring(F.sha2("finding_id", 256), 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")
         for i in range(4)
     ]
-    multiset = (
-        ids.join(large, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.concat_ws(
-                "|", F.count(F.lit(1)).cast("string"), *[F.sum(w).cast("string") for w in word]
-            ).alias("_members")
-        )
-    )
-    members = exact.withColumn("_form", F.lit("endpoint")).unionByName(
-        multiset.withColumn("_form", F.lit("endpoint-multiset"))
-    )
-    digest = F.sha2(F.concat_ws("|", F.col("_form"), *CLUSTER_KEYS, F.col("_members")), 256)
-    return (
-        clusters.join(members, keys).withColumn("finding_id", digest).drop("_form", "_members")
-    )
+    return F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[F.sum(w).cast("string") for w in word])
+
+
+def cluster_ids(findings: DataFrame, clusters: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``clusters`` with ``finding_id``: SHA-256 over the cluster key and its members' digest."""
+    keys = [*(by or []), *CLUSTER_KEYS]
+    members = findings.groupBy(*keys).agg(member_digest().alias("_members"))
+    digest = F.sha2(F.concat_ws("|", F.lit("endpoint"), *CLUSTER_KEYS, F.col("_members")), 256)
+    return clusters.join(members, keys).withColumn("finding_id", digest).drop("_members")
 
 
 def cluster_findings(
-    findings: DataFrame,
-    carry: list[str] | None = None,
-    exact_members: int = EXACT_MEMBERS,
-    by: list[str] | None = None,
+    findings: DataFrame, carry: list[str] | None = None, by: list[str] | None = None
 ) -> DataFrame:
-    return cluster_ids(findings, cluster_facts(findings, carry, by), exact_members, by)
+    return cluster_ids(findings, cluster_facts(findings, carry, by), by)
 
 
 def cluster_members(findings: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -185,12 +158,8 @@ def cluster_members(findings: DataFrame, clusters: DataFrame) -> DataFrame:
     return findings.select(*CLUSTER_KEYS, *cols).join(named, CLUSTER_KEYS).select("cluster_id", *cols)
 
 
-def merged_references(references: DataFrame, keys: list[str], limit: int = MERGED_REFERENCES) -> DataFrame:
-    """Distinct references per cluster, the first ``limit`` in sorted order.
-
-    The distinct step spreads over all five fields; the row-number filter is pruned map-side, so
-    at most ``limit`` rows per cluster and input partition are shuffled.
-    """
+def merged_references(references: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Distinct references per cluster with their place in sorted order; the first ``limit`` if given."""
     distinct = references.select(*keys, *REFERENCE_FIELDS).distinct()
     order = Window.partitionBy(*keys).orderBy(
         "record_type",
@@ -199,9 +168,8 @@ def merged_references(references: DataFrame, keys: list[str], limit: int = MERGE
         "evidence_state",
         F.coalesce(F.col("frame_number"), F.lit(0)),
     )
-    return distinct.withColumn("position", F.row_number().over(order)).where(
-        F.col("position") <= limit
-    )
+    placed = distinct.withColumn("position", F.row_number().over(order))
+    return placed if limit is None else placed.where(F.col("position") <= limit)
 
 
 def with_assets(

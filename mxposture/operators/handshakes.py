@@ -11,7 +11,6 @@ from mxposture.functions.coerce import int_list
 from mxposture.functions.states import lookup
 from mxposture.sources.lookups import CIPHER_SUITES, GROUPS
 
-MAX_HISTORY = 64
 
 
 def cipher_code(name: Column, table: dict[str, str] | None = None) -> Column:
@@ -121,14 +120,14 @@ def build_handshakes(ssl: DataFrame, flows: DataFrame | None = None) -> DataFram
 
 
 def message_rows(handshakes: DataFrame, keys: list[str]) -> DataFrame:
-    """Messages as rows; a history holds at most 64 letters."""
-    messages = tls.history_messages(F.col("ssl_history"), MAX_HISTORY)
+    """Messages as rows."""
+    messages = tls.history_messages(F.col("ssl_history"))
     return handshakes.select(*keys, F.explode(messages).alias("_m")).select(*keys, "_m.*")
 
 
 def frame_message_rows(frames: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """Frames with a list of handshake types to one row per message, in frame order."""
-    types = F.slice(int_list(F.col("handshake_types")), 1, 16)
+    types = int_list(F.col("handshake_types"))
     rows = frames.select(
         "uid", "frame_number", *(tie or []), "selected_group", F.posexplode(types).alias("slot", "type")
     )
@@ -142,15 +141,13 @@ def frame_message_rows(frames: DataFrame, tie: list[str] | None = None) -> DataF
 def attach_frames(messages: DataFrame, frames: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """Give the n-th message of a kind the n-th frame of that kind.
 
-    Retry requests beyond the retry messages take the next server hello and rewrite its kind. A
-    message list holds at most 64 entries, so only the first 64 (128 for retry requests) frames
-    of a kind can match; the row-number filter is applied map-side before the shuffle.
+    Retry requests beyond the retry messages take the next server hello and rewrite its kind.
     """
     tie = tie or []
     order = ["frame_number", *tie, "slot"]
     rows = frame_message_rows(frames, tie)
     by_kind = Window.partitionBy("uid", "kind").orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(by_kind)).where(F.col("_n") <= 2 * MAX_HISTORY)
+    rows = rows.withColumn("_n", F.row_number().over(by_kind))
     real = messages.where(F.col("kind") != "direction_flip")
     by_message = Window.partitionBy("uid", "kind").orderBy("position")
     real = real.withColumn("_n", F.row_number().over(by_message))
@@ -164,7 +161,7 @@ def attach_frames(messages: DataFrame, frames: DataFrame, tie: list[str] | None
     queue = F.when(overflow, "server_hello").otherwise(F.col("kind"))
     rows = rows.withColumn("_queue", queue)
     by_queue = Window.partitionBy("uid", "_queue").orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(by_queue)).where(F.col("_n") <= MAX_HISTORY)
+    rows = rows.withColumn("_n", F.row_number().over(by_queue))
     taken = rows.select(
         "uid",
         F.col("_queue").alias("kind"),
@@ -232,7 +229,7 @@ def certificate_frames(messages: DataFrame) -> DataFrame:
 def timeline(handshakes: DataFrame, keys: list[str]) -> DataFrame:
     """Horizontal place of each message and the width of its row; no shuffle, because a history
     and its messages sit in one row."""
-    messages = tls.history_messages(F.col("ssl_history"), MAX_HISTORY)
+    messages = tls.history_messages(F.col("ssl_history"))
     width = F.greatest(F.lit(160), F.lit(28) + F.size(messages) * 92)
     rows = handshakes.select(*keys, width.alias("width"), F.explode(messages).alias("_m"))
     return rows.select(*keys, "_m.*", "width", (F.lit(16) + F.col("_m.position") * 92).alias("x"))

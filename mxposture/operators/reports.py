@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,38 +76,38 @@ def priority_band() -> Column:
     )
 
 
-def attention_queue(rows: DataFrame, limit: int = 4) -> DataFrame:
-    """First findings to look at, with their priority band."""
-    return rows.orderBy(*dashboard_order()).limit(limit).withColumn("priority", priority_band())
+def leading(rows: DataFrame, by: list[str], order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows of every case; the rank limit is applied before the exchange too."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
-def briefing(top: DataFrame, counts: DataFrame) -> DataFrame:
-    """Title and detail of the case briefing from the leading finding and the coverage counts."""
-    first = top.orderBy(*dashboard_order()).limit(1).select("title", "affected_endpoint", "score")
-    gaps = counts.select(
-        (F.col("unknown_count") + F.col("not_observable_count")).alias("gaps"), "failed_count"
-    )
-    both = first.unionByName(gaps, allowMissingColumns=True)
-    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+def attention_queue(rows: DataFrame, by: list[str], limit: int = 4) -> DataFrame:
+    """The findings of each case (``by``) to look at first, with their priority band."""
+    return leading(rows, by, dashboard_order(), limit).withColumn("priority", priority_band())
+
+
+def briefing(top: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """Title and detail of each case's briefing: its leading finding and its coverage counts."""
+    first = leading(top, by, dashboard_order(), 1).select(*by, "title", "affected_endpoint", "score")
+    gaps = (F.col("unknown_count") + F.col("not_observable_count")).alias("gaps")
+    row = counts.select(*by, gaps, "failed_count").join(first, by, "full")
+    row = row.fillna(0, ["gaps", "failed_count"])
     found = F.col("title").isNotNull()
     title = (
         F.when(found, F.concat(F.lit("Review first: "), F.col("title")))
         .when(F.col("gaps") > 0, "Nothing failed, but part of the evidence is missing.")
         .otherwise("Nothing failed in what was observed.")
     )
-    detail = F.when(
-        found,
-        F.format_string(
-            "%s scores %d of 100; %d checks failed, %d are open.",
-            "affected_endpoint",
-            "score",
-            "failed_count",
-            "gaps",
-        ),
-    ).when(F.col("gaps") > 0, F.format_string("Open checks: %d.", "gaps")).otherwise(
-        "Every check that applies has passed."
+    lead = F.format_string(
+        "%s scores %d of 100; %d checks failed, %d are open.", "affected_endpoint", "score", "failed_count", "gaps"
+    )
+    detail = (
+        F.when(found, lead)
+        .when(F.col("gaps") > 0, F.format_string("Open checks: %d.", "gaps"))
+        .otherwise("Every check that applies has passed.")
     )
-    return row.select(title.alias("title"), detail.alias("detail"))
+    return row.select(*by, title.alias("title"), detail.alias("detail"))
 
 
 # --- evidence resolution -------------------------------------------------------------------------
@@ -407,6 +407,6 @@ def _certificate_state() -> Column:
     )
 
 
-def observations(events: DataFrame, limit: int = 8) -> DataFrame:
-    """First protocol events that carry text."""
-    return events.where(F.length("text") > 0).orderBy("uid", "ord").limit(limit)
+def observations(events: DataFrame, by: list[str], limit: int = 8) -> DataFrame:
+    """First protocol events of each case that carry text."""
+    return leading(events.where(F.length("text") > 0), by, [F.col("uid"), F.col("ord")], limit)

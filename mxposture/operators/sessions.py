@@ -48,7 +48,7 @@ def clean_events(events: DataFrame, flows: DataFrame | None = None) -> DataFrame
     """Legal event rows of known flows, commands upper-cased, secrets replaced."""
     if flows is not None:
         events = events.join(flows.select("uid"), "uid", "left_semi")
-    command = F.upper(bounded_string(F.col("command"), 32))
+    command = F.upper(bounded_string(F.col("command")))
     kind = F.lower(F.col("kind"))
     return (
         events.withColumn("kind", kind)

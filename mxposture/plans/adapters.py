@@ -100,25 +100,25 @@ FROM lineitem
 """
 
 VIEWS["x_assets"] = """
-SELECT concat('198.51.100.', CAST(s_suppkey AS STRING)) AS endpoint,
+SELECT concat(CASE WHEN s_suppkey % 10 = 4 THEN '203.0.113.' ELSE '198.51.100.' END, CAST(s_suppkey AS STRING)) AS endpoint,
        CASE s_nationkey % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'partner' WHEN 2 THEN 'internal' WHEN 3 THEN 'isolated' ELSE 'unknown' END AS exposure,
        CASE WHEN s_acctbal > 7000 THEN 'critical' WHEN s_acctbal > 4000 THEN 'high' WHEN s_acctbal > 1000 THEN 'medium' ELSE 'low' END AS asset_criticality,
        CASE s_nationkey % 3 WHEN 0 THEN 'organization' WHEN 1 THEN 'multi_asset' ELSE 'single_endpoint' END AS blast_radius
-FROM supplier WHERE s_suppkey < 45
+FROM supplier
 """
 
 VIEWS["x_daily"] = """
 SELECT CAST(user_id AS STRING) AS endpoint_id, concat('site_', CAST(user_id % 3 AS STRING)) AS site_id,
        CASE user_id % 4 WHEN 0 THEN 'smtp_mx' WHEN 1 THEN 'smtp_submission' WHEN 2 THEN 'imap_access' ELSE 'pop3_access' END AS protocol_role,
-       CAST(day(ts) - 1 AS BIGINT) AS day_index, count(*) AS session_count,
+       CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS BIGINT) AS day_index, count(*) AS session_count,
        avg(CASE WHEN event_type = 'error' THEN 1.0E0 ELSE 0.0E0 END) AS handshake_failure_rate,
        avg(CASE WHEN event_type = 'signup' THEN 1.0E0 ELSE 0.0E0 END) AS alert_rate,
        avg(CASE WHEN event_type = 'view' THEN 1.0E0 ELSE 0.0E0 END) AS tls13_share,
        avg(CASE WHEN event_type = 'click' THEN 1.0E0 ELSE 0.0E0 END) AS tls12_share,
        avg(CASE WHEN event_type = 'purchase' THEN 1.0E0 ELSE 0.0E0 END) AS starttls_fallback_rate,
        min(event_type) AS issuer_id, max(event_type) AS dominant_tls_version,
-       user_id % 25 = 3 AND day(ts) BETWEEN 18 AND 20 AS in_maintenance
-FROM events GROUP BY user_id, day(ts)
+       user_id % 25 = 3 AND CAST(ts AS DATE) BETWEEN DATE '2024-01-18' AND DATE '2024-01-20' AS in_maintenance
+FROM events GROUP BY user_id, CAST(ts AS DATE)
 """
 
 VIEWS["x_labels"] = """

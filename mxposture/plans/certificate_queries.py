@@ -12,9 +12,10 @@ from mxposture.plans.registry import query
 
 # Extracted certificates: digests are padded numbers, so both engines write them alike.
 VIEWS["x_extracted"] = """
-SELECT p_partkey AS cert_no, lpad(CAST(p_partkey AS STRING), 64, '0') AS sha256,
-       lpad(CAST(p_partkey AS STRING), 40, '0') AS sha1, concat('F', CAST(p_partkey AS STRING)) AS fuid
-FROM part WHERE p_partkey % 11 <> 0
+SELECT p_partkey AS cert_no, lpad(CAST(p_partkey AS STRING), 64, CASE WHEN p_partkey % 11 = 0 THEN 'e' ELSE '0' END) AS sha256,
+       lpad(CAST(p_partkey AS STRING), 40, CASE WHEN p_partkey % 11 = 0 THEN 'e' ELSE '0' END) AS sha1,
+       concat(CASE WHEN p_partkey % 11 = 0 THEN 'E' ELSE 'F' END, CAST(p_partkey AS STRING)) AS fuid
+FROM part
 """
 
 VIEWS["x_fingerprints"] = """
@@ -94,7 +95,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j08_fingerprint_join",
     """SELECT DISTINCT uid, role, chain_index, sha256 AS der_sha256 FROM x_fingerprints JOIN x_extracted ON part = cert_no
-       WHERE part % 4 <> 3""",
+       WHERE part % 4 <> 3 AND part % 11 <> 0""",
 )
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "x_fingerprints").drop("part")
@@ -105,7 +106,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j09_file_fallback",
     """SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY ord, der_sha256) - 1 AS INTEGER) AS chain_index, der_sha256, truncated
        FROM (SELECT conn_uid AS uid, sha256_of AS der_sha256, min(ord) AS ord, bool_or(truncated) AS truncated
-             FROM x_cert_files f JOIN (SELECT cert_no, sha256 AS sha256_of FROM x_extracted) e ON f.part = e.cert_no
+             FROM x_cert_files f JOIN (SELECT cert_no, sha256 AS sha256_of FROM x_extracted WHERE cert_no % 11 <> 0) e ON f.part = e.cert_no
              WHERE conn_uid IN (SELECT uid FROM x_ssl WHERE contains(ssl_history, 'x')) GROUP BY 1, 2)""",
 )
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ _RANK = """CASE basis_state WHEN 'conflicting' THEN 0 WHEN 'incomplete' THEN 1 W
 _SEV = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _STATES = "['conflicting','incomplete','indeterminate','not_observable','inferred','observed','verified']"
 
+# Four sums over 48-bit words of the member ids' hashes: the same for any order of the members.
+_WORDS = ", ".join(f"sum(CAST('0x' || substr(sha256(finding_id), {1 + 12 * i}, 12) AS BIGINT))" for i in range(4))
+
 VIEWS["y_clusters"] = f"""
 SELECT code, affected_endpoint, policy_profile,
   CASE WHEN bool_or(outcome = 'negative') THEN 'negative' ELSE 'indeterminate' END AS outcome,
@@ -28,7 +31,7 @@ SELECT code, affected_endpoint, policy_profile,
   coalesce(min(finding_id) FILTER (outcome = 'negative'), min(finding_id)) AS representative_id,
   max(evaluated_at) AS evaluated_at, min(evaluated_at) AS first_at,
   sha256(concat_ws('|', 'endpoint', code, affected_endpoint, policy_profile, 'pack-1',
-         string_agg(finding_id, '|' ORDER BY finding_id))) AS finding_id
+         count(*), {_WORDS})) AS finding_id
 FROM x_findings GROUP BY code, affected_endpoint, policy_profile
 """
 
@@ -144,8 +147,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
          SELECT *, row_number() OVER (PARTITION BY code, affected_endpoint
                   ORDER BY record_type, record_key, field_path, evidence_state) AS n
          FROM (SELECT DISTINCT code, affected_endpoint, record_type, record_key,
-                 record_type || '.evidence_state' AS field_path, basis_state AS evidence_state FROM x_findings))
-       WHERE n <= 1024""",
+                 record_type || '.evidence_state' AS field_path, basis_state AS evidence_state FROM x_findings))""",
 )
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = findings(spark, sf_dir).select(

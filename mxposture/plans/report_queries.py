@@ -76,27 +76,34 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return global_position(rows, ops.dashboard_order()).select("position", "finding_id")
 
 
+# Each policy profile's run is a case of its own; checks belong to the runs by their record.
+_CHECK_CASE = "CASE WHEN CAST(record_key AS BIGINT) % 2 = 0 THEN 'profile_a' ELSE 'profile_b' END"
+_BY_PRIORITY = "score DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, code, finding_id"
+
+
 @query(
     "t07_attention_queue",
-    """SELECT finding_id, score, CASE WHEN severity = 'high' OR score >= 80 THEN 1 WHEN severity = 'medium' OR score >= 50 THEN 2 ELSE 3 END AS priority
-       FROM y_scored ORDER BY score DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, code, finding_id LIMIT 4""",
+    f"""SELECT policy_profile, finding_id, score, CASE WHEN severity = 'high' OR score >= 80 THEN 1 WHEN severity = 'medium' OR score >= 50 THEN 2 ELSE 3 END AS priority
+       FROM y_scored QUALIFY row_number() OVER (PARTITION BY policy_profile ORDER BY {_BY_PRIORITY}) <= 4""",
 )
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("title", F.col("code"))
-    return ops.attention_queue(rows).select("finding_id", "score", "priority")
+    return ops.attention_queue(rows, ["policy_profile"]).select("policy_profile", "finding_id", "score", "priority")
 
 
 @query(
     "f48_briefing",
-    """SELECT 'Review first: ' || code AS title, affected_endpoint || ' scores ' || score || ' of 100; ' ||
-         (SELECT count(*) FROM x_checks WHERE outcome = 'fail') || ' checks failed, ' ||
-         (SELECT count(*) FROM x_checks WHERE outcome IN ('unknown', 'not_observable')) || ' are open.' AS detail
-       FROM y_scored ORDER BY score DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, code, finding_id LIMIT 1""",
+    f"""SELECT policy_profile, 'Review first: ' || code AS title, affected_endpoint || ' scores ' || score || ' of 100; ' ||
+         failed || ' checks failed, ' || gaps || ' are open.' AS detail
+       FROM y_scored JOIN (SELECT {_CHECK_CASE} AS policy_profile, count(*) FILTER (outcome = 'fail') AS failed,
+         count(*) FILTER (outcome IN ('unknown', 'not_observable')) AS gaps FROM x_checks GROUP BY 1) USING (policy_profile)
+       QUALIFY row_number() OVER (PARTITION BY policy_profile ORDER BY {_BY_PRIORITY}) = 1""",
 )
 def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("title", F.col("code"))
-    counts = view(spark, sf_dir, "x_checks").agg(*finding_ops.outcome_counts())
-    return ops.briefing(rows, counts)
+    checks = view(spark, sf_dir, "x_checks").withColumn("policy_profile", F.expr(_CHECK_CASE))
+    counts = checks.groupBy("policy_profile").agg(*finding_ops.outcome_counts())
+    return ops.briefing(rows, counts, ["policy_profile"])
 
 
 VIEWS["x_references"] = """
@@ -361,10 +368,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t08_text_observations",
-    "SELECT uid, ord, text FROM x_dialogue WHERE length(text) > 0 ORDER BY uid, ord LIMIT 8",
+    """SELECT case_no, uid, ord, text FROM (SELECT CAST(uid AS BIGINT) % 97 AS case_no, uid, ord, text FROM x_dialogue WHERE length(text) > 0)
+       QUALIFY row_number() OVER (PARTITION BY case_no ORDER BY uid, ord) <= 8""",
 )
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.observations(view(spark, sf_dir, "x_dialogue")).select("uid", "ord", "text")
+    events = view(spark, sf_dir, "x_dialogue").withColumn("case_no", F.col("uid").cast("bigint") % 97)
+    return ops.observations(events, ["case_no"]).select("case_no", "uid", "ord", "text")
 
 
 # --- validation ---------------------------------------------------------------------------------------

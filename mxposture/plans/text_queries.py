@@ -16,7 +16,7 @@ _EDGE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 @query(
     "f05_bounded_text",
-    f"""SELECT doc_id, substr(stripped, 1, 128) AS bounded FROM (SELECT doc_id, regexp_replace(text, '{_EDGE}', '', 'g') AS stripped FROM documents)
+    f"""SELECT doc_id, stripped AS bounded FROM (SELECT doc_id, regexp_replace(text, '{_EDGE}', '', 'g') AS stripped FROM documents)
         WHERE length(stripped) > 0""",
 )
 def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ _SECRETS = ", ".join(f"'{c}'" for c in SECRET_COMMANDS)
 
 @query(
     "f06_redaction",
-    f"""SELECT doc_id, CASE WHEN command IN ({_SECRETS}) THEN '<redacted>' ELSE substr(stripped, 1, 128) END AS shown FROM (
+    f"""SELECT doc_id, CASE WHEN command IN ({_SECRETS}) THEN '<redacted>' ELSE stripped END AS shown FROM (
         SELECT doc_id, regexp_replace(text, '{_EDGE}', '', 'g') AS stripped,
           CASE doc_id % 5 WHEN 0 THEN 'AUTH' WHEN 1 THEN 'NOOP' WHEN 2 THEN 'MAIL' WHEN 3 THEN '**' ELSE 'EHLO' END AS command FROM documents)
         WHERE length(stripped) > 0""",
@@ -99,7 +99,7 @@ def byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f44_case_ids",
-    r"""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'case-' || page_id ELSE concat(CASE WHEN regexp_matches(c, '^[A-Za-z0-9]') THEN substr(c, 1, 140) ELSE 'cap' END,
+    r"""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'case-' || page_id ELSE concat(CASE WHEN regexp_matches(c, '^[A-Za-z0-9]') THEN c ELSE 'cap' END,
          '-', substr(sha256(url), 1, 8)) END AS case_id FROM (SELECT page_id, url, regexp_replace(regexp_replace(
          regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS c FROM pages)""",
 )
@@ -204,7 +204,7 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s14_history_retention",
-    "SELECT endpoint_id, day_index FROM x_daily ORDER BY day_index DESC, endpoint_id DESC LIMIT 512",
+    "SELECT endpoint_id, day_index FROM x_daily",
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mxposture.sources.stores import retain_last
@@ -281,14 +281,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flows": view(spark, sf_dir, "x_conn").withColumn("capture_id", capture),
         "handshakes": view(spark, sf_dir, "x_ssl").withColumn("capture_id", capture),
     }
-    docs = nested_documents(evidence_rows(sections))
-    records = F.flatten(F.map_values("document"))
-    uids = F.transform(records, lambda r: F.get_json_object(r, "$.uid").cast("bigint"))
-    return docs.select(
-        "capture_id",
-        F.size(records).cast("bigint").alias("records"),
-        F.aggregate(uids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("uid_sum"),
-    )
+    docs = nested_documents(evidence_rows(sections), part_records=50)
+    uids = F.transform("records", lambda r: F.get_json_object(r, "$.uid").cast("bigint"))
+    in_part = F.aggregate(uids, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    parts = docs.select("capture_id", F.size("records").cast("bigint").alias("n"), in_part.alias("uids"))
+    return parts.groupBy("capture_id").agg(F.sum("n").alias("records"), F.sum("uids").alias("uid_sum"))
 
 
 @query(

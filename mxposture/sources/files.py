@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mxposture.constants import CAPTURE_MAGIC
 
 MAX_CAPTURE_BYTES = 64 * 1024 * 1024
-MAX_CERTIFICATE_BYTES = 64 * 1024
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -41,10 +40,12 @@ def check_captures(files: DataFrame, max_bytes: int = MAX_CAPTURE_BYTES) -> Data
     )
 
 
-def extracted_certificates(files: DataFrame, max_bytes: int = MAX_CERTIFICATE_BYTES) -> DataFrame:
-    """Digests and file id (the file stem) of extracted certificates within the size bound."""
+def extracted_certificates(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Digests and file id (the file stem) of non-empty extracted certificates."""
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    small = files.where((F.col("length") > 0) & (F.col("length") <= max_bytes))
+    small = files.where(F.col("length") > 0)
+    if max_bytes is not None:
+        small = small.where(F.col("length") <= max_bytes)
     return small.select(
         F.sha2("content", 256).alias("sha256"),
         F.sha1("content").alias("sha1"),

@@ -99,12 +99,12 @@ def read_code_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return first_per_code(suites), first_per_code(groups)
 
 
-def read_trust_anchors(spark: SparkSession, path: str, max_anchors: int = 512) -> DataFrame:
-    """Trust anchors as parsed facts (subject, validity); the count is checked before use."""
+def read_trust_anchors(spark: SparkSession, path: str, max_anchors: int | None = None) -> DataFrame:
+    """Trust anchors as parsed facts (subject, validity); their number is checked if a bound is given."""
     anchors = spark.read.schema(
         "subject string, key_id string, not_before timestamp, not_after timestamp"
     ).json(path)
-    if anchors.limit(max_anchors + 1).count() > max_anchors:
+    if max_anchors is not None and anchors.limit(max_anchors + 1).count() > max_anchors:
         raise ValueError("trust store holds too many anchors")
     if anchors.limit(1).count() == 0:
         raise ValueError("trust store holds no anchor")

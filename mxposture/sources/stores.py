@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECTIONS = ["flows", "sessions", "handshakes", "certificates", "findings", "policy_checks"]
-# A nested document is one row; captures with more records stay in the row form.
-MAX_DOCUMENT_RECORDS = 10_000
+# A document is one row; this many records, about, are in one.
+PART_RECORDS = 10_000
 
 
 # --- evidence sink ---------------------------------------------------------------------------
@@ -26,33 +26,26 @@ def evidence_rows(sections: dict[str, DataFrame], key: str = "capture_id") -> Da
 
 
 def nested_documents(
-    rows: DataFrame, key: str = "capture_id", max_records: int = MAX_DOCUMENT_RECORDS
+    rows: DataFrame, key: str = "capture_id", part_records: int = PART_RECORDS
 ) -> DataFrame:
-    """One sorted document per capture for captures of at most ``max_records`` records.
+    """Sorted documents (capture, section, part) of every capture, large or small.
 
-    The record counts decide first; larger captures never enter the grouping and are written in
-    their row form by :func:`write_evidence`.
+    A section is dealt into as many parts as it takes for about ``part_records`` records each, by a
+    hash of the record, so no list grows with its capture.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    small = rows.join(sizes.where(F.col("_n") <= max_records).select(key), key, "left_semi")
-    sections = small.groupBy(key, "section").agg(F.sort_array(F.collect_list("record")).alias("records"))
-    return sections.groupBy(key).agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("section", "records")))
-        ).alias("document")
+    sizes = rows.groupBy(key, "section").agg(F.ceil(F.count(F.lit(1)) / part_records).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("record"), F.col("parts")).cast("int")
+    dealt = rows.join(sizes, [key, "section"]).withColumn("part", part)
+    return dealt.groupBy(key, "section", "part", "parts").agg(
+        F.sort_array(F.collect_list("record")).alias("records")
     )
 
 
 def write_evidence(
-    rows: DataFrame, path: str, key: str = "capture_id", max_records: int = MAX_DOCUMENT_RECORDS
+    rows: DataFrame, path: str, key: str = "capture_id", part_records: int = PART_RECORDS
 ) -> None:
-    """Nested documents for small captures, sorted row files by capture for all others."""
-    nested_documents(rows, key, max_records).write.mode("overwrite").json(f"{path}/documents")
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = rows.join(sizes.where(F.col("_n") > max_records).select(key), key, "left_semi")
-    large.repartitionByRange(key, "section", "record").sortWithinPartitions(
-        key, "section", "record"
-    ).write.mode("overwrite").json(f"{path}/records")
+    """The documents of every capture as JSON."""
+    nested_documents(rows, key, part_records).write.mode("overwrite").json(f"{path}/documents")
 
 
 # --- score requests ------------------------------------------------------------------------------
@@ -119,13 +112,15 @@ def check_capacity(rows: DataFrame, limit: int) -> None:
         raise ValueError(f"catalog exceeds {limit} entries")
 
 
-def retain_last(history: DataFrame, rows: DataFrame | None = None, limit: int = 512) -> DataFrame:
-    """The last ``limit`` windows by day and endpoint, after appending ``rows``.
+def retain_last(history: DataFrame, rows: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The windows after appending ``rows``; the last ``limit`` by day and endpoint if given.
 
     A sort with a limit is a distributed top-k: every partition keeps at most ``limit`` rows
     before they meet.
     """
     both = history if rows is None else history.unionByName(rows, allowMissingColumns=True)
+    if limit is None:
+        return both
     return both.orderBy(F.col("day_index").desc(), F.col("endpoint_id").desc()).limit(limit)
 
 
@@ -184,7 +179,7 @@ def read_cohort(spark: SparkSession, directory: str, schema_version: str) -> dic
     }
 
 
-def read_report_catalog(spark: SparkSession, path: str, limit: int = 256) -> DataFrame:
+def read_report_catalog(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Catalog entries with legal, unique ids and files; anything else is an error."""
     doc = spark.read.schema("reports array<struct<case_id:string,report:string>>").json(path, multiLine=True)
     rows = doc.select(F.explode("reports").alias("r")).select("r.*")
@@ -195,7 +190,7 @@ def read_report_catalog(spark: SparkSession, path: str, limit: int = 256) -> Dat
         F.count_distinct("case_id").alias("cases"),
         F.count_distinct("report").alias("files"),
     ).first()
-    if bad["n"] > limit:
+    if limit is not None and bad["n"] > limit:
         raise ValueError("catalog holds too many reports")
     if bad["illegal"] or bad["cases"] != bad["n"] or bad["files"] != bad["n"]:
         raise ValueError("catalog ids or files are not unique or not legal")

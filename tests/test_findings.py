@@ -28,6 +28,13 @@ ROWS = [
 ]
 
 
+def member_id(cluster, members):
+    hashes = [hashlib.sha256(m.encode()).hexdigest() for m in members]
+    sums = [str(sum(int(h[12 * i : 12 * i + 12], 16) for h in hashes)) for i in range(4)]
+    key = [cluster.code, cluster.affected_endpoint, cluster.policy_profile, cluster.policy_pack_version]
+    return hashlib.sha256("|".join(["endpoint", *key, str(len(members)), *sums]).encode()).hexdigest()
+
+
 def test_cluster_fields_and_id(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     got = {r.code: r for r in ops.cluster_findings(rows, ["title"]).collect()}
@@ -35,9 +42,7 @@ def test_cluster_fields_and_id(spark):
     # Negative members decide severity and basis; the text is that of the smallest negative id.
     assert (c.outcome, c.severity, c.basis_state, c.title) == ("negative", "medium", "inferred", "t1")
     assert (c.recurrence_count, c.unique_occurrences) == (4, 3)
-    ids = sorted(r[0] for r in ROWS if r[1] == "C")
-    text = "|".join(["endpoint", "C", "h:25", "p", "v", *ids])
-    assert c.finding_id == hashlib.sha256(text.encode()).hexdigest()
+    assert c.finding_id == member_id(c, [r[0] for r in ROWS if r[1] == "C"])
     assert (got["D"].outcome, got["D"].basis_state) == ("indeterminate", "incomplete")
 
 
@@ -49,14 +54,15 @@ def test_order_does_not_matter(spark):
     assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
 
 
-def test_large_clusters_get_an_order_free_digest(spark):
+def test_ids_do_not_change_kind_with_size(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
-    a = {r.code: r.finding_id for r in ops.cluster_findings(rows, exact_members=2).collect()}
-    b = {r.code: r.finding_id for r in ops.cluster_findings(rows.repartition(4), exact_members=2).collect()}
-    exact = {r.code: r.finding_id for r in ops.cluster_findings(rows).collect()}
-    assert a == b and a["D"] == exact["D"] and a["C"] != exact["C"]
-    fewer = ops.cluster_findings(rows.where(F.col("title") != "t4"), exact_members=2)
-    assert {r.code: r.finding_id for r in fewer.collect()}["C"] != a["C"]
+    ids = {r.code: r.finding_id for r in ops.cluster_findings(rows.repartition(4)).collect()}
+    fewer = ops.cluster_findings(rows.where(F.col("title") != "t4"))
+    assert {r.code: r.finding_id for r in fewer.collect()}["C"] != ids["C"]
+    base = rows.where("code = 'C'").limit(1).drop("finding_id")
+    many = spark.range(5000).select(F.concat(F.lit("m"), "id").alias("finding_id")).crossJoin(base).select(rows.columns)
+    got = ops.cluster_findings(many).collect()
+    assert len(got) == 1 and got[0].recurrence_count == 5000 and got[0].finding_id == member_id(many.collect()[0], [f"m{i}" for i in range(5000)])
 
 
 def test_score_parts_and_cap(spark):

@@ -142,10 +142,17 @@ def test_catalog_and_documents(spark, tmp_path):
         stores.read_report_catalog(spark, str(tmp_path / "catalog.json"))
     rows = spark.createDataFrame([("c1", i) for i in range(3)] + [("c2", i) for i in range(9)], "capture_id string, uid int")
     evidence = stores.evidence_rows({"flows": rows})
-    stores.write_evidence(evidence, str(tmp_path / "out"), max_records=5)
+    stores.write_evidence(evidence, str(tmp_path / "out"), part_records=5)
     docs = spark.read.json(str(tmp_path / "out" / "documents"))
-    assert [r.capture_id for r in docs.collect()] == ["c1"] and len(docs.first().document.flows) == 3
-    assert spark.read.json(str(tmp_path / "out" / "records")).count() == 9
+    held = docs.select("capture_id", F.explode("records").alias("r")).groupBy("capture_id").count()
+    assert {r.capture_id: r["count"] for r in held.collect()} == {"c1": 3, "c2": 9}
+
+
+def test_a_capture_of_any_size_keeps_its_records(spark):
+    rows = spark.range(25_000).select(F.lit("c1").alias("capture_id"), F.col("id").alias("uid"))
+    docs = stores.nested_documents(stores.evidence_rows({"flows": rows})).persist()
+    assert docs.count() == 3 and docs.agg(F.sum(F.size("records"))).first()[0] == 25_000
+    assert docs.agg(F.max(F.size("records"))).first()[0] < 12_000
 
 
 def test_cohort_job(spark, tmp_path):
