@@ -150,13 +150,21 @@ def packed(
         for batch in slices(batches):
             found, bounds = own.encode(*byte_offsets(batch.column(1)))
             ended = np.insert(found, bounds[1:], np.uint32(end_id))
-            keys += batch.column(0).to_pylist()
-            lengths.append(np.diff(bounds) + 1)
-            ids.append(ended)
-            size += len(ended)
-            if size >= ids_per_segment:
-                yield row()
-                keys, lengths, ids, size, number = [], [], [], 0, number + 1
+            names = batch.column(0).to_pylist()
+            borders = bounds + np.arange(len(bounds))
+            at = 0
+            while at < len(names):
+                # Up to the document that fills the segment.
+                full = np.searchsorted(borders, borders[at] + ids_per_segment - size)
+                stop = min(len(names), max(at + 1, int(full)))
+                keys += names[at:stop]
+                lengths.append(np.diff(borders[at : stop + 1]))
+                ids.append(ended[borders[at] : borders[stop]])
+                size += int(borders[stop] - borders[at])
+                at = stop
+                if size >= ids_per_segment:
+                    yield row()
+                    keys, lengths, ids, size, number = [], [], [], 0, number + 1
         if keys:
             yield row()
 
