@@ -177,19 +177,23 @@ def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("endpoint_id", "day_index", F.round("drift", 5).alias("drift"))
 
 
+# Sessions are cut after their second and fourth row, ends come last.
+_IN_ORDER = ["ord <= 2 AND kind <> 'end'", "ord BETWEEN 3 AND 4 AND kind <> 'end'", "ord > 4 OR kind = 'end'"]
+
+
 @query("st08_upgrade_stream", "SELECT uid, protocol, state FROM y_dialogue_upgrades")
 def upgrade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogues with their end events streamed through the upgrade machine."""
+    """Dialogues streamed through the upgrade machine in three lots; the hello comes with the last row."""
     path = run.work_dir(spark, "dialogues")
     rows = view(spark, sf_dir, "x_dialogue").drop("frame_number", "is_orig")
     ends = rows.groupBy("uid").agg(
         (F.max("ord") + 1).alias("ord"), F.max("protocol").alias("protocol"), F.max("client_hello").alias("client_hello")
     ).withColumn("kind", F.lit("end"))
-    rows = rows.unionByName(ends, allowMissingColumns=True)
-    rows.write.parquet(path)
+    rows = rows.withColumn("client_hello", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    run.write_parts(rows, path, _IN_ORDER)
 
     def build() -> DataFrame:
-        return online.upgrade_stream(spark.readStream.schema(rows.schema).parquet(path))
+        return online.upgrade_stream(run.files_stream(spark, path, rows.schema, files_per_batch=4))
 
     out = run.run_stateful(spark, build, "upgrade")
     return out.select("uid", "protocol", F.coalesce("state", F.lit("")).alias("state"))
@@ -197,21 +201,21 @@ def upgrade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "st04_protocol_stream",
-    """SELECT kind, count(*) AS events FROM (SELECT uid, ord, kind FROM (
-       WITH m AS (SELECT *, CASE WHEN protocol = 'pop3' THEN CASE WHEN kind = 'request' THEN coalesce(upper(command) = 'CAPA', false) WHEN kind = 'data' AND text = '.' THEN false END END AS mode FROM x_raw_events),
+    """WITH m AS (SELECT *, CASE WHEN protocol = 'pop3' THEN CASE WHEN kind = 'request' THEN coalesce(upper(command) = 'CAPA', false) WHEN kind = 'data' AND text = '.' THEN false END END AS mode FROM x_raw_events),
        l AS (SELECT *, last_value(mode IGNORE NULLS) OVER (PARTITION BY uid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS listing FROM m),
-       e AS (SELECT uid, ord, CASE WHEN kind = 'data' THEN 'capability' ELSE kind END AS kind FROM l
+       e AS (SELECT uid, ord, protocol, CASE WHEN kind = 'data' THEN 'capability' ELSE kind END AS kind, text FROM l
              WHERE kind NOT IN ('data', 'greeting', 'end') OR (kind = 'data' AND text <> '.' AND length(text) > 0 AND coalesce(listing, false)))
-       SELECT * FROM e UNION ALL SELECT uid, 1000000, 'ambiguous_banner' FROM (SELECT DISTINCT uid FROM x_raw_events WHERE kind = 'greeting')
-       WHERE uid NOT IN (SELECT uid FROM e))) GROUP BY kind""",
+       SELECT uid, ord, protocol, kind, coalesce(text, '') AS text FROM e UNION ALL
+       SELECT uid, 1000000, 'unknown', 'ambiguous_banner', '' FROM (SELECT DISTINCT uid FROM x_raw_events WHERE kind = 'greeting')
+       WHERE uid NOT IN (SELECT uid FROM e)""",
 )
 def protocol_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run.work_dir(spark, "raw-events")
     rows = view(spark, sf_dir, "x_raw_events")
-    rows.write.parquet(path)
+    run.write_parts(rows, path, _IN_ORDER)
 
     def build() -> DataFrame:
-        return protocols.protocol_stream(spark.readStream.schema(rows.schema).parquet(path))
+        return protocols.protocol_stream(run.files_stream(spark, path, rows.schema, files_per_batch=4))
 
     out = run.run_stateful(spark, build, "protocol")
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
+    return out.select("uid", "ord", "protocol", "kind", F.coalesce("text", F.lit("")).alias("text"))

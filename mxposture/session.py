@@ -33,15 +33,23 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so lost executors lose no work.
 
-    Sessions without a named folder (single-machine tests) keep the lazy plan: the result is
-    the same and nothing is written to a machine-local path.
+    Only local sessions without a named folder keep the lazy plan: the result is the same and
+    nothing is written to a machine-local path.
     """
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if folder is None:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return df
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

@@ -64,9 +64,14 @@ def drift_stream(values: DataFrame) -> DataFrame:
 
 
 class UpgradeProcessor(StatefulProcessor):
-    """Upgrade dialogue of one session; the outcome is emitted when the session ends."""
+    """Upgrade dialogue of one session; the outcome is emitted when the session ends.
 
-    FIELDS = "protocol string, hello boolean, advertised boolean, requested boolean, accepted boolean, waiting boolean, tag string, violation boolean, fallback boolean"
+    A risky command after the acceptance is only a violation if no client hello is seen in the whole
+    session, so both are kept as flags until then. Rows of a session must arrive in order between
+    micro-batches; inside one they are sorted.
+    """
+
+    FIELDS = "protocol string, hello boolean, advertised boolean, requested boolean, accepted boolean, waiting boolean, tag string, risky boolean, fallback boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("upgrade", self.FIELDS)
@@ -74,7 +79,7 @@ class UpgradeProcessor(StatefulProcessor):
     @staticmethod
     def outcome(s: dict) -> str | None:
         order = [
-            (s["violation"], "violation"),
+            (s["risky"] and not s["hello"], "violation"),
             (s["fallback"], "plaintext_fallback"),
             (s["accepted"] and s["hello"], "tls_established"),
             (s["accepted"], "accepted"),
@@ -113,8 +118,8 @@ class UpgradeProcessor(StatefulProcessor):
             harmful = e.kind == "unexpected" or command not in HARMLESS_COMMANDS.get(protocol, [])
             if e.kind == "request" and command in CREDENTIAL_COMMANDS.get(protocol, []) and not s["accepted"]:
                 s["fallback"] = True
-            if harmful and s["accepted"] and not s["hello"]:
-                s["violation"] = True
+            if harmful and s["accepted"]:
+                s["risky"] = True
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = [f.split()[0] for f in self.FIELDS.split(", ")]

@@ -93,7 +93,10 @@ def protocol_events(raw: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
 
 
 class ProtocolProcessor(StatefulProcessor):
-    """Stream form: three flags per connection, cleared when the connection ends."""
+    """Stream form: three flags per connection, cleared when the connection ends.
+
+    Rows of a connection must arrive in order between micro-batches; inside one they are sorted.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._flags = handle.getValueState("flags", "confirmed boolean, greeted boolean, listing boolean")

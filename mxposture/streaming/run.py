@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mxposture.session import checkpoint_dir
+from mxposture.session import checkpoint_dir, is_local
 from mxposture.sources.logs import LOG_SCHEMAS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,7 +23,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     base = checkpoint_dir(spark)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="mxposture-")
     return f"{base}/streams/{name}-{uuid.uuid4().hex}"
@@ -43,6 +43,17 @@ def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
 
 
+def files_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
+    """Parquet files in the order they were written, a bounded number in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def write_parts(rows: DataFrame, path: str, parts: list[str], files: int = 4) -> None:
+    """``rows`` as files, those that meet the first condition first, and so on."""
+    for condition in parts:
+        rows.where(condition).coalesce(files).write.mode("append").parquet(path)
+
+
 def run_upserts(stream: DataFrame, path: str, mode: str = "update") -> None:
     """Process everything that is there now. Each micro-batch owns one folder and overwrites it
     when it is repeated, so a restart neither loses nor doubles rows."""
