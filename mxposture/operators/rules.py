@@ -83,6 +83,16 @@ def session_struct(sessions: DataFrame, commands: DataFrame | None = None) -> Da
     )
 
 
+def pack_words(pack: RulePack) -> list[str]:
+    """The command words that the pack's rules look for, upper-cased."""
+    words = set()
+    for rule in pack.rules:
+        for p in (*rule.where, *rule.check):
+            if p.path == "derived.observed_commands" and p.value is not None:
+                words.update(p.value if isinstance(p.value, (list, tuple, set, frozenset)) else [p.value])
+    return sorted(w.upper() for w in words)
+
+
 def observed_commands(events: DataFrame, words: list[str]) -> DataFrame:
     """Which of ``words`` each session used; the set is bounded by the rule vocabulary."""
     used = events.withColumn("_c", F.upper("command")).where(F.col("_c").isin(words))

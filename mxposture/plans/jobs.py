@@ -97,7 +97,7 @@ def analyze_logs(
     certificates = checkpointed(
         _certificates(logs, ssl, last_tls, cert_facts, anchors, analysis_time)
     )
-    words = rule_ops.observed_commands(events, ["LOGIN", "PASS"])
+    words = rule_ops.observed_commands(events, rule_ops.pack_words(pack))
     flow_facts = flows.select("uid", F.col("capture_id").alias("_capture"), "capture_start_time")
     structs = (
         rule_ops.flow_struct(flows),
