@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from mxposture.llm.common import byte_offsets, code_points, empty_text, per_text, prefixed, slices
-from mxposture.llm.words import mixed
 
 Q = 12
 WINDOW = 120
@@ -43,6 +42,10 @@ for _i in range(1 << 16):
         _low = chr(_i).lower()
         _FOLD[_i] = ord(_low) if len(_low) == 1 else _i
 SPACE = np.uint32(0x20)
+_BASE = 0x9E3779B97F4A7C15
+_ROOT = [np.uint64(pow(_BASE, k, 2**64)) for k in (1, 2, 4)]
+OUTSIDE = np.uint32(0xFFFFFFFF)
+ALIGNED_TOGETHER = 1024
 
 
 def normalised(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,12 +65,11 @@ def gram_keys(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    wide = symbols.astype(np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(Q):
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total += wide[k : k + n]
-    return mixed(total)
+    # Polynomial hashes of 2, 4 and 8 symbols make up the one of 12.
+    two = symbols[:-1].astype(np.uint64) * _ROOT[0] + symbols[1:]
+    four = two[:-2] * _ROOT[1] + two[2:]
+    eight = four[:-4] * _ROOT[2] + four[4:]
+    return (eight[:n] * _ROOT[2] + four[8 : 8 + n]) * _ROOT[0]
 
 
 class Index:
@@ -132,34 +134,47 @@ class Index:
         for k in start[n >= self.bound[window[start]]]:
             yield int(text[k]), int(window[k]), int(band[k]) * BAND - WINDOW
 
-    def aligned(self, symbols: np.ndarray, low: int, high: int, window: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the window's best place on the band's diagonals of a text."""
-        pattern = self.windows[window]
-        allowed = int(self.edits[window])
-        width = BAND + self.overlap
-        from_, to = max(low, diagonal - allowed), min(high, diagonal + width + len(pattern) + allowed)
-        region = symbols[from_:to]
-        n = len(region)
-        ramp = np.arange(n + 1)
-        cost = np.zeros(n + 1, np.int64)
-        began = ramp.copy()
-        for symbol in pattern:
-            take = np.empty(n + 1, np.int64)
-            take[0] = 1 << 30
-            take[1:] = cost[:-1] + (region != symbol)
-            skip = cost + 1
-            diagonal_wins = take <= skip
-            best = np.where(diagonal_wins, take, skip)
-            source = np.where(diagonal_wins, np.append(0, began[:-1]), began)
-            # Characters of the text without a partner: each costs one more than its left neighbour.
+    def aligned(self, symbols: np.ndarray, bounds: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, end, edits) of the best place of each row (text, window, diagonal) of ``bands``.
+
+        All rows go through the pattern together. A column is a diagonal, from the band's first less
+        the edits to its last plus the edits; outside the text stands a symbol that equals none.
+        """
+        text, window, diagonal = bands.T
+        allowed = int(self.edits.max())
+        width = BAND + self.overlap + 2 * allowed + 1
+        first = diagonal - allowed
+        longest = max(len(self.windows[w]) for w in np.unique(window))
+        place = first[:, None] + np.arange(longest + width)
+        inside = (place >= bounds[text][:, None]) & (place < bounds[text + 1][:, None])
+        region = np.where(inside, symbols[np.clip(place, 0, len(symbols) - 1)], OUTSIDE)
+        size = np.array([len(self.windows[w]) for w in window])
+        patterns = np.zeros((len(bands), longest), np.uint32)
+        for k, w in enumerate(window):
+            patterns[k, : size[k]] = self.windows[w]
+        ramp = np.arange(width)
+        cost = np.zeros((len(bands), width), np.int64)
+        began = np.broadcast_to(ramp, cost.shape).copy()
+        for i in range(longest):
+            # The next symbol of the pattern meets one of the text, or has no partner.
+            best = cost + (region[:, i : i + width] != patterns[:, i, None])
+            source = began.copy()
+            alone = cost[:, 1:] + 1 < best[:, :-1]
+            best[:, :-1][alone] = (cost[:, 1:] + 1)[alone]
+            source[:, :-1][alone] = began[:, 1:][alone]
+            # Symbols of the text without a partner: each costs one more than its left neighbour.
             level = best - ramp
-            lowest = np.minimum.accumulate(level)
-            leader = np.maximum.accumulate(np.where(level == lowest, ramp, 0))
-            cost, began = lowest + ramp, source[leader]
-        end = int(cost.argmin())
-        if cost[end] > allowed:
-            return None
-        return from_ + int(began[end]), from_ + end, int(cost[end])
+            lowest = np.minimum.accumulate(level, axis=1)
+            leader = np.maximum.accumulate(np.where(level == lowest, ramp, 0), axis=1)
+            going = (i < size)[:, None]
+            cost = np.where(going, lowest + ramp, cost)
+            began = np.where(going, np.take_along_axis(source, leader, 1), began)
+        end = cost.argmin(axis=1)
+        rows = np.arange(len(bands))
+        edits = cost[rows, end]
+        start = np.maximum(first + began[rows, end], bounds[text])
+        stop = np.minimum(first + size + end, bounds[text + 1])
+        return start, stop, np.where(edits <= self.edits[window], edits, -1)
 
 
 def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int, int]]:
@@ -170,14 +185,16 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[i
     symbols, place, limits = normalised(points, bounds)
     found: dict[tuple, list[int]] = {}
     seen: set[tuple[int, int, int]] = set()
-    for text, window, diagonal in index.bands(symbols, limits):
-        hit = index.aligned(symbols, int(limits[text]), int(limits[text + 1]), window, diagonal)
-        if hit is None or hit[0] >= hit[1] or (text, window, hit[0]) in seen:
-            continue
-        seen.add((text, window, hit[0]))
-        start, end = int(place[hit[0]] - bounds[text]), int(place[hit[1] - 1] - bounds[text]) + 1
-        span = found.setdefault((text, index.item[window]), [start, end, 0, 0])
-        span[:] = [min(span[0], start), max(span[1], end), span[2] + 1, span[3] + hit[2]]
+    bands = np.array(list(index.bands(symbols, limits)), np.int64).reshape(-1, 3)
+    for k in range(0, len(bands), ALIGNED_TOGETHER):
+        part = bands[k : k + ALIGNED_TOGETHER]
+        for (text, window, _), first, last, edits in zip(part.tolist(), *index.aligned(symbols, limits, part)):
+            if edits < 0 or first >= last or (text, window, first) in seen:
+                continue
+            seen.add((text, window, first))
+            start, end = int(place[first] - bounds[text]), int(place[last - 1] - bounds[text]) + 1
+            span = found.setdefault((text, index.item[window]), [start, end, 0, 0])
+            span[:] = [min(span[0], start), max(span[1], end), span[2] + 1, span[3] + int(edits)]
     return [(t, item, *span) for (t, item), span in found.items()]
 
 
