@@ -45,7 +45,8 @@ LEAST_UP = 1.8
 LEAST_DOWN = 1.8
 WORD_NOISE = 14.0
 PART_ROWS = 8_000_000
-HELD_GRAMS = 4_000_000
+HELD_GRAMS = 1_000_000
+MANY_LANGUAGES = 10_000
 STEP = 1000
 
 SYMBOL = np.zeros(256, bool)
@@ -170,11 +171,14 @@ def model(counts: DataFrame) -> DataFrame:
         # Below the top a gram counts how many symbols stand before it; at the text's start its uses.
         at_start = F.shiftrightunsigned("gram", 16 * (k - 1)) == 0
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
-        levels[k] = (
+        grouped = (
             levels[k + 1]
             .groupBy("lang", shorter.alias("gram"))
             .agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("kinds"))
-            .select("lang", "gram", F.when(at_start, F.col("uses")).otherwise(F.col("kinds")).alias("n"))
+        )
+        # Each level is read three times below.
+        levels[k] = settled(
+            grouped.select("lang", "gram", F.when(at_start, F.col("uses")).otherwise(F.col("kinds")).alias("n"))
         )
     lower = None
     for k in range(1, ORDER + 1):
@@ -273,10 +277,9 @@ def perplexity(docs: DataFrame, keep: list[str], lang: str = "lang", text: str =
     own = [*keep, *digest(lang, text)]
     results = []
     for k in range(parts):
-        part = trained.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toPandas()
-        costs = spark.sparkContext.broadcast(
-            Costs(part["lang"].to_numpy(np.int64), part["gram"].to_numpy(np.int64), part["cost"].to_numpy(np.float32))
-        )
+        part = trained.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow().combine_chunks()
+        costs = spark.sparkContext.broadcast(Costs(*[part.column(c).to_numpy() for c in ("lang", "gram", "cost")]))
+        del part
         results.append(settled(scored(marked, costs, own, lang, text)))
         costs.destroy()
     rows = results[0]
@@ -328,10 +331,14 @@ def bands(rows: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text", **more) -> DataFrame:
     """``keep``, the digest, the measures, ``perplexity``, ``lower``, ``upper`` and ``kept``."""
     rows = perplexity(docs, keep, lang, text, **more)
+    limits = settled(bands(rows))
+    if limits.count() <= MANY_LANGUAGES:
+        # One row per language: a join by language would send most rows to a few tasks.
+        limits = F.broadcast(limits)
     noise = F.try_divide(F.lit(WORD_NOISE), F.sqrt("n_words"))
     inside = (F.col("cost") >= F.col("lower") - noise) & (F.col("cost") <= F.col("upper") + noise)
     return (
-        rows.join(bands(rows), "_lang_code", "left")
+        rows.join(limits, "_lang_code", "left")
         .withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
         .withColumns({n: F.exp(c) for n, c in (("perplexity", F.col("cost")), ("lower", F.col("lower")), ("upper", F.col("upper")))})
     )
