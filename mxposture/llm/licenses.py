@@ -145,13 +145,18 @@ def train(docs: DataFrame, text: str = "text", background: int = BACKGROUND, see
     examples = whole.select("family", F.explode(parts).alias("tokens")).select(
         "family", F.array_intersect(ngrams(F.col("tokens")), vocabulary_).alias("grams")
     ).where(F.size("grams") > 0)
+    # As many documents as give enough paragraphs, by hash, so the order below sees a bounded table.
+    share = min(1.0, 2.0 * background / max(1, docs.count()))
+    picked = F.pmod(F.xxhash64(F.lit(seed), empty_text(text)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     unknown = (
-        paragraphs(docs, [], text)
-        .select(F.lit(UNKNOWN).alias("family"), "tokens", F.xxhash64(F.lit(seed), "tokens").alias("order"))
-        .orderBy("order", "tokens")
-        .limit(background)
-        .select("family", F.array_intersect(ngrams(F.col("tokens")), vocabulary_).alias("grams"))
+        paragraphs(docs.where(picked), [], text)
+        .select("tokens", F.xxhash64(F.lit(seed), "tokens").alias("order"))
+        .select("order", F.array_intersect(ngrams(F.col("tokens")), vocabulary_).alias("grams"))
+        .dropDuplicates(["order"])
         .where(F.size("grams") < 4)
+        .orderBy("order")
+        .limit(background)
+        .select(F.lit(UNKNOWN).alias("family"), "grams")
     )
     families = [UNKNOWN, *NOTICES]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
