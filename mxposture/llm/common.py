@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 """Texts are worked on in slices of about this many bytes; one longer text is a slice of its own."""
 
 
@@ -57,6 +57,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             stop = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    # The worker stays for other tasks; what Arrow keeps for reuse would add up beside the JVM.
+    pa.default_memory_pool().release_unused()
 
 
 def byte_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ ASCII_WHITE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 WHITE_2 = (0xC285, 0xC2A0)
 WHITE_3 = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
 
-KEPT_UNITS = 2_000_000
+KEPT_UNITS = 1_200_000
 LEARNED_TOGETHER = 1000
 
 
@@ -83,8 +83,8 @@ class Units:
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, units: list[str]) -> None:
@@ -95,8 +95,8 @@ class Units:
             ids.append(np.array(found.ids, np.uint32))
             words = np.array(found.word_ids, np.int64)
             lengths.append(np.bincount(words, minlength=len(part)))
-        length = np.concatenate(lengths).astype(np.int64)
-        place = len(self.pool) + np.cumsum(length) - length
+        length = np.concatenate(lengths)
+        place = (len(self.pool) + np.cumsum(length) - length).astype(np.int32)
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, at, hashes[order])
@@ -106,7 +106,7 @@ class Units:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, place where each text begins, with the end)."""
-        if len(self.hashes) > self.kept:
+        if len(self.hashes) > self.kept or len(self.pool) > 64 * self.kept:
             self.forget()
         starts, ends, owner = cut_units(data, offsets, self.spaced)
         bounds = np.zeros(len(offsets), np.int64)
@@ -125,7 +125,7 @@ class Units:
             spellings = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
             self.learn(distinct[~known], spellings)
             at = np.searchsorted(self.hashes, distinct)
-        place, length = self.place[at][which], self.length[at][which]
+        place, length = self.place[at][which].astype(np.int64), self.length[at][which].astype(np.int64)
         upto = np.cumsum(length)
         index = np.repeat(place - (upto - length), length)
         index += np.arange(len(index))
