@@ -49,7 +49,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.MEASURES, "base_failed", "kept", "perplexity", "lower", "upper")
 
 
-@query("op7_minhash_coordinates")
+_NEAR_COPIES = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) > 1 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS other FROM w UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.other)
+SELECT id AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id, min(other) = id AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY id"""
+
+
+@query("op7_minhash_coordinates", _NEAR_COPIES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neardup.linked(documents(spark, sf_dir), width=2, percent=80)
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
