@@ -6,13 +6,18 @@ vertex's neighbours are listed in one place and nothing but two numbers a step r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mxposture.llm.common import settled
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+EDGES_PER_TASK = 50_000
+
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Edges (a, b), a > b, moved to the least neighbour of the vertex that joins them."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
@@ -25,16 +30,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             least.select("a", F.col("m").alias("b"))
         )
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every vertex of ``edges`` that is not the least of its component, and the least."""
     larger, smaller = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = settled(edges.where(F.col("a") != F.col("b")).select(larger, smaller).distinct())
-    seen = None
+    # Steps write as many files as the edges need, not as many as the largest table does.
+    tasks = max(1, math.ceil(now.count() / EDGES_PER_TASK))
+    now, seen = now.coalesce(tasks), None
     while True:
-        now = settled(_star(_star(now, True), False))
+        now = settled(_star(_star(now, True, tasks), False, tasks))
         state = now.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
         ).first()

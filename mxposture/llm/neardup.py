@@ -4,17 +4,18 @@
    of ``COORDINATES`` minima. Texts with equal sets form one class and go on as one.
 2. A class is posted under each of its (coordinate, value) pairs. Pairs that occur once can join
    nothing. Ordered from the rarest pair to the most frequent, two signatures that agree in
-   ``MATCHES`` of n places share at least ``HITS`` pairs among their first n - MATCHES + HITS; only
-   this prefix is posted for joining, so the long lists of common passages are skipped.
-3. Lists are merged in three rounds. The first two link a class with the head of its lists, which
-   joins large groups of copies through few pairs. Then, in lists that still hold several
-   components, members outside the list's largest component meet the others; pairs with fewer than
-   HITS shared postings are left, since they cannot reach the threshold. Pairs inside a component
-   need no test: its members are connected already.
-4. Pairs whose signatures agree in at least MATCHES places are confirmed by the exact size of
-   intersection and union. With 64 coordinates a pair at similarity 0.8 agrees in fewer than 32
-   places with probability below 1e-8.
-
+   ``MATCHES`` of n places share one of their first n - MATCHES + 1 pairs; only this prefix is
+   posted for joining, so the long lists of common passages are skipped.
+3. Lists are merged into clusters: in two rounds every class meets the head of its lists, then one
+   member of each cluster in a list meets another's, and those whose signatures agree in MATCHES
+   places fall into one cluster. So a large group of copies forms through few pairs. Then, in lists
+   that still hold several clusters, members outside the list's largest cluster meet the others.
+4. Links are confirmed by the exact size of intersection and union of the sets: inside a cluster by
+   looking up each class's shingles among the others', between clusters pair by pair. A cluster of
+   more than a block is cut: classes that its star already links are settled and only looked up,
+   the others are compared with every block. Only links that join something new are passed on.
+
+With 64 coordinates a pair at similarity 0.8 agrees in fewer than 36 places with probability 4e-6.
 Result: one row per document with its component, never a list of all pairs of a group.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing. A
@@ -25,7 +26,9 @@ equal results. No documents: an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,11 @@ from mxposture.llm.components import components
 from mxposture.llm.words import LOWER, SPACE, mixed, shingles, span_hashes, spans
 
 COORDINATES = 64
-MATCHES = 32
-HITS = 4
-PREFIX = COORDINATES - MATCHES + HITS
+MATCHES = 36
+PREFIX = COORDINATES - MATCHES + 1
+BLOCK_TEXTS = 4096
+BLOCK_SHINGLES = 2_000_000
+CLASSES_PER_TASK = 20_000
 
 _RANDOM = np.random.default_rng(7321)
 _MULTIPLIERS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,11 +78,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One row a set, (coordinate << 32) + minimum in each column; ``starts`` of non-empty sets."""
-    out = np.empty((len(starts), COORDINATES), np.int64)
+    """One row a set, the minimum of each coordinate's hash; ``starts`` of non-empty sets."""
+    out = np.empty((len(starts), COORDINATES), np.int32)
     for k in range(COORDINATES):
         values = ((hashes ^ _MASKS[k]) * _MULTIPLIERS[k]) >> np.uint64(32)
-        out[:, k] = np.minimum.reduceat(values, starts).astype(np.int64) + (k << 32)
+        out[:, k] = np.minimum.reduceat(values, starts).astype(np.uint32).view(np.int32)
     return out
 
 
@@ -100,7 +105,7 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
             full = np.flatnonzero(n)
             first, second = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             lists = np.zeros(len(n) + 1, np.int32)
-            values = np.zeros(0, np.int64)
+            values = np.zeros(0, np.int32)
             if len(full):
                 starts = bounds[:-1][full]
                 first[full] = np.add.reduceat(mixed(hashes), starts)
@@ -119,7 +124,7 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
             )
 
     schema = (
-        "doc_id long, _text_a long, _text_b long, n_shingles long, set_a long, set_b long, signature array<long>"
+        "doc_id long, _text_a long, _text_b long, n_shingles long, set_a long, set_b long, signature array<int>"
     )
     return rows.mapInArrow(sketch, schema)
 
@@ -139,7 +144,11 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def postings(nodes: DataFrame) -> DataFrame:
     """(pair, node) of each class's prefix: its rarest pairs that another class has too."""
-    all_pairs = nodes.where(F.col("first_id").isNotNull()).select("node", F.explode("signature").alias("pair"))
+    all_pairs = nodes.where(F.col("first_id").isNotNull()).select(
+        "node", F.posexplode("signature").alias("k", "v")
+    )
+    tagged = F.shiftleft(F.col("k").cast("long"), 32) + F.col("v")
+    all_pairs = all_pairs.select("node", tagged.alias("pair"))
     often = all_pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = all_pairs.join(often, "pair").groupBy("node").agg(F.collect_list(F.struct("n", "pair")).alias("pairs"))
     # The pairs that are a class's own come before all these and fill part of its prefix.
@@ -183,7 +192,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None, percen
     """The pairs (a, b) whose signatures, and if given sets, are similar enough."""
     own = nodes.select(F.col("node").alias("a"), F.col("signature").alias("of_a"))
     other = nodes.select(F.col("node").alias("b"), F.col("signature").alias("of_b"))
-    agree = F.size(F.array_intersect("of_a", "of_b")) >= MATCHES
+    agree = F.size(F.filter(F.zip_with("of_a", "of_b", lambda x, y: x == y), lambda x: x)) >= MATCHES
     if sets is not None:
         own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
         other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
@@ -199,32 +208,143 @@ def with_component(rows: DataFrame, labels: DataFrame | None, node: str, name: s
     return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def head_pairs(posts: DataFrame) -> DataFrame:
-    """(a, b, hits): each class and the head of a list it stands in."""
-    order = F.struct(F.xxhash64("node").alias("o"), "node")
-    heads = posts.groupBy("pair").agg(F.min(order)["node"].alias("b"), F.count(F.lit(1)).alias("n"))
-    met = posts.join(heads.where("n > 1").drop("n"), "pair").where(F.col("node") != F.col("b"))
-    return met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("hits"))
+def star_pairs(posts: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+    """(a, b): one member of each cluster in a list, and the list's head, in a hashed order."""
+    order = F.struct(F.xxhash64(F.lit(seed), "node").alias("o"), "node")
+    rows = with_component(posts, labels, "node", "cluster")
+    members = rows.groupBy("pair", "cluster").agg(F.min(order)["node"].alias("node"))
+    heads = members.groupBy("pair").agg(F.min(order)["node"].alias("head"), F.count(F.lit(1)).alias("n"))
+    met = members.join(heads.where("n > 1").drop("n"), "pair").where(F.col("node") != F.col("head"))
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
 def crossing_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of different components with at least HITS postings in common."""
-    rows = settled(with_component(posts, labels, "node", "component"))
-    parts = rows.groupBy("pair", "component").agg(F.count(F.lit(1)).alias("n"))
+    """(a, b) of different clusters that stand in one list."""
+    rows = with_component(posts, labels, "node", "cluster")
+    parts = rows.groupBy("pair", "cluster").agg(F.count(F.lit(1)).alias("n"))
     lists = parts.groupBy("pair").agg(
-        F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")
-    )
-    mixed_lists = rows.join(lists.where("parts > 1").drop("parts"), "pair")
-    minor = mixed_lists.where(F.col("component") != F.col("largest")).select(
-        "pair", F.col("node").alias("a"), F.col("component").alias("of_a")
+        F.max(F.struct("n", "cluster"))["cluster"].alias("largest"), F.count(F.lit(1)).alias("parts")
     )
-    others = mixed_lists.select(
-        "pair", F.col("node").alias("b"), F.col("component").alias("of_b"), "largest"
+    several = rows.join(lists.where("parts > 1").drop("parts"), "pair")
+    minor = several.where(F.col("cluster") != F.col("largest")).select(
+        "pair", F.col("node").alias("a"), F.col("cluster").alias("of_a")
     )
+    others = several.select("pair", F.col("node").alias("b"), F.col("cluster").alias("of_b"), "largest")
     once = (F.col("of_b") == F.col("largest")) | (F.col("a") < F.col("b"))
     met = minor.join(others, "pair").where((F.col("of_a") != F.col("of_b")) & once)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= HITS).drop("hits")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def forest(nodes: np.ndarray, seeks: np.ndarray, values: np.ndarray, bounds: np.ndarray, percent: int) -> list:
+    """Links (a, b) that connect whatever a seeking set is similar to; sets lie in ``values``."""
+    n = len(nodes)
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    start = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    length = np.diff(np.r_[start, len(ranked)])
+    run = np.empty(len(values), np.int64)
+    run[order] = np.repeat(np.arange(len(start)), length)
+    holders = owner[order]
+    group = np.arange(n)
+    links = []
+    for s in np.flatnonzero(seeks):
+        runs = run[bounds[s] : bounds[s + 1]]
+        runs = runs[length[runs] > 1]
+        many = length[runs]
+        at = np.repeat(start[runs] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(holders[at], minlength=n)
+        near = (100 * both >= percent * (size + size[s] - both)) & (group != group[s])
+        for other in np.flatnonzero(near):
+            if group[other] != group[s]:
+                links.append((int(nodes[s]), int(nodes[other])))
+                group[group == group[other]] = group[s]
+    return links
+
+
+def links_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) found in each (cluster, i, j); ``rows`` also hold node, seeks and shingles."""
+    key = ["cluster", "i", "j"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+
+        def found() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists = table.column("shingles").combine_chunks()
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy()[bounds[0] : bounds[-1]]
+            links = forest(
+                table.column("node").to_numpy(),
+                table.column("seeks").to_numpy(zero_copy_only=False),
+                values,
+                bounds - bounds[0],
+                percent,
+            )
+            columns = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if a == b:
+                    continue
+                if current is not None and tuple(keys[a]) != current:
+                    yield found()
+                    held = []
+                current = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield found()
+
+    ordered = rows.select(*key, "node", "seeks", "shingles").repartition(*key).sortWithinPartitions(*key)
+    return ordered.mapInArrow(search, "a long, b long")
+
+
+def links_in_clusters(members: DataFrame, stars: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect the similar sets of each cluster, in one block or in pairs of blocks."""
+    sized = members.join(nodes.select("node", "n_shingles"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = settled(sized.groupBy("cluster").agg(blocks.alias("blocks")))
+    rows = members.join(sizes, "cluster")
+    whole = rows.where("blocks = 1").select(
+        "cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.lit(True).alias("seeks")
+    )
+    large = rows.where("blocks > 1")
+    links = []
+    if not sizes.where("blocks > 1").isEmpty():
+        # What a large cluster's star links exactly needs no search of its own.
+        inside = stars.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        sure = components(confirmed(inside, nodes, sets, percent))
+        links.append(sure)
+        named = with_component(large, sure, "node", "part")
+        parts = named.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+        most = parts.groupBy("cluster").agg(
+            F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")
+        )
+        seekers = F.greatest(F.ceil((F.col("all") - F.col("m.n")) / BLOCK_TEXTS), F.lit(1)).cast("int")
+        cut = named.join(most.select("cluster", F.col("m.part").alias("settled"), seekers.alias("seek_blocks")), "cluster")
+        target = cut.select(
+            "cluster",
+            F.explode(F.sequence(F.lit(0), F.col("seek_blocks") - 1)).alias("i"),
+            F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("j"),
+            "node",
+            F.lit(False).alias("seeks"),
+        )
+        seeker = cut.where(F.col("part") != F.col("settled")).select(
+            "cluster",
+            F.pmod(F.xxhash64("node"), "seek_blocks").cast("int").alias("i"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
+            "node",
+            F.lit(True).alias("seeks"),
+        )
+        both = target.unionAll(seeker).groupBy("cluster", "i", "j", "node").agg(F.max("seeks").alias("seeks"))
+        whole = whole.unionAll(both)
+    links.append(links_in_blocks(whole.join(sets, "node"), percent))
+    return reduce(DataFrame.unionAll, links)
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,25 +352,25 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     rows = settled(sketches(docs, width, key, text))
     nodes = classes(rows)
     posts = postings(nodes)
-    stars = settled(head_pairs(posts))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        close = settled(confirmed(pairs, nodes, None, percent))
-        wanted = close.select(F.col("a").alias("node")).unionAll(close.select("b")).distinct()
-        return settled(confirmed(close, nodes, sets_of(docs, nodes, wanted, width, key, text), percent))
-
-    def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        ends = with_component(with_component(pairs, labels, "a", "of_a"), labels, "b", "of_b")
-        return ends.where(F.col("of_a") != F.col("of_b")).select("a", "b")
-
-    best = stars.groupBy("a").agg(F.max(F.struct("hits", "b"))["b"].alias("b"))
-    edges = verified(best)
-    labels = components(edges)
-    for pairs in (between(stars, labels), None):
-        more = verified(crossing_pairs(posts, labels) if pairs is None else pairs)
-        edges = edges.unionAll(more)
-        labels = components(labels.unionAll(more))
-    named = with_component(nodes.select("node", "first_id", *SET), labels, "node", "component")
+    # Tables of pairs are about as long as the classes are many; so many tasks write them.
+    few = max(1, math.ceil(nodes.count() / CLASSES_PER_TASK))
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        return settled(confirmed(pairs.coalesce(few), nodes.coalesce(4 * few), None, percent).coalesce(few))
+
+    stars = agreeing(star_pairs(posts, None, 1))
+    labels = components(stars)
+    again = agreeing(star_pairs(posts, labels, 2))
+    labels = components(labels.unionAll(again))
+    between = agreeing(crossing_pairs(posts, labels))
+    heads = labels.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct()
+    members = labels.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionAll(heads)
+    ends = between.select(F.col("a").alias("node")).unionAll(between.select("b"))
+    sets = sets_of(docs, nodes, members.select("node").unionAll(ends).distinct(), width, key, text)
+    inside = links_in_clusters(members, stars.unionAll(again), nodes, sets, percent)
+    links = settled(inside.unionAll(confirmed(between, nodes, sets, percent)).coalesce(few))
+    found = components(links)
+    named = with_component(nodes.select("node", "first_id", *SET), found, "node", "component")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(names, "component").select(*SET, "component_id")
     out = rows.drop("signature").join(of_set, SET, "left")
