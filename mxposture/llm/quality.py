@@ -12,14 +12,17 @@ model is cut by hash, the documents are read once per part, and the partial sums
 4-gram of the corpus is in the model, so no part needs another.
 
 Perplexity is per word: exp of a text's whole cost over its words. (Per character it hides what is
-odd: strings of symbols after each word are costly once and cheap from then on.) Bands: per
-language, from the exact quantiles (steps of 0.001) of the cost per word of distinct texts: median +
-max(SPREAD * (q90 - median), LEAST_UP) and likewise below, both widened by WORD_NOISE over the root
-of the words, the sampling error of a short text. Distinct texts, because one text copied a million times says nothing about
-what is usual.
+odd: strings of symbols after each word are costly once and cheap from then on.) Bands come from all
+distinct texts that pass the base rules; distinct, because one text copied a million times says
+nothing about what is usual. A text's deviation is its cost per word less its language's median, times
+the root of its words, as the error of a mean shrinks. A group is a language and a length class (powers
+of two words), or the language alone where the class has fewer than ``CLASS_TEXTS``. In each group the
+quartiles give the core's width on either side, and a tail is cut where at most ``RATE`` of what lies
+beyond is what a normal core of that width would put there: nothing is cut from tails that only the core
+fills, and a tail filled by junk is cut close to the core.
 
 Cases: a null or empty text has no words and fails. A null language is a language of its own. A
-language with few documents has the least widths. Equal rows get equal verdicts. No documents: an
+language with few documents has wider cores, by the sampling error of its quartiles. Equal rows get equal verdicts. No documents: an
 empty result.
 """
 
@@ -40,14 +43,16 @@ ORDER = 4
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 REPEAT_PERCENT = 20
-SPREAD = 3.0
-LEAST_UP = 1.8
-LEAST_DOWN = 1.8
-WORD_NOISE = 14.0
+RATE = 0.5
+QUARTILE = 0.6745
+CLASS_TEXTS = 1000
+WHOLE_LANGUAGE = -1
 PART_ROWS = 8_000_000
 HELD_GRAMS = 1_000_000
 MANY_LANGUAGES = 10_000
 STEP = 1000
+DEVIATION_STEP = 20
+FARTHEST = 10_000
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -306,41 +311,99 @@ def digest(lang: str, text: str) -> dict[str, Column]:
     }
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """(language code, lower, upper) from the distinct texts that pass the base rules."""
-    texts = rows.where(~F.col("base_failed")).select(
-        "_lang_code", "_text_a", "_text_b", F.round(F.col("cost") * STEP).cast("long").alias("bin")
+def counted(values: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, bin, n, below, above, texts) with the shares at or beyond each bin."""
+    bins = values.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*by).orderBy("bin")
+    placed = bins.withColumns({"upto": F.sum("n").over(upto), "texts": F.sum("n").over(Window.partitionBy(*by))})
+    return placed.select(
+        *by,
+        "bin",
+        "texts",
+        (F.col("upto") / F.col("texts")).alias("below"),
+        ((F.col("texts") - F.col("upto") + F.col("n")) / F.col("texts")).alias("above"),
     )
-    bins = texts.distinct().groupBy("_lang_code", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("_lang_code").orderBy("bin")
-    whole = Window.partitionBy("_lang_code")
-    placed = bins.select(
-        "_lang_code", "bin", (F.sum("n").over(upto) / F.sum("n").over(whole)).alias("share")
+
+
+def quantile(share: float) -> Column:
+    return F.min(F.when(F.col("below") >= share, F.col("bin")))
+
+
+def cost_step() -> Column:
+    return F.round(F.col("cost") * STEP).cast("long")
+
+
+def length_class() -> Column:
+    return F.floor(F.log2(F.col("n_words").cast("double"))).cast("int")
+
+
+def deviation() -> Column:
+    """How far the cost lies from its language's ``centre``, in steps."""
+    far = F.round((cost_step() - F.col("centre")) * F.sqrt("n_words") * (DEVIATION_STEP / STEP))
+    return F.greatest(F.least(far, F.lit(FARTHEST)), F.lit(-FARTHEST)).cast("long")
+
+
+def spread_out(table: DataFrame) -> DataFrame:
+    """A settled table by language, broadcast if it is small: a join would send most rows to a few tasks."""
+    table = settled(table)
+    return F.broadcast(table) if table.count() <= MANY_LANGUAGES else table
+
+
+def centres(texts: DataFrame) -> DataFrame:
+    """(language code, median cost in steps)."""
+    steps = texts.select("_lang_code", cost_step().alias("bin"))
+    return counted(steps, ["_lang_code"]).groupBy("_lang_code").agg(quantile(0.5).alias("centre"))
+
+
+def bands(texts: DataFrame, centre: DataFrame) -> DataFrame:
+    """(language code, length class or WHOLE_LANGUAGE, least and greatest deviation that stays)."""
+    by = ["_lang_code", "class"]
+    values = texts.join(centre, "_lang_code").select(
+        "_lang_code", F.explode(F.array(F.lit(WHOLE_LANGUAGE), length_class())).alias("class"), deviation().alias("bin")
     )
-    q = {
-        p: F.min(F.when(F.col("share") >= p / 100, F.col("bin"))) / STEP for p in (10, 50, 90)
-    }
-    found = placed.groupBy("_lang_code").agg(*[c.alias(f"q{p}") for p, c in q.items()])
-    return found.select(
-        "_lang_code",
-        (F.col("q50") - F.greatest(SPREAD * (F.col("q50") - F.col("q10")), F.lit(LEAST_DOWN))).alias("lower"),
-        (F.col("q50") + F.greatest(SPREAD * (F.col("q90") - F.col("q50")), F.lit(LEAST_UP))).alias("upper"),
+    placed = counted(values, by).where((F.col("class") == WHOLE_LANGUAGE) | (F.col("texts") >= CLASS_TEXTS))
+    whole = Window.partitionBy(*by)
+    placed = placed.withColumns({f"q{p}": quantile(p / 100).over(whole) for p in (25, 50, 75)})
+
+    def beyond(out: Column, quartile: Column, observed: Column) -> Column:
+        # The width and its sampling error; none is known where the quartiles coincide.
+        width = quartile / QUARTILE * (1 + 1 / F.sqrt("texts"))
+        z = F.try_divide(out.cast("double"), width)
+        tail = F.exp(-z * z / 2) / (2.50662827 * (0.661 * z + 0.339 * F.sqrt(z * z + 5.51)))
+        return F.when((out > 0) & (tail <= RATE * observed), F.col("bin"))
+
+    low = beyond(F.col("q50") - F.col("bin"), F.col("q50") - F.col("q25"), F.col("below"))
+    high = beyond(F.col("bin") - F.col("q50"), F.col("q75") - F.col("q50"), F.col("above"))
+    return placed.groupBy(*by).agg(
+        F.coalesce(F.max(low) + 1, F.min("bin")).alias("least"), F.coalesce(F.min(high) - 1, F.max("bin")).alias("most")
     )
 
 
 def judged(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text", **more) -> DataFrame:
     """``keep``, the digest, the measures, ``perplexity``, ``lower``, ``upper`` and ``kept``."""
     rows = perplexity(docs, keep, lang, text, **more)
-    limits = settled(bands(rows))
-    if limits.count() <= MANY_LANGUAGES:
-        # One row per language: a join by language would send most rows to a few tasks.
-        limits = F.broadcast(limits)
-    noise = F.try_divide(F.lit(WORD_NOISE), F.sqrt("n_words"))
-    inside = (F.col("cost") >= F.col("lower") - noise) & (F.col("cost") <= F.col("upper") + noise)
+    texts = rows.where(~F.col("base_failed")).select(
+        "_lang_code", "_text_a", "_text_b", "n_words", (cost_step() / STEP).alias("cost")
+    )
+    texts = settled(texts.distinct())
+    centre = spread_out(centres(texts))
+    limits = spread_out(bands(texts, centre))
+    whole = limits.where(F.col("class") == WHOLE_LANGUAGE).drop("class")
+    own = limits.select("_lang_code", F.col("class").alias("_class"), F.col("least").alias("_least"), F.col("most").alias("_most"))
+    placed = (
+        rows.withColumn("_class", length_class())
+        .join(centre, "_lang_code", "left")
+        .join(whole, "_lang_code", "left")
+        .join(own, ["_lang_code", "_class"], "left")
+        .withColumns({n: F.coalesce(f"_{n}", n) for n in ("least", "most")})
+    )
+    inside = (deviation() >= F.col("least")) & (deviation() <= F.col("most"))
+    width = F.try_divide(F.lit(1.0 / DEVIATION_STEP), F.sqrt("n_words"))
     return (
-        rows.join(limits, "_lang_code", "left")
-        .withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
-        .withColumns({n: F.exp(c) for n, c in (("perplexity", F.col("cost")), ("lower", F.col("lower")), ("upper", F.col("upper")))})
+        placed.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
+        .withColumns({n: F.exp(F.col("centre") / STEP + F.col(c) * width) for n, c in (("lower", "least"), ("upper", "most"))})
+        .withColumn("perplexity", F.exp("cost"))
+        .drop("_class", "centre", "least", "most", "_least", "_most")
     )
 
 
