@@ -2,12 +2,15 @@
 
 Both vocabularies used here split a text into pieces before any merge, and never across the border
 between a character and the white space beside it. A text is therefore cut there into units, each
-distinct unit is encoded once by the library, and the ids are put together again.
+distinct unit is encoded once by the library, and the ids are put together again. The file's added
+tokens are taken out of a text first, as the library does: each is a unit of its own, and what stands
+before and after it is cut like a text of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -67,6 +70,26 @@ def cut_units(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.n
     return starts[order], ends[order], owner[order]
 
 
+def added_pattern(tokenizer) -> re.Pattern | None:
+    """The spellings of the file's added tokens, the longest first."""
+    tokens = tokenizer.get_added_tokens_decoder().values()
+    for t in tokens:
+        if t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s", t.content):
+            raise ValueError(f"added token {t.content!r} reaches beyond its own characters or holds white space")
+    spellings = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, spellings))) if spellings else None
+
+
+def cut_added(pattern: re.Pattern | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``offsets`` with the borders of the added tokens in each text; a text that is empty may drop out."""
+    raw = data.tobytes()
+    if pattern is None or not pattern.search(raw):
+        return offsets
+    bounds = offsets.tolist()
+    hits = [x for a, b in zip(bounds[:-1], bounds[1:]) for m in pattern.finditer(raw, a, b) for x in m.span()]
+    return np.union1d(offsets, np.array(hits, np.int64))
+
+
 class Units:
     """A tokenizer file and the ids of the units met so far, as sorted arrays of unit hashes."""
 
@@ -75,9 +98,9 @@ class Units:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.added = added_pattern(self.tokenizer)
         self.spaced, self.kept = spaced, kept
         self.forget()
 
@@ -108,7 +131,10 @@ class Units:
         """(ids of all texts as uint32, place where each text begins, with the end)."""
         if len(self.hashes) > self.kept or len(self.pool) > 64 * self.kept:
             self.forget()
-        starts, ends, owner = cut_units(data, offsets, self.spaced)
+        parts = cut_added(self.added, data, offsets)
+        starts, ends, owner = cut_units(data, parts, self.spaced)
+        if parts is not offsets:
+            owner = np.searchsorted(offsets, parts[owner], "right") - 1
         bounds = np.zeros(len(offsets), np.int64)
         if not len(starts):
             return np.zeros(0, np.uint32), bounds

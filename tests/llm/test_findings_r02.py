@@ -2,9 +2,15 @@
 
 import random
 
+import public_tokenizers
+import pyarrow as pa
+import pytest
 from test_operators import prose
+from tokenizers import Tokenizer
 
-from mxposture.llm import quality
+from mxposture.llm import counts, quality, queries
+from mxposture.llm.common import byte_offsets
+from mxposture.llm.units import Units
 
 
 # --- quality --------------------------------------------------------------------------------------
@@ -21,3 +27,34 @@ def test_kept_share_of_every_junk_kind(spark):
     for r in quality.judged(docs, ["doc_id", "kind"]).collect():
         kept[r.kind] += r.kept
     assert kept["prose"] >= 0.97 * 300 and kept["symbols"] <= 1 and kept["table"] <= 1, kept
+
+
+# --- token ids --------------------------------------------------------------------------------------
+
+PIECES = ["x", " ", "  ", "\n", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "don't", "É", "é", "12", "　", "Word"]
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_are_encoded_as_the_untouched_library_does(name, spaced):
+    rng = random.Random(12)
+    texts = ["x <|endoftext|> y", "", "x<|endoftext|>y", "<|endoftext|>", "<|endo", "ftext|>", "a\n<|startoftext|>\n", ""]
+    texts += ["".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 14))) for _ in range(600)]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    ids, bounds = Units(public_tokenizers.path(name), spaced).encode(*byte_offsets(pa.array(texts, pa.large_string())))
+    bounds = bounds.tolist()
+    for t, w, a, b in zip(texts, want, bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == w, repr(t)
+    assert want[0] == ([87, 220, 50256, 331] if spaced else [343, 49407, 344])
+
+
+def test_edited_counts_with_added_tokens(spark):
+    rng = random.Random(13)
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    rows = [("".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 900))), rng.randrange(900), rng.randrange(30)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, [(a, n, " <|endoftext|>\n")]) for k, (t, a, n) in enumerate(rows)], f"k long, text string, edits {counts.EDITS}")
+    for r in counts.edited_counts(docs, ["k"], queries.BYTE_BPE).collect():
+        t, a, n = rows[r.k]
+        after = t[:a] + " <|endoftext|>\n" + t[a + n :]
+        assert r.tokens_before == len(library.encode(t, add_special_tokens=False).ids), repr(t)
+        assert r.tokens_after == len(library.encode(after, add_special_tokens=False).ids), repr(after)
