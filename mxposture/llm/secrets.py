@@ -2,12 +2,13 @@
 
 By form: assignments to a secret's name, access key ids, long hexadecimal runs.
 
-By randomness: a token of at least ``SHORTEST`` characters with a digit gets an encoding
-(hexadecimal, base 32, base 64; plain numbers are no secrets) from the characters it uses, and three
-measures over that alphabet:
+By randomness: a token of at least ``SHORTEST`` characters gets an encoding (hexadecimal, base 32, base
+36 in one case, base 64; plain numbers are no secrets) from the characters it uses, and three measures
+over that alphabet:
 
     chi      chi-squared distance of the symbol counts from uniform (base 64: of the cases, too)
-    runs     runs of symbols in the upper and lower half of the alphabet
+    runs     runs of symbols in the upper and lower half of the alphabet (base 36, which also
+             takes letters of one case alone: of letters and of digits, since words mix the halves)
     serial   correlation of each symbol with the next
 
 Each is compared with two hypotheses. A token that even pure chance would hardly make so uneven
@@ -40,18 +41,20 @@ FORMS = {
 }
 KINDS = [*FORMS, "random"]
 SHORTEST = 16
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 
 #: Alphabets in the order of their symbols' values.
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 #: What written tokens show: excess of sum(p^2) * symbols over 1, share of changes between the
-#: halves of the alphabet, correlation of neighbours.
-UNEVEN = {16: 1.2, 32: 1.5, 64: 3.0}
+#: halves of the alphabet, correlation of neighbours, share of digits in base 36.
+UNEVEN = {16: 1.2, 32: 1.5, 36: 1.5, 64: 3.0}
 CHANGES = 0.25
 SERIAL = 0.35
+DIGITS = 0.1
 NOT_RANDOM = 3.0
 RATE = 0.01
 CLASSES = (16, 24, 40, 80)
@@ -85,7 +88,8 @@ def _random_z(value: Column, alphabet: str) -> Column:
     counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
     chi = squares * k / n - n
-    halves = F.translate(value, alphabet, "0" * (k // 2) + "1" * (k // 2))
+    by_half, by_digit = "0" * (k // 2) + "1" * (k // 2), "".join("0" if c.isdigit() else "1" for c in alphabet)
+    halves = F.translate(value, alphabet, by_digit if k == 36 else by_half)
     ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
     changes = F.length(F.regexp_replace(halves, r"(.)\1+", "$1")) - 1.0
     places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
@@ -106,11 +110,17 @@ def _random_z(value: Column, alphabet: str) -> Column:
         # Counting upper and lower case apart hides how few capitals a written token has.
         lower = F.length(F.regexp_replace(value, "[^a-z]", "")).cast("double")
         usual.append(F.abs(lower - n * 26 / 64) / F.sqrt(n * (26 / 64) * (38 / 64)))
+    if k == 36:
+        usual.append(F.abs(ones - n * 26 / 36) / F.sqrt(n * (26 / 36) * (10 / 36)))
     gain = UNEVEN[k]
+    third = (SERIAL - serial) * F.sqrt(n)
+    if k == 36:
+        # Neighbouring letters of words do not go together in this order, but words have few digits.
+        third = (n * (1 - DIGITS) - ones) / F.sqrt(n * DIGITS * (1 - DIGITS))
     z = (
         (k - 1 + n * gain - chi) / F.sqrt(2.0 * (k - 1) + 4.0 * n * gain)
         + (changes - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
-        + (SERIAL - serial) * F.sqrt(n)
+        + third
     ) / 3**0.5
     return F.when(F.greatest(*usual) <= NOT_RANDOM, z)
 
@@ -120,9 +130,9 @@ def scored_token(value: Column) -> Column:
     plain = F.rtrim(F.translate(value, "-_", "+/"), F.lit("="))
     return (
         F.when(plain.rlike("^[0-9]+$"), F.lit(None).cast("double"))
-        .when(plain.rlike("^[0-9a-f]+$"), _random_z(plain, HEX))
-        .when(plain.rlike("^[0-9A-F]+$"), _random_z(F.lower(plain), HEX))
-        .when(plain.rlike("^[A-Z2-7]+$"), _random_z(plain, BASE32))
+        .when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), _random_z(F.lower(plain), HEX))
+        .when(plain.rlike("^[A-Z2-7]*[2-7][A-Z2-7]*$"), _random_z(plain, BASE32))
+        .when(plain.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), _random_z(F.lower(plain), BASE36))
         .when(plain.rlike("^[A-Za-z0-9+/]{16,}$") & plain.rlike("[a-z]") & plain.rlike("[A-Z]"), _random_z(plain, BASE64))
     )
 

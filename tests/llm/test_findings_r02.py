@@ -1,6 +1,7 @@
 """What the second review found missing."""
 
 import random
+import re
 
 import public_tokenizers
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from test_operators import prose
 from tokenizers import Tokenizer
 
-from mxposture.llm import counts, quality, queries
+from mxposture.llm import counts, quality, queries, secrets
 from mxposture.llm.common import byte_offsets
 from mxposture.llm.units import Units
 
@@ -58,3 +59,27 @@ def test_edited_counts_with_added_tokens(spark):
         after = t[:a] + " <|endoftext|>\n" + t[a + n :]
         assert r.tokens_before == len(library.encode(t, add_special_tokens=False).ids), repr(t)
         assert r.tokens_after == len(library.encode(after, add_special_tokens=False).ids), repr(after)
+
+
+# --- secrets ----------------------------------------------------------------------------------------
+
+
+def test_every_alphabet_reaches_the_battery(spark):
+    rng = random.Random(14)
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = {
+        "base36": [made(secrets.BASE36, 40) for _ in range(40)],
+        "upper36": [made(secrets.BASE36.upper(), 40) for _ in range(40)],
+        "base62": [made(secrets.BASE64[:62], 40) for _ in range(40)],
+        "no digit": [t for t in (made(secrets.BASE64[:62], 20) for _ in range(1500)) if not re.search("[0-9]", t)][:30],
+        "written": ["internationalization", "Geschwindigkeitsbegrenzung", "INCOMPREHENSIBILITIES", "release-notes-version-2023-final", "MyVeryLongClassNameWithVersion2Suffix",
+                    "chapter1section2paragraph3line4", "uncharacteristically", "WIRTSCHAFTSWISSENSCHAFTEN", "well/known/path/to/some/file"] * 10,
+    }
+    rows = [(f"{kind} {k}", f"see {t} here") for kind, ts in kinds.items() for k, t in enumerate(ts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    hits = dict.fromkeys(kinds, 0)
+    for r in secrets.scanned(docs, ["doc_id"]).collect():
+        hits[r.doc_id.rsplit(" ", 1)[0]] += any(s.kind == "random" for s in r.spans)
+    assert hits["written"] == 0, hits
+    for kind, share in (("base36", 0.9), ("upper36", 0.9), ("base62", 0.9), ("no digit", 0.7)):
+        assert hits[kind] >= share * len(kinds[kind]) > 0, hits
