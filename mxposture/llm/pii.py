@@ -67,6 +67,26 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest valid run of groups of each match: words in capitals may follow (a BIC, say)."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, end = match.span()
+        # A country code, two digits and at least eleven more, as in the pattern.
+        while sum(c != " " for c in text[start:end]) >= 15 and not mod97(text[start:end]):
+            end = text.rfind(" ", start, end)
+            if end < 0:
+                break
+        if end > start and sum(c != " " for c in text[start:end]) >= 15:
+            yield start, end
+            at = end
+        else:
+            at = start + 1
+
+
 def _matches(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
     compiled = re.compile(pattern)
     return lambda text: (m.span() for m in compiled.finditer(text))
@@ -91,7 +111,7 @@ FINDERS: dict[str, tuple[Callable, Callable[[str], bool], float, str]] = {
     "card": (_matches(r"(?<![0-9])[0-9](?:[ -]?[0-9])++"), _count(12, 19, luhn), 0.7, "card visa credit payment"),
     "phone": (_matches(r"\+[0-9][ ().0-9-]+[0-9]"), _count(9, 15), 0.7, "phone tel call mobile fax"),
     "iban": (
-        _matches(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
+        ibans,
         mod97,
         0.9,
         "iban account bank",

@@ -9,7 +9,7 @@ import pytest
 from test_operators import prose
 from tokenizers import Tokenizer
 
-from mxposture.llm import counts, quality, queries, secrets
+from mxposture.llm import counts, pii, quality, queries, secrets
 from mxposture.llm.common import byte_offsets
 from mxposture.llm.units import Units
 
@@ -83,3 +83,16 @@ def test_every_alphabet_reaches_the_battery(spark):
     assert hits["written"] == 0, hits
     for kind, share in (("base36", 0.9), ("upper36", 0.9), ("base62", 0.9), ("no digit", 0.7)):
         assert hits[kind] >= share * len(kinds[kind]) > 0, hits
+
+
+# --- personal data ------------------------------------------------------------------------------------
+
+
+def test_iban_before_words_in_capitals():
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"):
+        for after in (" BIC COBADEFFXXX", " BIC: COBADEFFXXX", " SWIFT", "", ", then"):
+            text = f"IBAN {iban}{after}"
+            assert [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"] == [iban], text
+    two = "DE89370400440532013000 GB82WEST12345698765432 OK"
+    assert [two[s:e] for k, s, e, _ in pii.find(two) if k == "iban"] == two.split()[:2]
+    assert not any(k == "iban" for k, *_ in pii.find("IBAN DE89370400440532013001 BIC COBADEFFXXX"))
