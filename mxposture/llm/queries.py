@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mxposture.llm import counts, decontam, elias, licenses, neardup, packing, pii, quality, secrets, sharding
+from mxposture.llm import counts, decontam, elias, licenses, neardup, packing, periodic, pii, quality, secrets, sharding
 from mxposture.llm.common import documents, joined, shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,6 +138,80 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.edited_counts(docs, ["doc_id"], BYTE_BPE)
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Documents as op11 takes them: in one of ten, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # One-element arrays bind the words and the numbers once, not again for every word.
+    found = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.size(w).cast("long").alias("n"), F.floor(h / 10).alias("g")))
+    placed = F.transform(found, lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n"), x["g"].alias("g"), (x["g"] % x["n"]).alias("a")))
+    turned = F.transform(
+        placed, lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n"), x["a"].alias("a"), (1 + F.floor((x["n"] - x["a"]) / (3 + x["g"] % 8))).alias("p"))
+    )
+
+    def word(x, i):
+        return F.get(x["w"], F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"]).cast("int"))
+
+    tails = F.transform(turned, lambda x: F.array_join(F.transform(x["w"], lambda _, i: word(x, i)), " "))
+    changed = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.withColumn("text", F.when(changed, tails[0]).otherwise(F.col("text")))
+
+
+_LEVELS = 18
+_CRC = (
+    "xor(4294967295, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS INT), 1)) AS BIGINT)), "
+    "lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295))"
+)
+
+
+def _run_sql() -> str:
+    """Runs from the next place of an equal window: of 2^k words for periods from 2^(k-1) to 2^k."""
+    levels = ["h0 AS (SELECT doc_id, i, n, hash(w) AS h FROM words)"]
+    for k in range(1, _LEVELS):
+        half = 2 ** (k - 1)
+        levels.append(
+            f"h{k} AS (SELECT x.doc_id, x.i, x.n, hash(x.h, y.h) AS h FROM h{k - 1} x JOIN h{k - 1} y ON y.doc_id = x.doc_id AND y.i = x.i + {half} WHERE 2 * x.n >= {3 * 2 ** k})"
+        )
+    islands = " UNION ".join(
+        f"""SELECT doc_id, d, min(i) AS s, max(i) + d + {2 ** k} - min(i) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS grp FROM (
+            SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, h ORDER BY i) - i AS d FROM h{k}) WHERE d BETWEEN {max(1, 2 ** k // 2)} AND {2 ** k}) GROUP BY doc_id, d, grp"""
+        for k in range(_LEVELS)
+    )
+    return f"""WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_CRC} AS h FROM documents),
+  placed AS (SELECT doc_id, ws, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM docs),
+  turned AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+  words AS (SELECT doc_id, n, i, ws[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS w FROM (SELECT *, unnest(range(0, n)) AS i FROM turned)),
+  {", ".join(levels)},
+  runs AS (SELECT DISTINCT doc_id, s, len, d FROM ({islands}) WHERE len >= greatest(24, 3 * d)),
+  best AS (SELECT doc_id, s, len, d, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / d DESC, s, d) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM runs),
+  listed AS (SELECT doc_id, string_agg(s || ',' || len || ',' || d || chr(10), '' ORDER BY s, d) AS r FROM runs GROUP BY doc_id),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(s + d, s + len)) AS i FROM runs),
+  kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(c, 0) AS n_runs, s AS start, len AS length, d AS period, 1000 * len // d AS exponent_milli, sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op11_periodic_runs", _run_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.with_runs(repeated_tails(documents(spark, sf_dir)), ["doc_id"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    greatest = F.aggregate(
+        "runs", none, lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a)
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.withColumn("best", greatest)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

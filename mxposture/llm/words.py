@@ -84,3 +84,17 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndar
 def within(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Hashes that differ between texts, so that texts of a slice can be sorted together."""
     return mixed(hashes ^ mixed(owner.astype(np.uint64) + np.uint64(1)))
+
+
+def prefix_sums(names: np.ndarray) -> np.ndarray:
+    """Running sums over 64-bit names from which ``spans_of`` hashes any span of them."""
+    powers, _ = _power_tables(len(names) + 1)
+    sums = np.zeros(len(names) + 1, np.uint64)
+    np.cumsum(names * powers[: len(names)], out=sums[1:])
+    return sums
+
+
+def spans_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the names from ``starts`` to ``ends``; equal spans have equal hashes."""
+    _, inverses = _power_tables(len(sums))
+    return mixed((sums[ends] - sums[starts]) * inverses[starts])
