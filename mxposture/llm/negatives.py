@@ -352,8 +352,9 @@ def mined(
         query, rank, ids, score = (near.column(c).to_numpy() for c in ("query", "rank", "id", "score"))
         # Slots without a positive get an empty window.
         low, high = np.full((n, n_positives), 1, np.int64), np.zeros((n, n_positives), np.int64)
-        low[query, rank - 1] = -((-window[0] * score) // 100)
-        high[query, rank - 1] = window[1] * score // 100
+        exact = score.astype(object)  # a percentage of a score may pass 64 bits on its way
+        low[query, rank - 1] = -((-window[0] * exact) // 100)
+        high[query, rank - 1] = window[1] * exact // 100
         hard = search(index, shape, anchors, low, high, np.full((n, 1), -(2**63), np.int64), n_negatives, True)
         positives = spark.createDataFrame(
             pa.table({"query": query * n_positives + rank - 1, "anchor_id": anchors[0][query], "positive_id": ids, "positive_score": score})
