@@ -207,9 +207,9 @@ def among(rows: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
     total = frequent.agg(F.sum("rows").alias("n")).first()["n"] or 0
     heavy = frequent.where(F.col("rows") * HEAVY > total).select(*by)
     light = frequent.where(F.col("rows") * HEAVY <= total).select(*by)
-    marked = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), by, "left")
-    often = marked.where("_heavy").drop("_heavy")
-    return often.unionByName(marked.where("_heavy IS NULL").drop("_heavy").join(light, by, "left_semi"))
+    often = rows.join(F.broadcast(heavy), by, "left_semi")
+    rest = rows.join(F.broadcast(heavy), by, "left_anti")
+    return often.unionByName(rest.join(light, by, "left_semi"))
 
 
 def _packed(rows: DataFrame, columns: list[str]) -> DataFrame:
