@@ -110,15 +110,63 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+PREFIX_CHUNK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is mentioned in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefixes(values: Column, op) -> Column:
+    """Per value, ``op`` (a sum or a maximum) over 0 and all values before it.
+
+    Folds over chunks, then over the chunks' totals, so the cost grows with the array, not its square.
+    """
+
+    def fold(part: Column, base: Column) -> Column:
+        return F.aggregate(part, F.array(base), lambda out, x: F.concat(out, F.array(op(F.element_at(out, -1), x))))
+
+    def by_chunk(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), op))
+        bases = F.slice(fold(totals, F.lit(0)), 1, F.size(chunks))
+        return F.flatten(F.zip_with(chunks, bases, lambda c, base: F.slice(fold(c, base), 1, F.size(c))))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(PREFIX_CHUNK))
+        return F.transform(starts, lambda at: F.slice(v, at, PREFIX_CHUNK))
+
+    return bound(values, lambda v: bound(cut(v), by_chunk))
+
+
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced by its kind in brackets; ``spans`` by start.
+
+    A span that begins inside an earlier one only lengthens what is left out.
+    """
+
+    def lot(items: Column) -> Column:
+        # The stretch of text that a chunk of spans lies in is cut out once, its pieces from that.
+        base = items[0]["at"]
+        stretch = F.substring(text, base + 1, F.array_max(F.transform(items, lambda s: s["start"])) - base)
+
+        def piece(part: Column, s: Column) -> Column:
+            kept = F.substring(part, s["at"] - base + 1, s["start"] - s["at"])
+            return F.when(s["start"] >= s["at"], F.concat(kept, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+
+        return bound(stretch, lambda part: F.array_join(F.transform(items, lambda s: piece(part, s)), ""))
+
+    def pieces(found: Column) -> Column:
+        reached = prefixes(F.transform(found, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        items = F.zip_with(
+            found, reached, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))
+        )
+        starts = F.sequence(F.lit(1), F.size(found), F.lit(PREFIX_CHUNK))
+        lots = bound(items, lambda held: F.transform(starts, lambda k: lot_of(held, k)))
+        rest = F.substring(text, F.array_max(F.transform(found, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(F.array_join(lots, ""), rest)
 
-    def step(state: Column, span: Column) -> Column:
-        piece = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.when(
-            span["start"] >= state["at"],
-            F.struct(span["end"].alias("at"), F.concat(state["out"], piece, F.lit("["), span["kind"], F.lit("]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out")))
+    def lot_of(items: Column, at: Column) -> Column:
+        return bound(F.slice(items, at, PREFIX_CHUNK), lot)
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, bound(spans, pieces)).otherwise(text)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mxposture.llm.common import empty_text, masked, settled
+from mxposture.llm.common import bound, empty_text, masked, prefixes, settled
 
 FORMS = {
     "assign": (
@@ -58,6 +58,7 @@ DIGITS = 0.1
 NOT_RANDOM = 3.0
 RATE = 0.01
 CLASSES = (16, 24, 40, 80)
+_FAR = 2**31 - 1
 
 
 def found_spans(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
@@ -65,40 +66,71 @@ def found_spans(text: Column, pattern: str, group: int, least: int, kind: str) -
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
-    nothing = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.coalesce(F.length(piece["match"]), F.lit(0))
-        span = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), piece["value"].alias("value")
+    def placed(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0)))
+        before = prefixes(sizes, lambda a, x: a + x)
+        spans = F.zip_with(
+            pieces,
+            before,
+            lambda p, at: F.struct(
+                F.lit(kind).alias("kind"),
+                (at + F.length(p["gap"])).alias("start"),
+                (at + F.length(p["gap"]) + F.length(p["match"])).alias("end"),
+                p["value"].alias("value"),
+            ),
         )
-        good = F.coalesce(F.length(piece["value"]) >= least, F.lit(False))
-        out = F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return F.filter(spans, lambda s: F.coalesce(F.length(s["value"]) >= least, F.lit(False)))
 
-    walked = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(nothing)
+    nothing = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), bound(pieces, placed)).otherwise(nothing)
+
+
+def _sums(value: Column, alphabet: str) -> Column:
+    """Over the places of the symbols in the alphabet: sum, squares, neighbour products, first, last."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(*[zero.alias(c) for c in ("sum", "squares", "products", "first", "last")])
+
+    def step(a: Column, c: Column) -> Column:
+        x = F.instr(F.lit(alphabet), c).cast("long")
+        return F.struct(
+            (a["sum"] + x).alias("sum"),
+            (a["squares"] + x * x).alias("squares"),
+            (a["products"] + a["last"] * x).alias("products"),
+            F.when(a["first"] == 0, x).otherwise(a["first"]).alias("first"),
+            x.alias("last"),
+        )
 
+    return F.aggregate(F.split(value, ""), start, step)
 
-def _random_z(value: Column, alphabet: str) -> Column:
-    """z of a token over its alphabet; null where chance alone would not make it."""
+
+def _measures(value: Column, alphabet: str) -> Column:
+    """What the tests read from a token, each found in one pass: a struct of doubles."""
     k = len(alphabet)
-    n = F.length(value).cast("double")
-    counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi = squares * k / n - n
     by_half, by_digit = "0" * (k // 2) + "1" * (k // 2), "".join("0" if c.isdigit() else "1" for c in alphabet)
     halves = F.translate(value, alphabet, by_digit if k == 36 else by_half)
-    ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-    changes = F.length(F.regexp_replace(halves, r"(.)\1+", "$1")) - 1.0
-    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    mean = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(places, lambda x: x - mean)
-    spread = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    last = F.length(value) - 1
-    products = F.zip_with(F.slice(off, 1, last), F.slice(off, F.lit(2), last), lambda a, b: a * b)
-    serial = F.coalesce(F.try_divide(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), spread), F.lit(1.0))
+    counts = F.transform(
+        F.array_distinct(F.split(value, "")), lambda c: F.length(value) - F.length(F.replace(value, c, F.lit("")))
+    )
+    return F.struct(
+        F.length(value).cast("double").alias("n"),
+        F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double") * c).alias("squares"),
+        F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double").alias("ones"),
+        (F.length(F.regexp_replace(halves, r"(.)\1+", "$1")) - 1.0).alias("changes"),
+        F.length(F.regexp_replace(value, "[^a-z]+", "")).cast("double").alias("lower"),
+        _sums(value, alphabet).alias("sums"),
+    )
+
+
+def _z_of(m: Column, k: int) -> Column:
+    """z of a token with these measures; null where chance alone would not make it."""
+    n, ones, changes, sums = m["n"], m["ones"], m["changes"], m["sums"]
+    chi = m["squares"] * k / n - n
+    mean = sums["sum"] / n
+    spread = sums["squares"] - mean * sums["sum"]
+    products = sums["products"] - mean * (2 * sums["sum"] - sums["first"] - sums["last"]) + (n - 1) * mean * mean
+    # A token of one symbol has no spread.
+    serial = F.when(spread > 1e-9 * sums["squares"], products / spread).otherwise(1.0)
 
     by_chance = 2.0 * ones * (n - ones) / n
     usual = [
@@ -108,8 +140,7 @@ def _random_z(value: Column, alphabet: str) -> Column:
     ]
     if k == 64:
         # Counting upper and lower case apart hides how few capitals a written token has.
-        lower = F.length(F.regexp_replace(value, "[^a-z]", "")).cast("double")
-        usual.append(F.abs(lower - n * 26 / 64) / F.sqrt(n * (26 / 64) * (38 / 64)))
+        usual.append(F.abs(m["lower"] - n * 26 / 64) / F.sqrt(n * (26 / 64) * (38 / 64)))
     if k == 36:
         usual.append(F.abs(ones - n * 26 / 36) / F.sqrt(n * (26 / 36) * (10 / 36)))
     gain = UNEVEN[k]
@@ -125,16 +156,23 @@ def _random_z(value: Column, alphabet: str) -> Column:
     return F.when(F.greatest(*usual) <= NOT_RANDOM, z)
 
 
+def _random_z(value: Column, alphabet: str) -> Column:
+    return bound(_measures(value, alphabet), lambda m: _z_of(m, len(alphabet)))
+
+
 def scored_token(value: Column) -> Column:
     """z of a token over the alphabet that its characters fit, null where it fits none."""
-    plain = F.rtrim(F.translate(value, "-_", "+/"), F.lit("="))
-    return (
-        F.when(plain.rlike("^[0-9]+$"), F.lit(None).cast("double"))
-        .when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), _random_z(F.lower(plain), HEX))
-        .when(plain.rlike("^[A-Z2-7]*[2-7][A-Z2-7]*$"), _random_z(plain, BASE32))
-        .when(plain.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), _random_z(F.lower(plain), BASE36))
-        .when(plain.rlike("^[A-Za-z0-9+/]{16,}$") & plain.rlike("[a-z]") & plain.rlike("[A-Z]"), _random_z(plain, BASE64))
-    )
+
+    def scored(plain: Column) -> Column:
+        return (
+            F.when(plain.rlike("^[0-9]+$"), F.lit(None).cast("double"))
+            .when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), bound(F.lower(plain), lambda p: _random_z(p, HEX)))
+            .when(plain.rlike("^[A-Z2-7]+$") & plain.rlike("[2-7]"), _random_z(plain, BASE32))
+            .when(plain.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), bound(F.lower(plain), lambda p: _random_z(p, BASE36)))
+            .when(plain.rlike("^[A-Za-z0-9+/]{16,}$") & plain.rlike("[a-z]") & plain.rlike("[A-Z]"), _random_z(plain, BASE64))
+        )
+
+    return bound(F.rtrim(F.translate(value, "-_", "+/"), F.lit("=")), scored)
 
 
 def length_class(value: Column) -> Column:
@@ -197,28 +235,37 @@ def accepted_spans(least: dict[int, int]) -> Column:
             out = out | ((token["size"] == size) & F.coalesce(token["z"] >= z, F.lit(False)))
         return out
 
-    free = F.filter(
-        "tokens",
-        lambda t: passes(t) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    added = F.transform(
-        free, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
-    )
-    order = F.array(*map(F.lit, KINDS))
-    keyed = F.transform(
-        F.concat(base, added),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.array_position(order, s["kind"]).alias("order"),
-            s["kind"].alias("kind"),
-            s["end"].alias("end"),
-        ),
-    )
-    return F.transform(
-        F.array_sort(keyed),
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+    kinds = F.array(*map(F.lit, KINDS))
+
+    def entry(s: Column, kind: Column, wanted: Column) -> Column:
+        order = F.array_position(kinds, kind)
+        return F.struct(s["start"].alias("start"), order.alias("order"), kind.alias("kind"), s["end"].alias("end"), wanted.alias("wanted"))
+
+    entries = F.array_sort(
+        F.concat(
+            F.transform(base, lambda s: entry(s, s["kind"], F.lit(True))),
+            F.transform("tokens", lambda t: entry(t, F.lit("random"), passes(t))),
+        )
     )
 
+    def apart(found: Column) -> Column:
+        """Tokens that neither an earlier nor a later base span reaches into."""
+        is_base = lambda s: s["kind"] != "random"
+        ends = F.transform(found, lambda s: F.when(is_base(s), s["end"]).otherwise(0))
+        back = F.transform(F.reverse(found), lambda s: F.when(is_base(s), _FAR - s["start"]).otherwise(0))
+        before = prefixes(ends, lambda a, x: F.greatest(a, x))
+        after = F.reverse(prefixes(back, lambda a, x: F.greatest(a, x)))
+        return F.zip_with(
+            found,
+            F.arrays_zip(before.alias("before"), after.alias("after")),
+            lambda s, near: F.when(
+                is_base(s) | (s["wanted"] & (near["before"] <= s["start"]) & (_FAR - near["after"] >= s["end"])),
+                F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+            ),
+        )
+
+    return F.array_compact(bound(entries, apart))
+
 
 def scanned(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``spans`` (kind, start, end)."""
