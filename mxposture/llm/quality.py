@@ -15,15 +15,17 @@ Perplexity is per word: exp of a text's whole cost over its words. (Per characte
 odd: strings of symbols after each word are costly once and cheap from then on.) Bands come from all
 distinct texts that pass the base rules; distinct, because one text copied a million times says
 nothing about what is usual. A text's deviation is its cost per word less its language's median, times
-the root of its words, as the error of a mean shrinks. A group is a language and a length class (powers
-of two words), or the language alone where the class has fewer than ``CLASS_TEXTS``. In each group the
-quartiles give the core's width on either side, and a tail is cut where at most ``RATE`` of what lies
-beyond is what a normal core of that width would put there: nothing is cut from tails that only the core
-fills, and a tail filled by junk is cut close to the core.
+the root of its words, as the error of a mean shrinks. The core of a language and length class (powers of
+two words) is its median and, on either side, its quartile; both lean on the whole language's by the
+weight of ``CLASS_WEIGHT`` texts, so a class of few texts is judged much like its language and one of many
+by itself, with one rule at every size. Distances from the core in units of its width are then counted over
+all classes of the language, and a tail is cut where what a normal core would put there is at most
+``RATE`` of what is there: nine of ten texts cut are no part of the core. Nothing is cut from tails that
+only the core fills.
 
 Cases: a null or empty text has no words and fails. A null language is a language of its own. A
-language with few documents has wider cores, by the sampling error of its quartiles. Equal rows get equal verdicts. No documents: an
-empty result.
+language with few documents has wider cores, by the sampling error of its quartiles; where the quartiles
+coincide no width is known and nothing is cut. Equal rows get equal verdicts. No documents: an empty result.
 """
 
 from __future__ import annotations
@@ -43,9 +45,9 @@ ORDER = 4
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 REPEAT_PERCENT = 20
-RATE = 0.5
+RATE = 0.1
 QUARTILE = 0.6745
-CLASS_TEXTS = 1000
+CLASS_WEIGHT = 1000
 WHOLE_LANGUAGE = -1
 PART_ROWS = 8_000_000
 HELD_GRAMS = 1_000_000
@@ -53,6 +55,7 @@ MANY_LANGUAGES = 10_000
 STEP = 1000
 DEVIATION_STEP = 20
 FARTHEST = 10_000
+DISTANCE_STEP = 50
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -355,27 +358,48 @@ def centres(texts: DataFrame) -> DataFrame:
     return counted(steps, ["_lang_code"]).groupBy("_lang_code").agg(quantile(0.5).alias("centre"))
 
 
-def bands(texts: DataFrame, centre: DataFrame) -> DataFrame:
-    """(language code, length class or WHOLE_LANGUAGE, least and greatest deviation that stays)."""
+def cores(texts: DataFrame, centre: DataFrame) -> DataFrame:
+    """(language code, class, core, width below, width above), in steps of the deviation."""
     by = ["_lang_code", "class"]
     values = texts.join(centre, "_lang_code").select(
         "_lang_code", F.explode(F.array(F.lit(WHOLE_LANGUAGE), length_class())).alias("class"), deviation().alias("bin")
     )
-    placed = counted(values, by).where((F.col("class") == WHOLE_LANGUAGE) | (F.col("texts") >= CLASS_TEXTS))
-    whole = Window.partitionBy(*by)
-    placed = placed.withColumns({f"q{p}": quantile(p / 100).over(whole) for p in (25, 50, 75)})
-
-    def beyond(out: Column, quartile: Column, observed: Column) -> Column:
-        # The width and its sampling error; none is known where the quartiles coincide.
-        width = quartile / QUARTILE * (1 + 1 / F.sqrt("texts"))
-        z = F.try_divide(out.cast("double"), width)
-        tail = F.exp(-z * z / 2) / (2.50662827 * (0.661 * z + 0.339 * F.sqrt(z * z + 5.51)))
-        return F.when((out > 0) & (tail <= RATE * observed), F.col("bin"))
-
-    low = beyond(F.col("q50") - F.col("bin"), F.col("q50") - F.col("q25"), F.col("below"))
-    high = beyond(F.col("bin") - F.col("q50"), F.col("q75") - F.col("q50"), F.col("above"))
+    found = counted(values, by).groupBy(*by).agg(F.first("texts").alias("texts"), *[quantile(p / 100).alias(f"q{p}") for p in (25, 50, 75)])
+    found = found.select(*by, "texts", F.col("q50").alias("core"), (F.col("q50") - F.col("q25")).alias("down"), (F.col("q75") - F.col("q50")).alias("up"))
+    # One row per language and class: the rows of a language are few.
+    language = Window.partitionBy("_lang_code")
+    weight = F.col("texts") / (F.col("texts") + CLASS_WEIGHT)
+    total = F.max(F.when(F.col("class") == WHOLE_LANGUAGE, F.col("texts"))).over(language)
+
+    def leaning(name: str) -> Column:
+        whole = F.max(F.when(F.col("class") == WHOLE_LANGUAGE, F.col(name))).over(language)
+        return weight * F.col(name) + (1 - weight) * whole
+
+    # The sampling error of the quartiles, of as many texts as they lean on.
+    error = (1 + 1 / F.sqrt(F.least(total, F.col("texts") + CLASS_WEIGHT))) / QUARTILE
+    found = found.select(*by, leaning("core").alias("core"), (leaning("down") * error).alias("down"), (leaning("up") * error).alias("up"))
+    return found.where(F.col("class") != WHOLE_LANGUAGE).withColumnRenamed("class", "_class")
+
+
+def distance() -> Column:
+    """The deviation's distance from the core in widths, in steps; 0 where no width is known."""
+    off = deviation() - F.col("core")
+    width = F.when(off < 0, F.col("down")).otherwise(F.col("up"))
+    steps = F.round(F.coalesce(F.try_divide(off, width), F.lit(0.0)) * DISTANCE_STEP)
+    return F.greatest(F.least(steps, F.lit(FARTHEST)), F.lit(-FARTHEST)).cast("long")
+
+
+def cuts(texts: DataFrame, centre: DataFrame, core: DataFrame) -> DataFrame:
+    """(language code, least and greatest distance that stays)."""
+    by = ["_lang_code"]
+    values = texts.withColumn("_class", length_class()).join(centre, by).join(core, [*by, "_class"])
+    placed = counted(values.select(*by, distance().alias("bin")), by)
+    z = F.abs(F.col("bin")) / DISTANCE_STEP
+    tail = F.exp(-z * z / 2) / (2.50662827 * (0.661 * z + 0.339 * F.sqrt(z * z + 5.51)))
+    low = F.max(F.when((F.col("bin") < 0) & (tail <= RATE * F.col("below")), F.col("bin")))
+    high = F.min(F.when((F.col("bin") > 0) & (tail <= RATE * F.col("above")), F.col("bin")))
     return placed.groupBy(*by).agg(
-        F.coalesce(F.max(low) + 1, F.min("bin")).alias("least"), F.coalesce(F.min(high) - 1, F.max("bin")).alias("most")
+        F.coalesce(low + 1, F.lit(-FARTHEST)).alias("least"), F.coalesce(high - 1, F.lit(FARTHEST)).alias("most")
     )
 
 
@@ -387,23 +411,25 @@ def judged(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "te
     )
     texts = settled(texts.distinct())
     centre = spread_out(centres(texts))
-    limits = spread_out(bands(texts, centre))
-    whole = limits.where(F.col("class") == WHOLE_LANGUAGE).drop("class")
-    own = limits.select("_lang_code", F.col("class").alias("_class"), F.col("least").alias("_least"), F.col("most").alias("_most"))
+    core = spread_out(cores(texts, centre))
+    cut = spread_out(cuts(texts, centre, core))
     placed = (
         rows.withColumn("_class", length_class())
         .join(centre, "_lang_code", "left")
-        .join(whole, "_lang_code", "left")
-        .join(own, ["_lang_code", "_class"], "left")
-        .withColumns({n: F.coalesce(f"_{n}", n) for n in ("least", "most")})
+        .join(core, ["_lang_code", "_class"], "left")
+        .join(cut, "_lang_code", "left")
     )
-    inside = (deviation() >= F.col("least")) & (deviation() <= F.col("most"))
-    width = F.try_divide(F.lit(1.0 / DEVIATION_STEP), F.sqrt("n_words"))
+    inside = (distance() >= F.col("least")) & (distance() <= F.col("most"))
+
+    def border(end: str, width: str) -> Column:
+        far = F.col("core") + F.col(end) / DISTANCE_STEP * F.col(width)
+        return F.exp(F.col("centre") / STEP + far * F.try_divide(F.lit(1.0 / DEVIATION_STEP), F.sqrt("n_words")))
+
     return (
         placed.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
-        .withColumns({n: F.exp(F.col("centre") / STEP + F.col(c) * width) for n, c in (("lower", "least"), ("upper", "most"))})
+        .withColumns({"lower": border("least", "down"), "upper": border("most", "up")})
         .withColumn("perplexity", F.exp("cost"))
-        .drop("_class", "centre", "least", "most", "_least", "_most")
+        .drop("_class", "centre", "core", "down", "up", "least", "most")
     )
 
 
