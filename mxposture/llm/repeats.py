@@ -35,14 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mxposture.llm.common import byte_offsets, empty_text, shared_folder, slices
 from mxposture.llm.words import SPACE, mixed, prefix_sums, span_hashes, spans, spans_of
 
 WIDTH = 35
-ROUNDS = 4
+ROUNDS = 3
 STEP = 18
 HEAVY = 4096
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -194,9 +194,13 @@ def unit_table(rows: DataFrame, width: int) -> DataFrame:
 
 def written(df: DataFrame, stem: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder."""
-    path = shared_folder(df.sparkSession, stem)
+    spark = df.sparkSession
+    path = shared_folder(spark, stem)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # The shuffles behind a written table are of no more use; Spark removes the files of those that the
+    # driver's JVM has found unreachable, which it may otherwise do only much later.
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def among(rows: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
