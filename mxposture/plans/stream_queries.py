@@ -17,6 +17,8 @@ RATES = {
     "starttls_fallback_rate": "purchase",
 }
 
+_START = "2024-01-01 00:00:00"
+
 VIEWS["x_packets"] = """
 SELECT CAST(l_orderkey AS STRING) AS uid, l_suppkey % 2 = 0 AS is_orig,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS ord,
@@ -139,19 +141,20 @@ FROM lineitem
 
 @query("st02_reconstruction_stream", _WALK.replace("x_packets", "x_packets_keyed"))
 def reconstruction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
+    def build(ticks: DataFrame) -> DataFrame:
         rows = run.table_stream(spark, sf_dir, "lineitem")
         packets = rows.select(
             F.col("l_orderkey").cast("string").alias("uid"),
+            (F.lit(_START).cast("timestamp") + F.make_dt_interval(secs=F.col("l_linenumber"))).alias("ts"),
             (F.col("l_suppkey") % 2 == 0).alias("is_orig"),
             (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ord"),
             F.when(F.col("l_partkey") % 37 == 0, "S").otherwise("A").alias("flags"),
             (1 + 10 * (F.col("l_linenumber") % 5)).cast("bigint").alias("seq"),
             F.when(F.col("l_partkey") % 5 == 0, 20).when(F.col("l_partkey") % 5 == 1, 0).otherwise(10).cast("bigint").alias("len"),
         )
-        return reconstruction.reconstruct_stream(packets)
+        return reconstruction.reconstruct_stream(packets, ticks=ticks)
 
-    out = run.run_stateful(spark, build, "tcp")
+    out, _ = run.run_ordered(spark, build, "tcp")
     return out.select("uid", "is_orig", "ord", "event_type", "len")
 
 
@@ -170,32 +173,33 @@ def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     values.write.parquet(path)
 
-    def build() -> DataFrame:
-        return online.drift_stream(spark.readStream.schema(values.schema).parquet(path))
+    def build(ticks: DataFrame) -> DataFrame:
+        stream = run.files_stream(spark, path, values.schema, files_per_batch=2)
+        return online.drift_stream(stream, delay="400 days", lifetime="800 days", ticks=ticks)
 
-    out = run.run_stateful(spark, build, "drift")
+    out, _ = run.run_ordered(spark, build, "drift")
     return out.select("endpoint_id", "day_index", F.round("drift", 5).alias("drift"))
 
 
-# Sessions are cut after their second and fourth row, ends come last.
-_IN_ORDER = ["ord <= 2 AND kind <> 'end'", "ord BETWEEN 3 AND 4 AND kind <> 'end'", "ord > 4 OR kind = 'end'"]
+def _in_lots(rows: DataFrame, path: str) -> None:
+    """Rows with event times, dealt into lots without regard to their order."""
+    seconds = F.pmod(F.xxhash64("uid"), F.lit(36_000)) + F.least("ord", F.lit(1000))
+    timed = rows.withColumn("ts", F.lit(_START).cast("timestamp") + F.make_dt_interval(secs=seconds))
+    timed.repartition(6, F.xxhash64("uid", "ord")).write.parquet(path)
 
 
 @query("st08_upgrade_stream", "SELECT uid, protocol, state FROM y_dialogue_upgrades")
 def upgrade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogues streamed through the upgrade machine in three lots; the hello comes with the last row."""
+    """Dialogues streamed through the upgrade machine in lots of any order; sessions end by silence."""
     path = run.work_dir(spark, "dialogues")
-    rows = view(spark, sf_dir, "x_dialogue").drop("frame_number", "is_orig")
-    ends = rows.groupBy("uid").agg(
-        (F.max("ord") + 1).alias("ord"), F.max("protocol").alias("protocol"), F.max("client_hello").alias("client_hello")
-    ).withColumn("kind", F.lit("end"))
-    rows = rows.withColumn("client_hello", F.lit(False)).unionByName(ends, allowMissingColumns=True)
-    run.write_parts(rows, path, _IN_ORDER)
+    _in_lots(view(spark, sf_dir, "x_dialogue").drop("frame_number", "is_orig"), path)
+    schema = spark.read.parquet(path).schema
 
-    def build() -> DataFrame:
-        return online.upgrade_stream(run.files_stream(spark, path, rows.schema, files_per_batch=4))
+    def build(ticks: DataFrame) -> DataFrame:
+        stream = run.files_stream(spark, path, schema, files_per_batch=3)
+        return online.upgrade_stream(stream, delay="1 day", ticks=ticks)
 
-    out = run.run_stateful(spark, build, "upgrade")
+    out, _ = run.run_ordered(spark, build, "upgrade")
     return out.select("uid", "protocol", F.coalesce("state", F.lit("")).alias("state"))
 
 
@@ -211,11 +215,12 @@ def upgrade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def protocol_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run.work_dir(spark, "raw-events")
-    rows = view(spark, sf_dir, "x_raw_events")
-    run.write_parts(rows, path, _IN_ORDER)
+    _in_lots(view(spark, sf_dir, "x_raw_events"), path)
+    schema = spark.read.parquet(path).schema
 
-    def build() -> DataFrame:
-        return protocols.protocol_stream(run.files_stream(spark, path, rows.schema, files_per_batch=4))
+    def build(ticks: DataFrame) -> DataFrame:
+        stream = run.files_stream(spark, path, schema, files_per_batch=3)
+        return protocols.protocol_stream(stream, delay="1 day", ticks=ticks)
 
-    out = run.run_stateful(spark, build, "protocol")
+    out, _ = run.run_ordered(spark, build, "protocol")
     return out.select("uid", "ord", "protocol", "kind", F.coalesce("text", F.lit("")).alias("text"))

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mxposture.constants import DRIFT_DELTA, DRIFT_LAMBDA
 from mxposture.operators.sessions import CREDENTIAL_COMMANDS, HARMLESS_COMMANDS, UPGRADE_VERB
-
-_DRIFT = Row("endpoint_id", "day_index", "drift")
-_OUTCOME = Row("uid", "protocol", "state")
+from mxposture.streaming.ordered import Fold, in_order
 
 
 def daily_windows(events: DataFrame, rates: dict[str, str], late: str = "1 day") -> DataFrame:
@@ -34,47 +31,63 @@ def daily_windows(events: DataFrame, rates: dict[str, str], late: str = "1 day")
     )
 
 
-class DriftProcessor(StatefulProcessor):
-    """Page-Hinkley statistic of one value per endpoint, carried between micro-batches."""
+#: Day 0 on the stream's clock, in days after the epoch (2000-01-01); a watermark must be positive.
+DAY_ZERO = 10_957
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("drift", "mean double, total double, n bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        mean, total, n = self._state.get() if self._state.exists() else (0.0, 0.0, 0)
-        for r in sorted(rows, key=lambda r: r.day_index):
-            n += 1
-            mean += (r.value - mean) / n
-            total = max(0.0, total + r.value - mean - DRIFT_DELTA)
-            yield _DRIFT(key[0], int(r.day_index), total / DRIFT_LAMBDA)
-        self._state.update((float(mean), float(total), int(n)))
+class DriftFold(Fold):
+    """Page-Hinkley statistic of one value per endpoint, by day."""
 
-    def close(self) -> None:
-        pass
+    FIELDS = ["day_index", "value"]
+    OUTPUT = "day_index bigint, drift double"
 
+    def blank(self) -> dict:
+        return {"mean": 0.0, "total": 0.0, "n": 0}
 
-def drift_stream(values: DataFrame) -> DataFrame:
-    """``values``: endpoint_id, day_index, value."""
-    return values.groupBy("endpoint_id").transformWithState(
-        statefulProcessor=DriftProcessor(),
-        outputStructType="endpoint_id string, day_index bigint, drift double",
-        outputMode="Append",
-        timeMode="None",
-    )
+    def step(self, state: dict, row: dict) -> Iterator[tuple]:
+        value = row["value"]
+        state["n"] += 1
+        state["mean"] += (value - state["mean"]) / state["n"]
+        state["total"] = max(0.0, state["total"] + value - state["mean"] - DRIFT_DELTA)
+        yield row["day_index"], state["total"] / DRIFT_LAMBDA
+
+
+def drift_stream(values: DataFrame, delay: str = "2 days", lifetime: str = "90 days", **more) -> DataFrame:
+    """``values``: endpoint_id, day_index, value; a day's value counts at the day's time.
+
+    An endpoint that shows nothing for ``lifetime`` starts anew.
+    """
+    day = F.timestamp_seconds((DAY_ZERO + F.col("day_index")) * 86_400)
+    rows = values.withColumns({"ts": day, "ord": F.col("day_index")})
+    return in_order(rows, ["endpoint_id"], DriftFold(), delay, lifetime, idle=lifetime, **more)
 
 
-class UpgradeProcessor(StatefulProcessor):
-    """Upgrade dialogue of one session; the outcome is emitted when the session ends.
+class UpgradeFold(Fold):
+    """Upgrade dialogue of one session; the outcome comes when the session ends.
 
     A risky command after the acceptance is only a violation if no client hello is seen in the whole
-    session, so both are kept as flags until then. Rows of a session must arrive in order between
-    micro-batches; inside one they are sorted.
+    session, so both are kept as flags until then.
     """
 
-    FIELDS = "protocol string, hello boolean, advertised boolean, requested boolean, accepted boolean, waiting boolean, tag string, risky boolean, fallback boolean"
+    FLAGS = ["hello", "advertised", "requested", "accepted", "waiting", "risky", "fallback"]
+    FIELDS = ["protocol", "kind", "command", "reply_code", "text", "tag", "client_hello"]
+    OUTPUT = "protocol string, state string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("upgrade", self.FIELDS)
+    def blank(self) -> dict:
+        return dict.fromkeys(self.FLAGS, False) | {"protocol": None, "tag": None}
+
+    def ends(self, row: dict) -> bool:
+        return row.get("kind") == "end"
+
+    def step(self, state: dict, row: dict) -> Iterator[tuple]:
+        state["protocol"] = state["protocol"] or row.get("protocol")
+        state["hello"] = bool(state["hello"] or row.get("client_hello"))
+        if not self.ends(row):
+            self.advance(state, row)
+        return iter(())
+
+    def finish(self, state: dict) -> Iterator[tuple]:
+        yield state["protocol"], self.outcome(state)
 
     @staticmethod
     def outcome(s: dict) -> str | None:
@@ -89,65 +102,39 @@ class UpgradeProcessor(StatefulProcessor):
         return next((name for hit, name in order if hit), None)
 
     @staticmethod
-    def advance(s: dict, e) -> None:
-        protocol = s["protocol"]
+    def advance(s: dict, e: dict) -> None:
+        protocol, kind = s["protocol"], e.get("kind")
         verb = UPGRADE_VERB.get(protocol, "STARTTLS")
-        command, text = (e.command or "").upper(), (e.text or "").upper()
+        command, text = (e.get("command") or "").upper(), (e.get("text") or "").upper()
         words = text.split() if protocol == "smtp" else text.replace(",", " ").split()
-        if e.kind in ("capability", "reply") and verb in words:
+        if kind in ("capability", "reply") and verb in words:
             s["advertised"] = True
-        if protocol == "pop3" and e.kind == "capability" and command == verb:
+        if protocol == "pop3" and kind == "capability" and command == verb:
             s["advertised"] = True
-        if protocol == "smtp" and e.kind == "reply" and command == verb and e.reply_code == 250:
+        if protocol == "smtp" and kind == "reply" and command == verb and e.get("reply_code") == 250:
             s["advertised"] = True
-        if e.kind == "request" and command == verb:
-            s.update(requested=True, waiting=True, tag=e.tag)
-        elif s["waiting"] and e.kind == "reply":
-            code = e.reply_code
+        if kind == "request" and command == verb:
+            s.update(requested=True, waiting=True, tag=e.get("tag"))
+        elif s["waiting"] and kind == "reply":
+            code = e.get("reply_code")
             good = {
                 "smtp": code is not None and 200 <= code < 300,
                 "imap": text == "OK" or text.startswith("OK "),
             }.get(protocol, text.startswith(("+OK", "OK")))
-            fits = protocol != "imap" or not s["tag"] or not e.tag or s["tag"] == e.tag
+            fits = protocol != "imap" or not s["tag"] or not e.get("tag") or s["tag"] == e.get("tag")
             final = protocol != "imap" or (fits and (good or text.startswith(("NO", "BAD"))))
             s["accepted"] = s["accepted"] or (good and fits)
             s["waiting"] = not final
-        elif e.kind == "starttls":
+        elif kind == "starttls":
             s["accepted"] = True
-        elif e.kind == "unexpected" or e.kind == "request":
-            harmful = e.kind == "unexpected" or command not in HARMLESS_COMMANDS.get(protocol, [])
-            if e.kind == "request" and command in CREDENTIAL_COMMANDS.get(protocol, []) and not s["accepted"]:
+        elif kind == "unexpected" or kind == "request":
+            harmful = kind == "unexpected" or command not in HARMLESS_COMMANDS.get(protocol, [])
+            if kind == "request" and command in CREDENTIAL_COMMANDS.get(protocol, []) and not s["accepted"]:
                 s["fallback"] = True
             if harmful and s["accepted"]:
                 s["risky"] = True
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = [f.split()[0] for f in self.FIELDS.split(", ")]
-        blank = dict.fromkeys(names, False) | {"protocol": None, "tag": None}
-        s = dict(zip(names, self._state.get(), strict=True)) if self._state.exists() else blank
-        ended = False
-        for e in sorted(rows, key=lambda r: r.ord):
-            s["protocol"] = s["protocol"] or e.protocol
-            s["hello"] = bool(s["hello"] or e.client_hello)
-            if e.kind == "end":
-                ended = True
-                yield _OUTCOME(key[0], s["protocol"], self.outcome(s))
-            else:
-                self.advance(s, e)
-        if ended:
-            self._state.clear()
-        else:
-            self._state.update(tuple(s[n] for n in names))
-
-    def close(self) -> None:
-        pass
-
-
-def upgrade_stream(events: DataFrame) -> DataFrame:
-    """``events``: uid, ord, protocol, kind (or ``end``), command, reply_code, text, tag, client_hello."""
-    return events.groupBy("uid").transformWithState(
-        statefulProcessor=UpgradeProcessor(),
-        outputStructType="uid string, protocol string, state string",
-        outputMode="Append",
-        timeMode="None",
-    )
+
+def upgrade_stream(events: DataFrame, **more) -> DataFrame:
+    """``events``: uid, ts, ord, protocol, kind (or ``end``), command, reply_code, text, tag, client_hello."""
+    return in_order(events, ["uid"], UpgradeFold(), **more)

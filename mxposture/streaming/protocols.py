@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mxposture.operators.scale import CHUNK_ROWS, running
+from mxposture.streaming.ordered import Fold, in_order
 
 # First payload bytes of the client and of the server, with POSIX classes.
 SIGNATURES = {
@@ -26,8 +26,6 @@ SIGNATURES = {
     ),
 }
 GREETING = r"^[\x20-\x7e]{3,80}\r\n"
-OUTPUT_SCHEMA = "uid string, ord bigint, protocol string, kind string, text string"
-_EVENT = Row("uid", "ord", "protocol", "kind", "text")
 
 
 def from_start(pattern: str) -> str:
@@ -92,52 +90,40 @@ def protocol_events(raw: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
-class ProtocolProcessor(StatefulProcessor):
-    """Stream form: three flags per connection, cleared when the connection ends.
+class ProtocolFold(Fold):
+    """Stream form: three flags per connection until it ends, by an end row or by silence."""
 
-    Rows of a connection must arrive in order between micro-batches; inside one they are sorted.
-    """
+    FIELDS = ["protocol", "kind", "command", "text"]
+    OUTPUT = "ord bigint, protocol string, kind string, text string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._flags = handle.getValueState("flags", "confirmed boolean, greeted boolean, listing boolean")
+    def blank(self) -> dict:
+        return {"confirmed": False, "greeted": False, "listing": False, "last": 0}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        confirmed, greeted, listing = (
-            self._flags.get() if self._flags.exists() else (False, False, False)
-        )
-        ended = False
-        # One connection of one micro-batch; the trigger bounds it.
-        for e in sorted(rows, key=lambda r: r.ord):
-            if e.kind == "greeting":
-                greeted = True
-            elif e.kind == "end":
-                ended = True
-                if greeted and not confirmed:
-                    yield _EVENT(key[0], e.ord, "unknown", "ambiguous_banner", None)
-            elif e.kind == "data":
-                if e.text == ".":
-                    listing = False
-                elif listing and e.text:
-                    confirmed = True
-                    yield _EVENT(key[0], e.ord, e.protocol, "capability", e.text)
-            else:
-                if e.kind == "request" and e.protocol == "pop3":
-                    listing = (e.command or "").upper() == "CAPA"
-                confirmed = True
-                yield _EVENT(key[0], e.ord, e.protocol, e.kind, e.text)
-        if ended:
-            self._flags.clear()
-        else:
-            self._flags.update((confirmed, greeted, listing))
-
-    def close(self) -> None:
-        pass
-
-
-def protocol_stream(raw: DataFrame) -> DataFrame:
-    return raw.groupBy("uid").transformWithState(
-        statefulProcessor=ProtocolProcessor(),
-        outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
-    )
+    def ends(self, row: dict) -> bool:
+        return row.get("kind") == "end"
+
+    def step(self, state: dict, row: dict) -> Iterator[tuple]:
+        kind, text = row.get("kind"), row.get("text")
+        state["last"] = row["ord"]
+        if kind == "greeting":
+            state["greeted"] = True
+        elif kind == "data":
+            if text == ".":
+                state["listing"] = False
+            elif state["listing"] and text:
+                state["confirmed"] = True
+                yield row["ord"], row.get("protocol"), "capability", text
+        elif kind != "end":
+            if kind == "request" and row.get("protocol") == "pop3":
+                state["listing"] = (row.get("command") or "").upper() == "CAPA"
+            state["confirmed"] = True
+            yield row["ord"], row.get("protocol"), kind, text
+
+    def finish(self, state: dict) -> Iterator[tuple]:
+        if state["greeted"] and not state["confirmed"]:
+            yield state["last"], "unknown", "ambiguous_banner", None
+
+
+def protocol_stream(raw: DataFrame, **more) -> DataFrame:
+    """``raw``: uid, ts, ord, protocol, kind, command, text."""
+    return in_order(raw, ["uid"], ProtocolFold(), **more)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from mxposture.streaming.ordered import Fold, in_order
 
 EVENT_SCHEMA = (
     "uid string, is_orig boolean, ord bigint, event_type string, seq bigint, len bigint, "
     "range_start bigint, range_end bigint"
 )
-STATE_SCHEMA = "expected bigint, high bigint, future boolean"
 COLUMNS = [
     "uid",
     "is_orig",
@@ -25,8 +25,6 @@ COLUMNS = [
     "range_end",
 ]
 
-_EVENT = Row(*COLUMNS)
-
 
 def step(state: tuple, flags: str, seq: int, size: int) -> tuple[tuple, tuple | None]:
     """State after one packet, and the (event, length) it causes.
@@ -112,29 +110,21 @@ def flagged_events(packets: DataFrame) -> DataFrame:
     )
 
 
-class ReconstructionProcessor(StatefulProcessor):
+class ReconstructionFold(Fold):
     """The same walk with the state kept between micro-batches."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("tcp", STATE_SCHEMA)
+    FIELDS = ["flags", "seq", "len"]
+    OUTPUT = EVENT_SCHEMA.split(", ", 2)[2]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state = tuple(self._state.get()) if self._state.exists() else (None, None, False)
-        # One direction of one micro-batch; the trigger bounds it.
-        for p in sorted(rows, key=lambda r: r.ord):
-            state, event = step(state, p.flags or "", int(p.seq), int(p.len))
-            if event:
-                yield _EVENT(*_row(key[0], key[1], p.ord, int(p.seq), event))
-        self._state.update(state)
+    def blank(self) -> dict:
+        return {"tcp": (None, None, False)}
 
-    def close(self) -> None:
-        pass
+    def step(self, state: dict, row: dict) -> Iterator[tuple]:
+        state["tcp"], event = step(state["tcp"], row.get("flags") or "", row["seq"], row["len"])
+        if event:
+            yield _row(None, None, row["ord"], row["seq"], event)[2:]
 
 
-def reconstruct_stream(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("uid", "is_orig").transformWithState(
-        statefulProcessor=ReconstructionProcessor(),
-        outputStructType=EVENT_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
-    )
+def reconstruct_stream(packets: DataFrame, **more) -> DataFrame:
+    """``packets``: uid, is_orig, ts, ord, flags, seq, len."""
+    return in_order(packets, ["uid", "is_orig"], ReconstructionFold(), **more)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mxposture.session import checkpoint_dir, is_local
 from mxposture.sources.logs import LOG_SCHEMAS
+from mxposture.streaming.ordered import LATE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -44,16 +45,10 @@ def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def files_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
-    """Parquet files in the order they were written, a bounded number in each micro-batch."""
+    """Parquet files of a folder, a bounded number in each micro-batch, in no promised order."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def write_parts(rows: DataFrame, path: str, parts: list[str], files: int = 4) -> None:
-    """``rows`` as files, those that meet the first condition first, and so on."""
-    for condition in parts:
-        rows.where(condition).coalesce(files).write.mode("append").parquet(path)
-
-
 def run_upserts(stream: DataFrame, path: str, mode: str = "update") -> None:
     """Process everything that is there now. Each micro-batch owns one folder and overwrites it
     when it is repeated, so a restart neither loses nor doubles rows."""
@@ -79,13 +74,28 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 
-def run_stateful(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Run a keyed stateful stream over what is there now and return its output rows."""
+END_OF_INPUT = "2200-01-01"  # pandas holds times up to 2262
+
+
+def run_ordered(
+    spark: SparkSession, build: Callable[[DataFrame], DataFrame], name: str
+) -> tuple[DataFrame, DataFrame]:
+    """Run an ordered fold over what is there now and to its end; (results, late rows).
+
+    ``build`` gets a stream of ticks. When the input is used up, one tick at the end of time makes all
+    rows due and all sessions end; the same query goes on from its checkpoint for that.
+    """
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, ROCKSDB)
     path = work_dir(spark, name)
+    tick = spark.range(1).select(F.lit(END_OF_INPUT).cast("timestamp").alias("ts"))
+    tick.limit(0).write.parquet(f"{path}/ticks")
     try:
-        run_upserts(build(), path, "append")
+        for last in (False, True):
+            if last:
+                tick.write.mode("append").parquet(f"{path}/ticks")
+            run_upserts(build(spark.readStream.schema(tick.schema).parquet(f"{path}/ticks")), path, "append")
     finally:
         spark.conf.set(_PROVIDER, before)
-    return spark.read.parquet(f"{path}/rows").drop("batch")
+    rows = spark.read.parquet(f"{path}/rows").drop("batch")
+    return rows.where(F.col(LATE).isNull()).drop(LATE), rows.where(F.col(LATE).isNotNull()).select(LATE)

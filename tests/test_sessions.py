@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mxposture.operators import sessions as ops
-from mxposture.streaming.online import UpgradeProcessor
+from mxposture.streaming.online import UpgradeFold
 
 SCHEMA = (
     "uid string, ord bigint, protocol string, kind string, command string, reply_code int, text string, "
@@ -26,19 +26,15 @@ TEXTS = {
 }
 
 
-class Event:
-    def __init__(self, row):
-        (self.uid, self.ord, self.protocol, self.kind, self.command, self.reply_code, self.text, self.tag,
-         self.client_hello, self.frame_number) = row
+EVENT = ["uid", "ord", "protocol", "kind", "command", "reply_code", "text", "tag", "client_hello", "frame_number"]
 
 
 def walk(rows):
     """Outcome of one dialogue, event by event."""
-    names = [f.split()[0] for f in UpgradeProcessor.FIELDS.split(", ")]
-    state = dict.fromkeys(names, False) | {"protocol": rows[0][2], "tag": None, "hello": rows[0][8]}
+    state = UpgradeFold().blank() | {"protocol": rows[0][2], "hello": rows[0][8]}
     for row in sorted(rows, key=lambda r: r[1]):
-        UpgradeProcessor.advance(state, Event(row))
-    return UpgradeProcessor.outcome(state)
+        UpgradeFold.advance(state, dict(zip(EVENT, row, strict=True)))
+    return UpgradeFold.outcome(state)
 
 
 def dialogue(rng, uid):

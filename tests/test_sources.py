@@ -175,30 +175,6 @@ def test_cohort_job(spark, tmp_path):
 # --- streams ----------------------------------------------------------------------------------------
 
 
-def test_streams_in_several_batches_equal_the_batch(spark, tmp_path):
-    packets = spark.range(400).select(
-        F.concat(F.lit("u"), (F.col("id") % 5).cast("string")).alias("uid"),
-        (F.col("id") % 2 == 0).alias("is_orig"),
-        F.col("id").alias("ord"),
-        F.when(F.col("id") < 10, "S").otherwise("A").alias("flags"),
-        (1 + 10 * F.floor((F.col("id") * 7) % 100 / 10)).alias("seq"),
-        F.lit(10).cast("bigint").alias("len"),
-    )
-    source = tmp_path / "packets"
-    for part in range(4):
-        chunk = packets.where(F.col("ord").between(part * 100, part * 100 + 99))
-        chunk.coalesce(1).write.mode("append").parquet(str(source))
-
-    def build():
-        reader = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1)
-        return reconstruction.reconstruct_stream(reader.parquet(str(source)))
-
-    batch = reconstruction.reconstruct(packets)
-    out = run.run_stateful(spark, build, "test")
-    assert batch.count() > 0
-    assert sorted(map(str, out.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
-
-
 def test_upserts_are_idempotent(spark, tmp_path):
     schema = "endpoint_id string, ts timestamp, event_type string"
     for i, rows in enumerate([["view", "error"], ["view"]]):
