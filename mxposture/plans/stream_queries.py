@@ -50,6 +50,22 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("uid", "is_orig", "ord", "event_type", "len")
 
 
+VIEWS["x_packets_hot"] = """
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE CAST(l_orderkey AS STRING) END AS uid, l_orderkey % 3 = 0 OR l_suppkey % 2 = 0 AS is_orig,
+       CAST(row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS ord,
+       CASE WHEN l_partkey % 97 = 0 THEN 'S' ELSE 'A' END AS flags,
+       CAST(1 + 10 * (CAST(FLOOR(l_orderkey / 3) AS BIGINT) % 50) + 10 * (l_linenumber % 5) AS BIGINT) AS seq, CAST(CASE l_partkey % 5 WHEN 0 THEN 20 WHEN 1 THEN 0 ELSE 10 END AS BIGINT) AS len
+FROM lineitem
+"""
+
+
+@query("st02_hot_direction", _WALK.replace("x_packets", "x_packets_hot"))
+def hot_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all packets in one direction, walked in chunks of a thousand."""
+    out = reconstruction.reconstruct(view(spark, sf_dir, "x_packets_hot"), width=1000)
+    return out.select("uid", "is_orig", "ord", "event_type", "len")
+
+
 @query(
     "st03_flagged_events",
     """SELECT uid, ord, CASE mark WHEN 'gap' THEN 'seq_gap' WHEN 'rexmit' THEN 'rexmit' ELSE 'rexmit_inconsistency' END AS event_type,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Every timestamp in the evidence tables is UTC; AQE re-plans joins from real sizes and
@@ -54,3 +56,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` materialised now, for loops that read it again and again.
+
+    Like ``checkpointed``, but a local session without a folder gets a temporary one of its own, since a
+    lazy plan would be worked out anew, and grow, in every round.
+    """
+    spark = df.sparkSession
+    if checkpoint_dir(spark) is None and is_local(spark):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mxposture-"))
+        return df.checkpoint(eager=True)
+    return checkpointed(df)
