@@ -32,8 +32,9 @@ from mxposture.constants import (
 from mxposture.functions.states import lookup
 from mxposture.functions.text import joined_digest
 from mxposture.operators import windows as W
+from mxposture.operators.history import with_past
 from mxposture.operators.scale import cumulative_share, exact_quantiles, global_position
-from mxposture.session import checkpointed
+from mxposture.session import checkpointed, settled
 
 VERSION_BUCKETS = ["TLSv10", "TLSv12", "TLSv13", "other"]
 
@@ -86,7 +87,7 @@ def prepare(
 ) -> DataFrame:
     """Windows with history, robust scores, rarities and skip reason."""
     cols = list(dict.fromkeys([*(rates or []), *features]))
-    out = W.with_history(windows, cols, RARITY_FEATURES)
+    out = with_past(windows, cols, RARITY_FEATURES)
     out = W.with_robust_scores(out, features)
     out = W.with_rarity(out)
     return out.withColumn("skip_reason", W.skip_reason(min_support, min_history))
@@ -183,9 +184,7 @@ def feature_vector(rates: list[str], features: list[str]) -> Column:
     version = F.when(
         F.col("dominant_tls_version").isin(VERSION_BUCKETS[:3]), F.col("dominant_tls_version")
     ).otherwise("other")
-    own_first = (F.col("history_count") > 0) & ~F.exists(
-        "history", lambda h: h["issuer_id"] == F.col("issuer_id")
-    )
+    own_first = (F.col("history_count") > 0) & (F.col("seen_issuer_id") == 0)
     values = [F.col(n) for n in rates]
     values += [F.abs(F.col(f"z_{n}")) for n in features]
     for n in RARITY_FEATURES:
@@ -431,9 +430,7 @@ class Forest:
         return out
 
     def score(self, windows: DataFrame) -> DataFrame:
-        rows = self.vectors(windows)
-        rows = W.with_medians(rows, [n for n in self.rates if n not in self.features])
-        rows = checkpointed(rows)
+        rows = settled(self.vectors(windows))
         used = self.schedule(rows)
         fits = sorted(set(used.values()))
         parts = [
@@ -450,13 +447,13 @@ class Forest:
             model_day = lookup(F.col("day_index").cast("int"), used).cast("bigint")
             rows = rows.withColumn("fit_day", model_day)
             training = self._training(rows, fits)
-            scales = checkpointed(self._scales(training))
+            scales = settled(self._scales(training))
             sizes = {r["fit_day"]: r["n"] for r in training.groupBy("fit_day").agg(F.count(F.lit(1)).alias("n")).collect()}
             scaled = self._scaled(training, scales)
-            models = checkpointed(self._grow_trees(scaled, sizes))
-            trained = self._score_pairs(scaled, models, fits)
+            models = settled(self._grow_trees(scaled, sizes))
+            trained = settled(self._score_pairs(scaled, models, fits))
             bars = exact_quantiles(
-                trained, ["fit_day"], "raw_score", {"_threshold": self.quantile}, scale=4096.0
+                trained, ["fit_day"], "raw_score", {"_threshold": self.quantile}
             )
             live = rows.where(F.col("fit_day").isNotNull() & F.col("trainable"))
             now = self._score_pairs(

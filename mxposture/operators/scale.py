@@ -7,6 +7,7 @@ third of the table is spread over the cluster and the result is still exact.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,16 +125,37 @@ def cumulative_share(
     )
 
 
+EDGES = 1024
+
+
+def bucketed(df: DataFrame, value: str, name: str, edges: int = EDGES) -> DataFrame:
+    """``name``: a bucket that does not decrease with ``value``, cut where the values are.
+
+    A mergeable quantile sketch over all rows gives the edges (at most ``edges`` numbers reach the
+    driver), so whatever the range or the shape, a bucket holds about 1 / ``edges`` of all rows, or one
+    value that is more frequent than that.
+    """
+    share = [k / edges for k in range(1, edges)]
+    cuts = sorted(set(df.approxQuantile(value, share, 0.5 / edges)))
+    # Numbers that read as equal edges would be no cut.
+    splits = [-float("inf"), *[c for c in cuts if abs(c) < float("inf")], float("inf")]
+    if len(splits) == 2:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol=name)
+    return cut.transform(df).withColumn(name, F.col(name).cast("bigint"))
+
+
 def exact_quantiles(
-    df: DataFrame, group: list[str], value: str, qs: dict[str, float], scale: float = 256.0
+    df: DataFrame, group: list[str], value: str, qs: dict[str, float], edges: int = EDGES
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group without collecting a group.
+    """Linear-interpolation quantiles per group without collecting a group; nulls and NaN are left out.
 
-    Pass 1 counts equal-width buckets (a few rows per group); pass 2 looks only at the values of
-    the buckets that hold the wanted ranks. Both passes aggregate map-side.
+    Pass 1 counts the rows of each group per bucket (see ``bucketed``); pass 2 looks only at the values
+    of the buckets that hold the wanted ranks. Both passes aggregate map-side.
     """
-    bucket = F.floor(F.col(value) * F.lit(scale)).cast("bigint")
-    rows = df.where(F.col(value).isNotNull()).withColumn("_bk", bucket)
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rows = rows.withColumn(value, F.col(value).cast("double"))
+    rows = bucketed(rows, value, "_bk", edges)
     buckets = rows.groupBy(*group, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*group).orderBy("_bk")
     whole = Window.partitionBy(*group)

@@ -1,7 +1,6 @@
 """Endpoint windows: rollup of evidence per endpoint, past-only statistics, rarity, reasons.
 
-An endpoint has one window per day, so its history is bounded by the number of days kept; only
-there are past values held in an array. Peer groups have no such bound and are always counted on
+What a window is compared with in its own past comes from ``history.with_past``. Peer groups are counted on
 per-day aggregates.
 """
 
@@ -11,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mxposture.constants import (
-    DRIFT_DELTA,
-    DRIFT_LAMBDA,
     EVIDENCE_FIELD,
     INCOMPLETE_GATE,
     MAD_FLOOR,
@@ -149,95 +146,19 @@ def assign_day(windows: DataFrame, history: DataFrame | None, site: str = "local
 # --- past-only statistics -----------------------------------------------------------------------
 
 
-def with_history(windows: DataFrame, features: list[str], carry: list[str] | None = None) -> DataFrame:
-    """``history``: the endpoint's earlier windows (day strictly less), oldest first."""
-    past = (
-        Window.partitionBy("endpoint_id")
-        .orderBy("day_index")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    cols = [*features, *(carry or [])]
-    return windows.withColumn("history", F.collect_list(F.struct(*cols)).over(past)).withColumn(
-        "history_count", F.size("history").cast("bigint")
-    )
-
-
-def sorted_median(ordered: Column) -> Column:
-    """Median of a sorted array of doubles; 0 when empty."""
-    n = F.size(ordered)
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    return F.when(n == 0, F.lit(0.0)).otherwise((low + high) / 2)
-
-
 def robust_z(value: Column, median: Column, mad: Column) -> Column:
     scale = F.greatest(mad * MAD_SCALE, F.lit(MAD_FLOOR))
     return F.greatest(F.lit(-Z_CAP), F.least(F.lit(Z_CAP), (value - median) / scale))
 
 
-def drift(history: Column, value: Column) -> Column:
-    """Page-Hinkley statistic over the past values and the current one."""
-    state = F.struct(
-        F.lit(0.0).alias("m"), F.lit(0.0).alias("s"), F.lit(0.0).alias("n")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + 1.0
-        mean = acc["m"] + (x - acc["m"]) / n
-        return F.struct(
-            mean.alias("m"),
-            F.greatest(F.lit(0.0), acc["s"] + x - mean - DRIFT_DELTA).alias("s"),
-            n.alias("n"),
-        )
-
-    series = F.concat(history, F.array(value))
-    return F.aggregate(series, state, step, lambda acc: acc["s"] / DRIFT_LAMBDA)
-
-
-def past(name: str) -> Column:
-    """Earlier values of one column, oldest first."""
-    return F.transform(F.col("history"), lambda h: h[name].cast("double"))
-
-
-def deviations(values: Column, center: Column) -> Column:
-    return F.transform(values, lambda x: F.abs(x - center))
-
-
-def times_seen(name: str) -> Column:
-    """How often the current value occurs in the endpoint's own history."""
-    return F.size(F.filter("history", lambda h: h[name] == F.col(name)))
-
-
-def with_medians(windows: DataFrame, features: list[str]) -> DataFrame:
-    """Past median of each feature; the sorted series is built once per row."""
-    out = windows.withColumns({f"_sorted_{n}": F.array_sort(past(n)) for n in features})
-    out = out.withColumns({f"med_{n}": sorted_median(F.col(f"_sorted_{n}")) for n in features})
-    return out.drop(*[f"_sorted_{n}" for n in features])
-
-
 def with_robust_scores(windows: DataFrame, features: list[str]) -> DataFrame:
-    """Median, z-score and feature score (larger of |z| and drift) for each feature.
-
-    Each step is its own projection, so a series is sorted once and a median feeds its deviation
-    without being computed again.
-    """
-    out = with_medians(windows, features)
-    out = out.withColumns(
-        {
-            f"_dev_{n}": F.array_sort(deviations(past(n), F.col(f"med_{n}"))) for n in features
-        }
+    """z-score and feature score (larger of |z| and drift) of windows that went through ``with_past``."""
+    out = windows.withColumns(
+        {f"z_{n}": robust_z(F.col(n), F.col(f"med_{n}"), F.col(f"mad_{n}")) for n in features}
     )
-    out = out.withColumns({f"_mad_{n}": sorted_median(F.col(f"_dev_{n}")) for n in features})
-    out = out.withColumns(
-        {
-            **{f"z_{n}": robust_z(F.col(n), F.col(f"med_{n}"), F.col(f"_mad_{n}")) for n in features},
-            **{f"drift_{n}": drift(past(n), F.col(n).cast("double")) for n in features},
-        }
-    )
-    out = out.withColumns(
+    return out.withColumns(
         {f"score_{n}": F.greatest(F.abs(F.col(f"z_{n}")), F.col(f"drift_{n}")) for n in features}
     )
-    return out.drop(*[f"_mad_{n}" for n in features], *[f"_dev_{n}" for n in features])
 
 
 def with_rarity(windows: DataFrame, features: list[str] | None = None) -> DataFrame:
@@ -268,7 +189,7 @@ def with_rarity(windows: DataFrame, features: list[str] | None = None) -> DataFr
         out = out.join(seen, [*group, name, "day_index"], "left")
         out = out.withColumn(
             f"count_{name}",
-            F.when(F.col("peer_n") > 0, F.col(f"_c_{name}")).otherwise(times_seen(name)),
+            F.when(F.col("peer_n") > 0, F.col(f"_c_{name}")).otherwise(F.col(f"seen_{name}")),
         )
         total = F.when(F.col("peer_n") > 0, F.col("peer_n")).otherwise(F.col("history_count"))
         out = out.withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mxposture.constants import RATE_FEATURES
 from mxposture.operators import detect, evaluate
 from mxposture.operators import windows as ops
+from mxposture.operators.history import with_past
 from mxposture.operators.scale import cumulative_share, exact_quantiles
 from mxposture.plans.adapters import VIEWS, table, view
 from mxposture.plans.flow_queries import built_flows
@@ -123,12 +124,12 @@ FROM y_rarity
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.with_history(daily(spark, sf_dir), FEATURES, ["issuer_id", "dominant_tls_version"])
+    return with_past(daily(spark, sf_dir), FEATURES, ["issuer_id", "dominant_tls_version"])
 
 
 @query("w01_past_history", "SELECT endpoint_id, day_index, history_count, round(med_tls13_share, 6) AS med FROM y_history")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.with_medians(_history(spark, sf_dir), ["tls13_share"])
+    out = with_past(daily(spark, sf_dir), ["tls13_share"])
     return out.select("endpoint_id", "day_index", "history_count", F.round("med_tls13_share", 6).alias("med"))
 
 
@@ -153,7 +154,7 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         "endpoint_id",
         "day_index",
         *[
-            F.round(ops.drift(ops.past(n), F.col(n).cast("double")), 5).alias(f"drift_{n}")
+            F.round(f"drift_{n}", 5).alias(f"drift_{n}")
             for n in FEATURES
         ],
     )
@@ -185,7 +186,7 @@ def rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _history(spark, sf_dir)
-    seen = (F.col("history_count") > 0) & (ops.times_seen("issuer_id") == 0)
+    seen = (F.col("history_count") > 0) & (F.col("seen_issuer_id") == 0)
     return out.select("endpoint_id", "day_index", seen.alias("first_seen"))
 
 
@@ -242,9 +243,9 @@ def first_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type", "value")
-    med = exact_quantiles(events, ["event_type"], "value", {"med": 0.5}, scale=4.0)
+    med = exact_quantiles(events, ["event_type"], "value", {"med": 0.5})
     away = events.join(med, "event_type").withColumn("away", F.abs(F.col("value") - F.col("med")))
-    mad = exact_quantiles(away, ["event_type"], "away", {"mad": 0.5}, scale=4.0)
+    mad = exact_quantiles(away, ["event_type"], "away", {"mad": 0.5})
     return med.join(mad, "event_type").select(
         "event_type", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad")
     )
@@ -277,7 +278,6 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["event_type"],
         "value",
         {"p50": 0.5, "p90": 0.9, "p992": 0.992},
-        scale=2.0,
     )
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p992")])
 

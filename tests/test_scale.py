@@ -37,21 +37,46 @@ def test_previous_value_crosses_chunks(spark):
     assert sorted(out.select("k", "ord", "p").collect(), key=str) == sorted(plain.collect(), key=str)
 
 
-def test_exact_quantiles(spark):
-    df = skewed(spark)
+def quantile(values, q):
+    ordered = sorted(values)
+    rank = (len(ordered) - 1) * q
+    low = ordered[int(rank)]
+    high = ordered[min(int(rank) + (rank > int(rank)), len(ordered) - 1)]
+    return low + (high - low) * (rank - int(rank))
+
+
+def check_quantiles(spark, rows, edges):
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
     groups = {}
-    for r in df.collect():
-        groups.setdefault(r.k, []).append(r.x)
-    out = scale.exact_quantiles(df, ["k"], "x", {"med": 0.5, "p90": 0.9}, scale=1.5)
-    got = {r.k: (r.med, r.p90) for r in out.collect()}
+    for k, x in rows:
+        if x is not None and x == x:
+            groups.setdefault(k, []).append(x)
+    out = scale.exact_quantiles(df, ["k"], "x", {"med": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0}, edges=edges)
+    got = {r.k: (r.med, r.p90, r.least, r.most) for r in out.collect()}
     assert set(got) == set(groups)
     for key, values in groups.items():
-        ordered = sorted(values)
-        rank = (len(ordered) - 1) * 0.9
-        low = ordered[int(rank)]
-        high = ordered[min(int(rank) + (rank > int(rank)), len(ordered) - 1)]
-        assert abs(got[key][0] - statistics.median(values)) < 1e-9
-        assert abs(got[key][1] - (low + (high - low) * (rank - int(rank)))) < 1e-9
+        for g, q in zip(got[key], (0.5, 0.9, 0.0, 1.0)):
+            assert abs(g - quantile(values, q)) <= 1e-9 * max(1, abs(g)), (key, q)
+
+
+def test_exact_quantiles(spark):
+    rows = [(r.k, float(r.x)) for r in skewed(spark).collect()]
+    for edges in (2, 7, 1024):
+        check_quantiles(spark, rows, edges)
+
+
+def test_quantiles_over_many_decades_and_of_one_value(spark):
+    rng = random.Random(6)
+    rows = [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-6, 6)) for _ in range(1500)]
+    rows += [("same", 3.25)] * 900 + [("narrow", 1 + rng.random() * 1e-9) for _ in range(300)]
+    rows += [("mixed", rng.choice([0.0, 0.0, 0.0, 1e-300, 1e300])) for _ in range(200)]
+    rows += [("odd", None), ("odd", float("nan")), ("odd", 2.0), ("nothing", None), ("ends", float("inf")), ("ends", 1.0), ("ends", 2.0)]
+    rows = [r for r in rows if r[0] != "ends"]
+    for edges in (8, 1024):
+        check_quantiles(spark, rows, edges)
+    whole = scale.exact_quantiles(spark.createDataFrame(rows, "k string, x double"), [], "x", {"med": 0.5}).first()
+    assert abs(whole.med - quantile([x for _, x in rows if x is not None and x == x], 0.5)) < 1e-9
+    assert scale.exact_quantiles(spark.createDataFrame([], "k string, x double"), ["k"], "x", {"med": 0.5}).count() == 0
 
 
 def test_cumulative_share(spark):
