@@ -43,6 +43,7 @@ COORDINATES = 64
 MATCHES = 36
 PREFIX = COORDINATES - MATCHES + 1
 BLOCK_TEXTS = 4096
+LIST_BLOCK = 2048
 BLOCK_SHINGLES = 2_000_000
 CLASSES_PER_TASK = 20_000
 
@@ -218,21 +219,73 @@ def star_pairs(posts: DataFrame, labels: DataFrame | None, seed: int) -> DataFra
     return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def crossing_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of different clusters that stand in one list."""
+def crossing_links(posts: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of different clusters in one list whose signatures agree in MATCHES places.
+
+    In each list that holds several clusters, the members outside the largest one seek among all. Both
+    sides are cut into blocks that meet in a task, where signatures are compared; only agreeing pairs
+    become rows, so a frequent coordinate with many small clusters makes no rows by its square.
+    """
     rows = with_component(posts, labels, "node", "cluster")
     parts = rows.groupBy("pair", "cluster").agg(F.count(F.lit(1)).alias("n"))
     lists = parts.groupBy("pair").agg(
-        F.max(F.struct("n", "cluster"))["cluster"].alias("largest"), F.count(F.lit(1)).alias("parts")
+        F.max(F.struct("n", "cluster")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
     )
-    several = rows.join(lists.where("parts > 1").drop("parts"), "pair")
-    minor = several.where(F.col("cluster") != F.col("largest")).select(
-        "pair", F.col("node").alias("a"), F.col("cluster").alias("of_a")
+    lists = lists.where("parts > 1").select(
+        "pair",
+        F.col("m.cluster").alias("largest"),
+        F.ceil((F.col("all") - F.col("m.n")) / LIST_BLOCK).cast("int").alias("seekers"),
+        F.ceil(F.col("all") / LIST_BLOCK).cast("int").alias("targets"),
     )
-    others = several.select("pair", F.col("node").alias("b"), F.col("cluster").alias("of_b"), "largest")
-    once = (F.col("of_b") == F.col("largest")) | (F.col("a") < F.col("b"))
-    met = minor.join(others, "pair").where((F.col("of_a") != F.col("of_b")) & once)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = rows.join(lists, "pair").withColumn("minor", F.col("cluster") != F.col("largest"))
+
+    def spread(seeks: bool):
+        own, other = ("seekers", "targets") if seeks else ("targets", "seekers")
+        mine = F.pmod(F.xxhash64("node"), own).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        i, j = (mine, every) if seeks else (every, mine)
+        part = several.where("minor") if seeks else several
+        return part.select("pair", i.alias("i"), j.alias("j"), "node", "cluster", (~F.col("minor")).alias("main"), F.lit(seeks).alias("seeks"))
+
+    both = spread(True).unionAll(spread(False)).join(nodes.select("node", "signature"), "node")
+    key = ["pair", "i", "j"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+
+        def found() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            node, cluster, main, seeks = (table.column(c).to_numpy() for c in ("node", "cluster", "main", "seeks"))
+            signature = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            a, b = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+            same = np.zeros((len(a), len(b)), np.uint8)
+            for k in range(COORDINATES):
+                same += signature[a, k][:, None] == signature[b, k][None, :]
+            once = main[b][None, :] | (node[a][:, None] < node[b][None, :])
+            x, y = np.nonzero((same >= MATCHES) & once & (cluster[a][:, None] != cluster[b][None, :]))
+            left, right = node[a[x]], node[b[y]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"]
+            )
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in key], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                if held and tuple(keys[first]) != current:
+                    yield found()
+                    held = []
+                current = tuple(keys[first])
+                held.append(batch.slice(first, last - first))
+        if held:
+            yield found()
+
+    ordered = both.select(*key, "node", "cluster", "main", "seeks", "signature")
+    ordered = ordered.repartition(*key).sortWithinPartitions(*key)
+    return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
 def forest(nodes: np.ndarray, seeks: np.ndarray, values: np.ndarray, bounds: np.ndarray, percent: int) -> list:
@@ -362,7 +415,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     labels = components(stars)
     again = agreeing(star_pairs(posts, labels, 2))
     labels = components(labels.unionAll(again))
-    between = agreeing(crossing_pairs(posts, labels))
+    between = settled(crossing_links(posts, labels, nodes).coalesce(few))
     heads = labels.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct()
     members = labels.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionAll(heads)
     ends = between.select(F.col("a").alias("node")).unionAll(between.select("b"))
