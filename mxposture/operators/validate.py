@@ -43,6 +43,84 @@ def mismatches(header: DataFrame, recomputed: DataFrame, key: str, fields: list[
     return joined.select(key, F.explode(parts).alias("_p")).select(key, "_p.*")
 
 
+#: What a report's header states, and what of its evidence it must equal: name, stated, found.
+REPORT_EQUALITIES = [
+    ("source_capture_sha256", "manifest.source_capture_sha256", "run.capture_sha256"),
+    ("configuration_digest", "manifest.configuration_digest", "run.configuration_digest"),
+    ("analyzer_bundle_digest", "manifest.analyzer_bundle_digest", "run.analyzer_bundle_digest"),
+    ("policy_profile", "manifest.policy_profile", "run.policy_profile"),
+    ("policy_pack_version", "manifest.policy_pack_version", "run.policy_pack_version"),
+    ("trust_store_digest", "manifest.trust_store_digest", "run.trust_store_digest"),
+    ("assessment_state", "summary.assessment_state", "posture.assessment_state"),
+    ("risk_score", "summary.risk_score", "posture.risk_score"),
+    ("finding_count", "summary.finding_count", "counted.findings"),
+    ("unknown_count", "summary.unknown_count", "counted.unknown_checks"),
+    ("not_observable_count", "summary.not_observable_count", "counted.unseen_checks"),
+    ("truncated_packets_present", "limitations.truncated_packets_present", "preflight.truncated_packets_present"),
+    ("incomplete_flow_count", "limitations.incomplete_flow_count", "counted.incomplete_flows"),
+    ("conflicting_flow_count", "limitations.conflicting_flow_count", "counted.conflicting_flows"),
+    ("not_observable_certificate_count", "limitations.not_observable_certificate_count", "counted.unseen_certificates"),
+    ("unknown_check_count", "limitations.unknown_check_count", "counted.unknown_checks"),
+    ("not_observable_check_count", "limitations.not_observable_check_count", "counted.unseen_checks"),
+]
+
+
+def evidence_counts(
+    key: str, flows: DataFrame, handshakes: DataFrame, findings: DataFrame, checks: DataFrame
+) -> DataFrame:
+    """(key, counted): all that reports state about their records, in one aggregate over them."""
+    none = F.lit(None).cast("string")
+
+    def part(rows: DataFrame, kind: str, state: Column) -> DataFrame:
+        return rows.select(key, F.lit(kind).alias("_kind"), state.alias("_state"))
+
+    records = (
+        part(flows, "flow", F.col("reconstruction_quality"))
+        .unionAll(part(handshakes, "handshake", F.col("server_certificate_state")))
+        .unionAll(part(findings, "finding", none))
+        .unionAll(part(checks, "check", F.col("outcome")))
+    )
+
+    def number(kind: str, state: str | None = None) -> Column:
+        hit = F.col("_kind") == kind
+        return F.count_if(hit if state is None else hit & (F.col("_state") == state))
+
+    counted = F.struct(
+        number("finding").alias("findings"),
+        number("check", "unknown").alias("unknown_checks"),
+        number("check", "not_observable").alias("unseen_checks"),
+        number("flow", "incomplete").alias("incomplete_flows"),
+        number("flow", "conflicting").alias("conflicting_flows"),
+        number("handshake", "not_observable").alias("unseen_certificates"),
+    )
+    return records.groupBy(key).agg(counted.alias("counted"))
+
+
+def report_violations(reports: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """(key, field, stated, found) for each of the equalities that a report breaks.
+
+    ``reports`` has the structs manifest, run, summary, posture, limitations and preflight; null equals
+    null. A report without records counts none; records without a report belong to none.
+    """
+    joined = reports.join(counted, key, "left")
+
+    def found(path: str) -> Column:
+        return F.coalesce(F.col(path), F.lit(0)) if path.startswith("counted.") else F.col(path)
+
+    parts = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("field"),
+                F.col(stated).cast("string").alias("stated"),
+                found(path).cast("string").alias("found"),
+            )
+            for name, stated, path in REPORT_EQUALITIES
+        ]
+    )
+    broken = F.filter(parts, lambda p: ~p["stated"].eqNullSafe(p["found"]))
+    return joined.select(key, F.explode(broken).alias("_p")).select(key, "_p.*")
+
+
 def presence_violations(rows: DataFrame, pairs: dict[str, Column]) -> DataFrame:
     """Rows where a flag disagrees with the condition it must state: ``flag <=> condition``."""
     parts = F.filter(

@@ -410,6 +410,83 @@ def header_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.mismatches(stated, found, "capture_no", fields).select("capture_no", "field")
 
 
+CASES = 40
+_FIELDS = [name for name, _, _ in validate.REPORT_EQUALITIES]
+
+
+def _reports(counted: DataFrame) -> DataFrame:
+    """A report per case whose header follows its records, but for one field in the first 17 cases."""
+    case = F.col("case_no")
+
+    def damaged(name: str, value):
+        kind = "boolean" if name == "truncated_packets_present" else "number" if name.endswith(("count", "score")) else "text"
+        other = {"boolean": lambda: ~value, "number": lambda: value + 1, "text": lambda: F.concat(value, F.lit("-other"))}[kind]()
+        return F.when(case == _FIELDS.index(name), other).otherwise(value).alias(name)
+
+    def text(name: str):
+        return F.concat(F.lit(name + "-"), case.cast("string"))
+
+    run_names = ["configuration_digest", "analyzer_bundle_digest", "policy_profile", "policy_pack_version", "trust_store_digest"]
+    run = [F.sha2(case.cast("string"), 256).alias("capture_sha256"), *[text(n).alias(n) for n in run_names]]
+    state, risk, cut = text("state"), case * 7 % 101, case % 3 == 0
+    number = {
+        "finding_count": "findings", "unknown_count": "unknown_checks", "not_observable_count": "unseen_checks",
+        "incomplete_flow_count": "incomplete_flows", "conflicting_flow_count": "conflicting_flows",
+        "not_observable_certificate_count": "unseen_certificates", "unknown_check_count": "unknown_checks",
+        "not_observable_check_count": "unseen_checks",
+    }
+    stated = {n: F.col(f"counted.{c}") for n, c in number.items()}
+    stated |= {"source_capture_sha256": F.sha2(case.cast("string"), 256), **{n: text(n) for n in run_names}}
+    stated |= {"assessment_state": state, "risk_score": risk, "truncated_packets_present": cut}
+    parts = {"manifest": _FIELDS[:6], "summary": _FIELDS[6:11], "limitations": _FIELDS[11:]}
+    return counted.select(
+        "case_no",
+        F.struct(*run).alias("run"),
+        F.struct(state.alias("assessment_state"), risk.alias("risk_score")).alias("posture"),
+        F.struct(cut.alias("truncated_packets_present")).alias("preflight"),
+        *[F.struct(*[damaged(n, stated[n]) for n in names]).alias(part) for part, names in parts.items()],
+    )
+
+
+_COUNT_SQL = {
+    8: "findings", 9: "unknown_checks", 10: "unseen_checks", 12: "incomplete_flows", 13: "conflicting_flows",
+    14: "unseen_certificates", 15: "unknown_checks", 16: "unseen_checks",
+}
+_TEXT_SQL = "CASE case_no WHEN 0 THEN sha256('0') " + " ".join(
+    f"WHEN {i} THEN '{'state' if _FIELDS[i] == 'assessment_state' else _FIELDS[i]}-{i}'" for i in range(1, 7)
+) + " END"
+_NUMBER_SQL = "CASE case_no WHEN 7 THEN 49 " + " ".join(f"WHEN {i} THEN {c}" for i, c in _COUNT_SQL.items()) + " END"
+_RECORDS_SQL = f"""SELECT CAST(uid AS BIGINT) % {CASES} AS case_no, 'flow' AS k, quality AS s FROM y_flows
+  UNION ALL SELECT CAST(uid AS BIGINT) % {CASES}, 'handshake', server_certificate_state FROM y_handshakes
+  UNION ALL SELECT CAST(record_key AS BIGINT) % {CASES}, 'finding', NULL FROM x_findings
+  UNION ALL SELECT CAST(record_key AS BIGINT) % {CASES}, 'check', outcome FROM x_checks"""
+
+
+@query(
+    "v02_report_equalities",
+    f"""WITH c AS (SELECT case_no, count(*) FILTER (k = 'finding') AS findings, count(*) FILTER (k = 'check' AND s = 'unknown') AS unknown_checks,
+          count(*) FILTER (k = 'check' AND s = 'not_observable') AS unseen_checks, count(*) FILTER (k = 'flow' AND s = 'incomplete') AS incomplete_flows,
+          count(*) FILTER (k = 'flow' AND s = 'conflicting') AS conflicting_flows, count(*) FILTER (k = 'handshake' AND s = 'not_observable') AS unseen_certificates
+        FROM ({_RECORDS_SQL}) GROUP BY 1)
+        SELECT case_no, CASE case_no {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_FIELDS))} END AS field,
+          CASE WHEN case_no < 7 THEN {_TEXT_SQL} || '-other' WHEN case_no = 11 THEN 'true' ELSE CAST({_NUMBER_SQL} + 1 AS VARCHAR) END AS stated,
+          CASE WHEN case_no < 7 THEN {_TEXT_SQL} WHEN case_no = 11 THEN 'false' ELSE CAST({_NUMBER_SQL} AS VARCHAR) END AS found
+        FROM c WHERE case_no < {len(_FIELDS)}""",
+)
+def report_equalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def cased(rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumn("case_no", F.col(key).cast("bigint") % CASES)
+
+    counted = validate.evidence_counts(
+        "case_no",
+        cased(built_flows(spark, sf_dir), "uid"),
+        cased(built_handshakes(spark, sf_dir), "uid"),
+        cased(view(spark, sf_dir, "x_findings"), "record_key"),
+        cased(view(spark, sf_dir, "x_checks"), "record_key"),
+    )
+    return validate.report_violations(_reports(counted), counted, "case_no")
+
+
 @query(
     "v03_presence_rules",
     """SELECT uid, 'flagged' AS rule FROM (SELECT uid, CAST(uid AS BIGINT) % 5 <> 0 AS flagged, reason <> '' AS has FROM y_flows) WHERE flagged <> has""",

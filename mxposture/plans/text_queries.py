@@ -213,6 +213,30 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retain_last(rows.where("day_index < 20"), rows.where("day_index >= 20"))
 
 
+@query(
+    "s14_last_windows",
+    """SELECT endpoint_id, day_index, session_count FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY day_index DESC) AS n FROM x_daily) WHERE n <= 5""",
+)
+def last_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five windows of each endpoint after the later days are appended."""
+    from mxposture.sources.stores import retain_last
+
+    rows = view(spark, sf_dir, "x_daily").select("endpoint_id", "day_index", "session_count")
+    return retain_last(rows.where("day_index < 20"), rows.where("day_index >= 20"), limit=5, by=["endpoint_id"])
+
+
+@query(
+    "s14_last_of_a_hot_site",
+    """SELECT site_id, endpoint_id, day_index FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY day_index DESC, endpoint_id DESC) AS n FROM x_daily) WHERE n <= 50""",
+)
+def last_of_a_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sites share all windows: each holds a third of the rows."""
+    from mxposture.sources.stores import retain_last
+
+    rows = view(spark, sf_dir, "x_daily").select("site_id", "endpoint_id", "day_index")
+    return retain_last(rows, limit=50, by=["site_id"])
+
+
 _JOBS = """
 SELECT o_orderkey, o_custkey % 50 AS digest, CASE o_orderkey % 2 WHEN 0 THEN 'p' ELSE 'q' END AS profile,
   CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'host' END AS hostname, o_orderdate AS created_at, 'r' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS run_id,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SECTIONS = ["flows", "sessions", "handshakes", "certificates", "findings", "policy_checks"]
@@ -112,16 +112,22 @@ def check_capacity(rows: DataFrame, limit: int) -> None:
         raise ValueError(f"catalog exceeds {limit} entries")
 
 
-def retain_last(history: DataFrame, rows: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def retain_last(
+    history: DataFrame, rows: DataFrame | None = None, limit: int | None = None, by: list[str] | None = None
+) -> DataFrame:
     """The windows after appending ``rows``; the last ``limit`` by day and endpoint if given.
 
-    A sort with a limit is a distributed top-k: every partition keeps at most ``limit`` rows
-    before they meet.
+    ``by`` keeps the last ``limit`` of each of its groups instead. Both ways every task first cuts what it
+    holds to ``limit`` rows (a group), so a group of any size meets as a few rows per task.
     """
     both = history if rows is None else history.unionByName(rows, allowMissingColumns=True)
+    order = [F.col("day_index").desc(), F.col("endpoint_id").desc()]
     if limit is None:
         return both
-    return both.orderBy(F.col("day_index").desc(), F.col("endpoint_id").desc()).limit(limit)
+    if by is None:
+        return both.orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return both.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
 # --- jobs ----------------------------------------------------------------------------------------------
