@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mxposture.plans.adapters import VIEWS, table, view
 from mxposture.plans.registry import query
-from mxposture.streaming import online, protocols, reconstruction, run
+from mxposture.streaming import online, protocols, reconstruction, run, versions
 
 RATES = {
     "handshake_failure_rate": "error",
@@ -146,6 +146,31 @@ def daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily_rows(run.latest_rows(spark, path, ["endpoint_id", "day"]))
 
 
+@query(
+    "st09_case_summaries",
+    """SELECT concat('case-', CAST(CAST(record_key AS BIGINT) % 211 AS VARCHAR)) AS case_id, count(*) AS finding_count,
+       count(*) FILTER (severity = 'high') AS high_count, max(evaluated_at) AS last_evaluated FROM x_findings GROUP BY 1""",
+)
+def case_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case summaries of a growing stream of findings in a versioned table, in two runs, a batch repeated."""
+    path = run.work_dir(spark, "cases")
+    case = F.concat(F.lit("case-"), (F.col("record_key").cast("bigint") % 211).cast("string"))
+    rows = view(spark, sf_dir, "x_findings").select(case.alias("case_id"), "severity", "evaluated_at")
+    schema = "case_id string, finding_count bigint, high_count bigint, last_evaluated " + rows.schema["evaluated_at"].dataType.simpleString()
+    cases = versions.VersionedTable(spark, f"{path}/table", ["case_id"], schema, every=2)
+    for lot in (0, 1):
+        part = rows.where(F.pmod(F.xxhash64("case_id", "evaluated_at"), F.lit(2)) == lot)
+        part.repartition(4).write.mode("append").parquet(f"{path}/in")
+        found = run.files_stream(spark, f"{path}/in", rows.schema, files_per_batch=2)
+        summary = found.groupBy("case_id").agg(
+            F.count(F.lit(1)).alias("finding_count"),
+            F.count_if(F.col("severity") == "high").alias("high_count"),
+            F.max("evaluated_at").alias("last_evaluated"),
+        )
+        versions.run_into(summary, cases, f"{path}/checkpoint")
+    return cases.read()
+
+
 VIEWS["x_packets_keyed"] = """
 SELECT CAST(l_orderkey AS STRING) AS uid, l_suppkey % 2 = 0 AS is_orig,
        CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS ord,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # One schema per log; identifiers come flat or nested.
@@ -55,18 +55,35 @@ def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One analyzer log as a table; blank lines, broken lines and non-objects are left out.
 
     A field of the wrong type is null, the rest of its line is kept. The rows keep their source
-    file, so logs of many captures are read in one job, and ``source_ord``: the start of the file
-    split plus the row number in its task. A task never reads more rows than bytes, so the number
-    grows with the place in the file.
+    file, so logs of many captures are read in one job, and ``source_ord``, their place in it.
     """
+    required = _REQUIRED.get(name, "uid")
     rows = spark.read.schema(LOG_SCHEMAS[name]).json(path)
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.select(
+    return numbered_in_file(rows, required).where(F.col(required).isNotNull())
+
+
+def numbered_in_file(rows: DataFrame, required: str) -> DataFrame:
+    """``source_file`` and ``source_ord``: 0, 1, 2, ... in the order of the file's lines.
+
+    The number depends on the file alone, not on how it is split or which files share a task. A split
+    numbers its lines by the order it reads them; one small row per split says how many lines lie in the
+    splits before it. ``required`` is a column of the file that both readings parse, so that both see the
+    same lines.
+    """
+    block = ["source_file", "_block"]
+    placed = rows.select(
         "*",
         F.col("_metadata.file_path").alias("source_file"),
-        (F.col("_metadata.file_block_start") + in_task).alias("source_ord"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_read"),
+    )
+    blocks = placed.groupBy(*block).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_read").alias("_first"), F.max(F.col(required).isNotNull()).alias("_any")
     )
-    return rows.where(F.col(_REQUIRED.get(name, "uid")).isNotNull())
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_any")
+    number = (F.col("_before") + F.col("_read") - F.col("_first")).cast("bigint")
+    return placed.join(starts, block).withColumn("source_ord", number).drop("_block", "_read", "_first", "_before", "_any")
 
 
 def read_log_dir(spark: SparkSession, directory: str) -> dict[str, DataFrame]:

@@ -59,6 +59,34 @@ def test_log_lines(spark, tmp_path):
     assert [r.ts for r in order.orderBy("source_ord").collect()] == [1.0, 2.0, 3.0, 4.0]
 
 
+@pytest.mark.parametrize("split", [None, 97, 1000])
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path, split):
+    want = {}
+    for f in range(5):
+        text, place = [], 0
+        for i in range([0, 1, 40, 90, 7][f]):
+            uid = f"{f}-{i}"
+            if i % 7 == 3:
+                text.append("")  # a blank line is no record
+            text.append("broken" if i % 11 == 5 else '{"uid": "%s", "name": "%s"}' % (uid, "n" * (i % 13)))
+            if i % 11 != 5:
+                want[uid] = place
+            place += 1
+        (tmp_path / f"c{f}").mkdir()
+        (tmp_path / f"c{f}" / "weird.log").write_text("\n".join(text))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        rows = logs.read_log(spark, f"{tmp_path}/*/weird.log", "weird")
+        got = {r.uid: r.source_ord for r in rows.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
 def test_analyze_many_captures(spark, tmp_path):
     for name in ("cap1", "cap2"):
         capture(tmp_path / name)
