@@ -18,6 +18,7 @@ from mxposture.constants import (
     SEVERITY_RANK,
 )
 from mxposture.functions.states import lookup, state_from_rank, state_rank
+from mxposture.operators.scale import numbered
 
 CLUSTER_KEYS = ["code", "affected_endpoint", "policy_profile", "policy_pack_version"]
 REFERENCE_FIELDS = ["record_type", "record_key", "field_path", "evidence_state", "frame_number"]
@@ -161,14 +162,9 @@ def cluster_members(findings: DataFrame, clusters: DataFrame) -> DataFrame:
 def merged_references(references: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Distinct references per cluster with their place in sorted order; the first ``limit`` if given."""
     distinct = references.select(*keys, *REFERENCE_FIELDS).distinct()
-    order = Window.partitionBy(*keys).orderBy(
-        "record_type",
-        "record_key",
-        "field_path",
-        "evidence_state",
-        F.coalesce(F.col("frame_number"), F.lit(0)),
-    )
-    placed = distinct.withColumn("position", F.row_number().over(order))
+    distinct = distinct.withColumn("_frame", F.coalesce(F.col("frame_number"), F.lit(0)))
+    order = ["record_type", "record_key", "field_path", "evidence_state", "_frame"]
+    placed = numbered(distinct, keys, order, "position").drop("_frame")
     return placed if limit is None else placed.where(F.col("position") <= limit)
 
 

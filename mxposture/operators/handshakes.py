@@ -9,6 +9,7 @@ from mxposture.constants import HANDSHAKE_TYPE_KINDS
 from mxposture.functions import tls
 from mxposture.functions.coerce import int_list
 from mxposture.functions.states import lookup
+from mxposture.operators.scale import numbered
 from mxposture.sources.lookups import CIPHER_SUITES, GROUPS
 
 
@@ -146,11 +147,8 @@ def attach_frames(messages: DataFrame, frames: DataFrame, tie: list[str] | None
     tie = tie or []
     order = ["frame_number", *tie, "slot"]
     rows = frame_message_rows(frames, tie)
-    by_kind = Window.partitionBy("uid", "kind").orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(by_kind))
-    real = messages.where(F.col("kind") != "direction_flip")
-    by_message = Window.partitionBy("uid", "kind").orderBy("position")
-    real = real.withColumn("_n", F.row_number().over(by_message))
+    rows = numbered(rows, ["uid", "kind"], order, "_n")
+    real = numbered(messages.where(F.col("kind") != "direction_flip"), ["uid", "kind"], ["position"], "_n")
     retries = (
         real.where(F.col("kind") == "hello_retry_request")
         .groupBy("uid")
@@ -159,9 +157,7 @@ def attach_frames(messages: DataFrame, frames: DataFrame, tie: list[str] | None
     rows = rows.join(retries, "uid", "left").withColumn("_retries", F.coalesce("_retries", F.lit(0)))
     overflow = (F.col("kind") == "hello_retry_request") & (F.col("_n") > F.col("_retries"))
     queue = F.when(overflow, "server_hello").otherwise(F.col("kind"))
-    rows = rows.withColumn("_queue", queue)
-    by_queue = Window.partitionBy("uid", "_queue").orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(by_queue))
+    rows = numbered(rows.withColumn("_queue", queue).drop("_n"), ["uid", "_queue"], order, "_n")
     taken = rows.select(
         "uid",
         F.col("_queue").alias("kind"),

@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mxposture.session import checkpoint_dir, checkpointed
+from mxposture.session import checkpoint_dir, checkpointed, settled
 
 CHUNK_ROWS = 100_000
 
@@ -213,3 +213,32 @@ def global_position(df: DataFrame, order: list, name: str = "position") -> DataF
         .withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint"))
         .drop("_piece", "_in", "_base")
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, most: int = CHUNK_ROWS) -> DataFrame:
+    """``row_number`` of each key in ``order``, no key of any size in one task.
+
+    Keys of up to ``most`` rows are numbered by a plain window. The rows of larger ones are dealt by range of
+    (key, order) into sorted pieces; a piece numbers its own rows of a key and adds how many the pieces before
+    hold, which is one small row per piece and key. Nulls in ``order`` come first, rows of equal order stay
+    together.
+    """
+    by_key = Window.partitionBy(*keys).orderBy(*order)
+    large = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
+    # At most the rows over ``most`` keys are that large.
+    if large.isEmpty():
+        return df.withColumn(name, F.row_number().over(by_key))
+    mark = large.withColumn("_large", F.lit(True))
+    matched = [df[k].eqNullSafe(mark[k]) for k in keys]
+    marked = df.join(mark, matched, "left").select(*[df[c] for c in df.columns], "_large")
+    plain = marked.where("_large IS NULL").drop("_large").withColumn(name, F.row_number().over(by_key))
+    pieces = settled(
+        marked.where("_large").drop("_large").repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
+    )
+    sizes = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_piece", *keys).orderBy(*order))
+    same = [F.col("_piece") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    split = pieces.withColumn("_in", inside).join(bases, same).withColumn(name, (F.col("_base") + F.col("_in")).cast("int"))
+    return plain.unionByName(split.select(*plain.columns))

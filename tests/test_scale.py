@@ -1,8 +1,8 @@
 """Skew-safe helpers against plain computations, with one key holding most rows."""
 
 import random
-import statistics
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,3 +85,14 @@ def test_cumulative_share(spark):
     out = scale.cumulative_share(df, ["k"], "x", F.floor(F.col("x")), "p")
     a = {(r.k, r.x): round(r.p, 9) for r in plain.collect()}
     assert {(r.k, r.x): round(r.p, 9) for r in out.collect()} == a
+
+
+@pytest.mark.parametrize("most", [5, 60, 10**6])
+def test_numbers_inside_a_key_of_any_size(spark, most):
+    rng = random.Random(8)
+    rows = [("hot", None if k == 3 else k % 700, k) for k in range(1000)] + [(rng.choice(["a", "b", None]), rng.randrange(50), 5000 + k) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, x int, y int").repartition(6)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("x", "y")))
+    got = scale.numbered(df, ["k"], ["x", "y"], "n", most=most)
+    assert sorted(map(str, got.select("k", "x", "y", "n").collect())) == sorted(map(str, plain.collect()))
+    assert scale.numbered(df.limit(0), ["k"], ["x"], "n").count() == 0
