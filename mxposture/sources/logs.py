@@ -51,7 +51,7 @@ FRAME_FIELDS = [
 _REQUIRED = {"capture_loss": "gaps", "cert_files": "fuid"}
 
 
-def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
     """One analyzer log as a table; blank lines, broken lines and non-objects are left out.
 
     A field of the wrong type is null, the rest of its line is kept. The rows keep their source

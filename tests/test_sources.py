@@ -10,7 +10,7 @@ from mxposture.plans import jobs
 from mxposture.plans.cohort import cohort_labels, cohort_windows
 from mxposture.sources import files, logs, lookups, stores
 from mxposture.sources.rulepacks import built_in_pack
-from mxposture.streaming import online, reconstruction, run
+from mxposture.streaming import online, pickup, run
 
 
 def lines(path, rows):
@@ -113,6 +113,38 @@ def test_analyze_many_captures(spark, tmp_path):
     assert {r.event_count for r in events} == {4}
 
 
+def test_captures_are_picked_up_when_they_are_finished(spark, tmp_path):
+    source, pack = tmp_path / "captures", built_in_pack("ietf_current")
+    at = F.lit("2026-09-04 12:00:00").cast("timestamp")
+    analysed = []
+
+    def analysis(found):
+        analysed.append(1)
+        out = jobs.analyze_logs(found, pack, at)
+        return {name: out[name] for name in ("flows", "findings", "sessions")}
+
+    work = pickup.Pickup(spark, str(source), str(tmp_path / "out"), analysis)
+    capture(source / "cap1")
+    capture(source / "cap2")
+    (source / "cap1" / "ready").write_text("1")
+    assert work.run_all() == ["cap1"] and work.run_all() == []  # cap2 is still being written
+    capture(source / "cap3")
+    for name in ("cap2", "cap3"):
+        (source / name / "ready").write_text("1")
+    assert work.run_all() == ["cap2", "cap3"]
+    lines(source / "cap1" / "email_events.log", [])  # cap1 comes again, without its events
+    assert work.run_all() == ["cap1"] and len(analysed) == 3
+
+    whole = jobs.analyze_logs(logs.read_log_dir(spark, str(source)), pack, at)
+    for name in ("flows", "findings", "sessions"):
+        want = whole[name]
+        got = work.read(name).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    # A run that broke off before it was noted is not seen and is replaced by the next.
+    work.read("flows").limit(1).write.parquet(str(tmp_path / "out" / "flows" / "run=3"))
+    assert work.read("flows").count() == whole["flows"].count()
+
+
 def test_frames(spark, tmp_path):
     head = ",".join(f'"{c}"' for c in logs.FRAME_FIELDS[:10])
     (tmp_path / "frames.csv").write_text(
