@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mxposture.llm.common import byte_offsets, empty_text, shared_folder, slices
@@ -192,15 +192,26 @@ def unit_table(rows: DataFrame, width: int) -> DataFrame:
     return rows.select(*ID, "text").mapInArrow(scan, schema)
 
 
-def written(df: DataFrame, stem: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = shared_folder(spark, stem)
-    df.write.parquet(path)
-    # The shuffles behind a written table are of no more use; Spark removes the files of those that the
-    # driver's JVM has found unreachable, which it may otherwise do only much later.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Parquet tables of one run in the shared folder, each removed when it has served."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = shared_folder(self.spark, name)
+        df.write.parquet(path)
+        # The shuffles behind a written table are of no more use; Spark removes the files of those that
+        # the driver's JVM has found unreachable, which it may otherwise do only much later.
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        """Nothing may read these tables any more: what came from them is written itself."""
+        context = self.spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def among(rows: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
@@ -289,16 +300,18 @@ def hashed_units(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, keep: list[str], width: int = WIDTH, text: str = "text") -> DataFrame:
-    """Identity and word spans (``start``, ``end``) covered by windows that start twice or more."""
+    """Identity and word spans (``start``, ``end``) of windows that start twice or more, each span once."""
     return _repeated_spans(identified(docs, keep, text), width)
 
 
 def _repeated_spans(rows: DataFrame, width: int) -> DataFrame:
-    found = written(unit_table(rows, width), "units")
+    scratch = Scratch(rows.sparkSession)
+    found = scratch.write(unit_table(rows, width), "units")
     often = found.groupBy("key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-    often = written(often.where("times > 1").select("key", "rows"), "keys")
+    often = scratch.write(often.where("times > 1").select("key", "rows"), "keys")
     shared = among(found, often, ["key"])
-    chosen = written(hashed_units(rows, shared, width), "hashed-units")
+    chosen = scratch.write(hashed_units(rows, shared, width), "hashed-units")
+    scratch.remove("units", "keys")
 
     kinds = chosen.groupBy("key", "whole").agg(
         F.sum("times").alias("times"),
@@ -307,23 +320,25 @@ def _repeated_spans(rows: DataFrame, width: int) -> DataFrame:
         # Of use only for a unit that occurs once.
         *[F.min(c).alias(c) for c in (*ID, "first")],
     )
-    kinds = written(kinds, "kinds")
+    kinds = scratch.write(kinds, "kinds")
     whole = among(chosen, kinds.where("times > 1").select("key", "whole", "rows"), ["key", "whole"])
     spans_whole = whole.select(*ID, F.col("first").alias("start"), (F.col("first") + F.col("windows") + width - 1).alias("end"))
 
     each = kinds.select("key", "times", *ID, "first", F.posexplode("hashes").alias("at", "window"))
     again = each.groupBy("key", "window").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    again = written(again, "windows")
+    again = scratch.write(again, "windows")
     single = among(each.where("times = 1"), again, ["key", "window"])
     spans_single = single.select(*ID, (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + width).alias("end"))
-    return spans_whole.unionByName(spans_single)
+    spans_all = scratch.write(spans_whole.unionByName(spans_single).distinct(), "spans")
+    scratch.remove("hashed-units", "kinds", "windows")
+    return spans_all
 
 
 def without_repeats(docs: DataFrame, keep: list[str], width: int = WIDTH, text: str = "text") -> DataFrame:
     """``keep``, ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space)."""
     rows = identified(docs, keep, text)
     covered = _repeated_spans(rows, width)
-    lists = covered.distinct().groupBy(*ID).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    lists = covered.groupBy(*ID).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     both = _packed(rows, ["row", *ID]).join(lists, ID, "left").select("row", "packed", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
