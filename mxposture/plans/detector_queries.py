@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mxposture.constants import RATE_FEATURES
+from mxposture.constants import (
+    ADVISORY_CODE,
+    ADVISORY_DEFAULT,
+    EVIDENCE_FIELD,
+    FOREST_MIN_TRAIN,
+    RATE_FEATURES,
+    Z_THRESHOLD,
+)
+from mxposture.constants import MIN_HISTORY as DEFAULT_HISTORY
 from mxposture.operators import detect, evaluate
 from mxposture.operators import windows as ops
 from mxposture.operators.history import with_past
@@ -527,18 +535,63 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("f37_reason_text")
+def _four_digits(value: str) -> str:
+    # Rounded half up from the shortest decimal form, as the report's formatter does.
+    return f"CAST(CAST(round(CAST(CAST(CAST({value} AS DOUBLE) AS VARCHAR) AS DECIMAL(30, 18)), 4) AS DECIMAL(18, 4)) AS VARCHAR)"
+
+
+_REASON_PARTS = ", ".join(
+    [
+        f"""{{'feature': '{n}', 'score': greatest(abs(z_{n}), drift_{n}), 'evidence': '{EVIDENCE_FIELD.get(n, 'session.uid')}',
+            'text': '{n}=' || {_four_digits(n)} || ', usually ' || {_four_digits('med_' + n)}}}"""
+        for n in FEATURES
+    ]
+    + [
+        f"""{{'feature': '{n}', 'score': rarity_{n}, 'evidence': '{EVIDENCE_FIELD[n]}', 'text': '{n}=' || {n} || ', peer_count=' || count_{n}}}"""
+        for n in ("issuer_id", "dominant_tls_version")
+    ]
+)
+VIEWS["y_reasons"] = f"""
+WITH p AS (SELECT endpoint_id, day_index, unnest([{_REASON_PARTS}], recursive := true) FROM y_baseline WHERE skip IS NULL AND NOT in_maintenance),
+ t AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id, day_index ORDER BY score DESC, feature) AS n FROM p QUALIFY n <= 3),
+ e AS (SELECT endpoint_id, day_index, string_agg(evidence, ', ' ORDER BY n) AS evidence FROM (
+   SELECT endpoint_id, day_index, evidence, min(n) AS n FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ r AS (SELECT endpoint_id, day_index, string_agg(text, '; ' ORDER BY n) AS body, min_by(feature, n) AS top_feature FROM t GROUP BY 1, 2)
+SELECT b.endpoint_id, b.day_index, b.score, b.skip, b.in_maintenance, top_feature,
+  CASE WHEN b.in_maintenance THEN '{detect._MAINTENANCE}' WHEN b.skip IS NOT NULL THEN b.skip || ' [evidence: session.uid]'
+       ELSE body || ' [evidence: ' || evidence || ']' END AS reason
+FROM y_baseline b LEFT JOIN r USING (endpoint_id, day_index) LEFT JOIN e USING (endpoint_id, day_index)
+"""
+_DIGEST = detect.Baseline(FEATURES, MIN_SUPPORT, MIN_HISTORY).digest
+_ADVISORIES = f"""SELECT sha256(endpoint_id || '|' || day_index || '|baseline|{_DIGEST}|' || reason) AS anomaly_id,
+    CASE top_feature {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ADVISORY_CODE.items())} ELSE '{ADVISORY_DEFAULT}' END AS code,
+    endpoint_id, 'baseline' AS detector, day_index, reason, score
+  FROM y_reasons WHERE skip IS NULL AND NOT in_maintenance AND score >= {Z_THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY endpoint_id ORDER BY score DESC, day_index) = 1"""
+
+
+@query("f37_reason_text", "SELECT endpoint_id, day_index, reason FROM y_reasons")
 def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline_scores(spark, sf_dir).select("endpoint_id", "day_index", "reason")
 
 
-@query("f38_advisories")
+@query("f38_advisories", f"SELECT anomaly_id, code, endpoint_id, detector, day_index, reason FROM ({_ADVISORIES})")
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.anomalies(baseline_scores(spark, sf_dir))
     return found.select("anomaly_id", "code", "endpoint_id", "detector", "day_index", "reason")
 
 
-@query("f39_advisory_section")
+_SECTION = f"""WITH n AS (SELECT count(*) AS n FROM x_daily), a AS ({_ADVISORIES}),
+  i AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, endpoint_id, day_index) AS INTEGER) AS position, code, reason FROM a)
+SELECT 0 AS position, 'ADVISORY_INSUFFICIENT_HISTORY' AS code, 'History holds ' || n || ' endpoint windows; the baseline needs {DEFAULT_HISTORY} and the forest {FOREST_MIN_TRAIN}.' AS reason
+  FROM n WHERE n < {DEFAULT_HISTORY}
+UNION ALL SELECT 0, 'ADVISORY_INSUFFICIENT_HISTORY', 'The forest needs {FOREST_MIN_TRAIN} training windows; ' || n || ' are stored. The baseline ran.'
+  FROM n WHERE n >= {DEFAULT_HISTORY} AND n < {FOREST_MIN_TRAIN}
+UNION ALL SELECT 0, 'ADVISORY_NONE', 'Scoring ran; no endpoint window met the review threshold.' FROM n WHERE n >= {FOREST_MIN_TRAIN} AND NOT EXISTS (SELECT 1 FROM i)
+UNION ALL SELECT i.* FROM i, n WHERE n >= {DEFAULT_HISTORY}"""
+
+
+@query("f39_advisory_section", _SECTION)
 def advisory_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.anomalies(baseline_scores(spark, sf_dir))
     return detect.advisory_items(found, daily(spark, sf_dir).count())
