@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mxposture.llm import decontam, neardup, packing, quality, secrets
-from mxposture.llm.common import documents, shared_folder
+from mxposture.llm.common import documents, released, shared_folder
 from mxposture.llm.queries import BYTE_BPE
 
 #: Trained models, a component search and an integer program: not to be said in SQL.
@@ -30,14 +30,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)  # of the stage before
     return neardup.one_of_each(docs, width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)  # of the stage before
     return decontam.clean(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)  # of the stage before
     clean = secrets.redacted(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -46,6 +49,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)  # of the stage before
     return packing.pack(docs, BYTE_BPE, end_id=0, size=2048)
 
 

@@ -105,6 +105,15 @@ def shared_folder(spark: SparkSession, stem: str) -> str:
     return f"{folder.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of what finished work left behind: call when its result is written.
+
+    Spark removes the files of shuffles and the compiled code of plans that the driver's JVM has found
+    unreachable, which it may otherwise do only much later.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of the spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mxposture.llm.common import byte_offsets, empty_text, prefixed, settled, slices
+from mxposture.llm.common import byte_offsets, empty_text, prefixed, released, settled, slices
 from mxposture.llm.components import components
 from mxposture.llm.words import LOWER, SPACE, mixed, shingles, span_hashes, spans
 
@@ -415,6 +415,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     labels = components(stars)
     again = agreeing(star_pairs(posts, labels, 2))
     labels = components(labels.unionAll(again))
+    released(docs.sparkSession)
     between = settled(crossing_links(posts, labels, nodes).coalesce(few))
     heads = labels.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct()
     members = labels.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionAll(heads)
@@ -422,6 +423,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     sets = sets_of(docs, nodes, members.select("node").unionAll(ends).distinct(), width, key, text)
     inside = links_in_clusters(members, stars.unionAll(again), nodes, sets, percent)
     links = settled(inside.unionAll(confirmed(between, nodes, sets, percent)).coalesce(few))
+    released(docs.sparkSession)
     found = components(links)
     named = with_component(nodes.select("node", "first_id", *SET), found, "node", "component")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mxposture.llm.common import byte_offsets, empty_text, shared_folder, slices
+from mxposture.llm.common import byte_offsets, empty_text, released, shared_folder, slices
 from mxposture.llm.words import SPACE, mixed, prefix_sums, span_hashes, spans, spans_of
 
 WIDTH = 35
@@ -201,9 +201,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = shared_folder(self.spark, name)
         df.write.parquet(path)
-        # The shuffles behind a written table are of no more use; Spark removes the files of those that
-        # the driver's JVM has found unreachable, which it may otherwise do only much later.
-        self.spark.sparkContext._jvm.System.gc()
+        released(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, *names: str) -> None:
