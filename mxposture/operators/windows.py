@@ -17,7 +17,6 @@ from mxposture.constants import (
     MIN_HISTORY,
     MIN_SUPPORT,
     RARITY_FEATURES,
-    ROBUST_FEATURES,
     Z_CAP,
 )
 from mxposture.functions.states import lookup
