@@ -171,6 +171,32 @@ def case_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.read()
 
 
+@query(
+    "s01_log_scan",
+    """SELECT 'u' || o_orderkey AS uid, CASE WHEN o_orderkey % 4 = 0 THEN -1.0 ELSE o_custkey / 2 END AS ts, o_orderkey % 20 AS capture, n AS source_ord FROM (
+       SELECT *, row_number() OVER (PARTITION BY o_orderkey % 20 ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE o_orderkey % 11 <> 0""",
+)
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as analyzer log lines, a file per capture, some broken or with a field of another type."""
+    from mxposture.sources.logs import read_log
+
+    path = run.work_dir(spark, "logs")
+    key = F.col("o_orderkey")
+    time = F.when(key % 4 == 0, F.lit('"late"')).otherwise((F.col("o_custkey") / 2).cast("string"))
+    line = F.concat(F.lit('{"uid": "u'), key.cast("string"), F.lit('", "ts": '), time, F.lit("}"))
+    rows = table(spark, sf_dir, "orders").select(
+        key, (key % 20).alias("capture"), F.when(key % 11 == 0, F.lit("{broken")).otherwise(line).alias("value")
+    )
+    # A blank line follows every seventh; it is no record.
+    rows = rows.withColumn("value", F.when(key % 7 == 0, F.concat("value", F.lit("\n"))).otherwise(F.col("value")))
+    rows.repartition("capture").sortWithinPartitions("capture", "o_orderkey").select("value", "capture").write.partitionBy(
+        "capture"
+    ).text(path)
+    found = read_log(spark, f"{path}/*/*.txt", "weird")
+    capture = F.regexp_extract("source_file", r"capture=(\d+)", 1).cast("bigint")
+    return found.select("uid", F.coalesce("ts", F.lit(-1.0)).alias("ts"), capture.alias("capture"), "source_ord")
+
+
 VIEWS["x_packets_keyed"] = """
 SELECT CAST(l_orderkey AS STRING) AS uid, l_suppkey % 2 = 0 AS is_orig,
        CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS ord,
