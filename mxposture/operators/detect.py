@@ -33,7 +33,7 @@ from mxposture.functions.states import lookup
 from mxposture.functions.text import joined_digest
 from mxposture.operators import windows as W
 from mxposture.operators.history import with_past
-from mxposture.operators.scale import cumulative_share, exact_quantiles, global_position
+from mxposture.operators.scale import cumulative_share, exact_quantiles, global_position, join_few
 from mxposture.session import checkpointed, settled
 
 VERSION_BUCKETS = ["TLSv10", "TLSv12", "TLSv13", "other"]
@@ -338,8 +338,8 @@ class Forest:
         """Median and deviation of every feature for every fit, as two arrays per fit."""
         long = training.select("fit_day", F.posexplode("vector").alias("f", "value"))
         key = ["fit_day", "f"]
-        med = exact_quantiles(long, key, "value", {"med": 0.5})
-        away = long.join(med, key).withColumn("away", F.abs(F.col("value") - F.col("med")))
+        med = settled(exact_quantiles(long, key, "value", {"med": 0.5}))
+        away = join_few(long, med, key).withColumn("away", F.abs(F.col("value") - F.col("med")))
         mad = exact_quantiles(away, key, "away", {"mad": 0.5})
         both = med.join(mad, key)
         packed = F.array_sort(F.collect_list(F.struct("f", "med", "mad")))
@@ -354,7 +354,7 @@ class Forest:
         value = F.transform(
             F.arrays_zip("vector", "med", "mad"), lambda x: (x["vector"] - x["med"]) / x["mad"]
         )
-        return rows.join(scales, "fit_day").withColumn("scaled", value).drop("med", "mad")
+        return join_few(rows, scales, ["fit_day"]).withColumn("scaled", value).drop("med", "mad")
 
     def _grow_trees(self, scaled: DataFrame, sizes: dict[int, int]) -> DataFrame:
         """At most ``sample`` rows per tree by hash order.

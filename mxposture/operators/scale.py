@@ -126,6 +126,17 @@ def cumulative_share(
 
 
 EDGES = 1024
+FEW_ROWS = 100_000
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a side that has about one row per key; the many rows are never the side sent around.
+
+    Spark reckons sizes from the files that were read, and rows that were exploded or decoded since count for
+    little there: left to it, ``rows`` may be gathered by the driver. ``few``, which must be settled, is counted
+    and goes to every task if it really is small; otherwise both sides are shuffled.
+    """
+    return rows.join(few.hint("broadcast" if few.count() <= FEW_ROWS else "merge"), keys)
 
 
 def bucketed(df: DataFrame, value: str, name: str, edges: int = EDGES) -> DataFrame:
@@ -171,9 +182,9 @@ def exact_quantiles(
         rank = (F.col("_total") - 1) * F.lit(float(q))
         hit = (F.col("_to") > F.floor(rank)) & (F.col("_from") <= F.ceil(rank))
         wanted = hit if wanted is None else (wanted | hit)
-    targets = placed.where(wanted).drop("_to")
+    targets = settled(placed.where(wanted).drop("_to"))
     values = (
-        rows.join(targets, [*group, "_bk"])
+        join_few(rows, targets, [*group, "_bk"])
         .groupBy(*group, "_bk", "_from", "_total", value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )

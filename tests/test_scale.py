@@ -96,3 +96,23 @@ def test_numbers_inside_a_key_of_any_size(spark, most):
     got = scale.numbered(df, ["k"], ["x", "y"], "n", most=most)
     assert sorted(map(str, got.select("k", "x", "y", "n").collect())) == sorted(map(str, plain.collect()))
     assert scale.numbered(df.limit(0), ["k"], ["x"], "n").count() == 0
+
+
+def test_exact_quantiles_leave_the_rows_in_place(spark):
+    # Exploded rows look small to the planner; they must not be the side that is broadcast.
+    rows = spark.range(300).select((F.col("id") % 3).alias("k"), F.explode(F.expr("transform(sequence(1, 400), x -> double(x))")).alias("x"))
+    out = scale.exact_quantiles(rows, ["k"], "x", {"med": 0.5})
+    assert [r["med"] for r in out.collect()] == [200.5] * 3
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_few_by_real_size(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    few = scale.settled(spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice")))
+    plans = []
+    for most in (10, 9):
+        monkeypatch.setattr(scale, "FEW_ROWS", most)
+        out = scale.join_few(rows, few, ["k"])
+        assert out.where("twice = 2 * k").count() == 1000
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
