@@ -16,13 +16,18 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-STATE = "folded_ts bigint, folded_ord bigint, seen bigint, held binary"
+STATE = "kept binary"
+#: Keys share a state row in so many buckets; a bucket's state is read and written whole when one of its keys is touched.
+BUCKETS = 4096
 LATE = "late_row"
 NEVER = -(1 << 62)
 
@@ -64,16 +69,9 @@ class Walk:
         self.fold, self.keys, self.columns = fold, keys, columns
         self.delay, self.lifetime, self.idle = delay, lifetime, idle
 
-    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        arrived = [(ts, place, row) for f in frames for ts, place, row in zip(f["_ms"], f["ord"], f["_row"], strict=True)]
-        if any(part is None or part != part for part in key):
-            return  # rows without a key only move the watermark
-        folded, seen, state, held, live = None, 0, self.fold.blank(), [], False
-        if group.exists:
-            ts, place, seen, blob = group.get
-            folded = None if ts is None else (ts, place)
-            state, held, live = pickle.loads(blob)
-        results: list[tuple] = []
+    def advance(self, key: tuple, arrived: list, kept: tuple | None, watermark: int, results: list) -> tuple | None:
+        """What is kept of ``key`` from now on, with the time to wake it up; None once all of it goes."""
+        folded, seen, state, held, live = (None, 0, self.fold.blank(), [], False) if kept is None else kept
         blanks = (None,) * (len(self.columns) - self.keys - 1)
         for ts, place, row in arrived:
             if folded is not None and (ts, place) <= folded:
@@ -82,7 +80,6 @@ class Walk:
                 held.append((int(ts), int(place), row))
                 seen = max(seen, int(ts))
         # Spark's watermark lies ``lifetime`` behind the latest time seen, rows are due ``delay`` behind.
-        watermark = group.getCurrentWatermarkMs()
         due = watermark + self.lifetime - self.delay if watermark > 0 else NEVER
         held.sort(key=lambda r: r[:2])
         at = 0
@@ -102,12 +99,50 @@ class Walk:
         if live and not held and due >= seen + self.idle:
             results += [(*key, *out, None) for out in self.fold.finish(state)]
             state, live = self.fold.blank(), False
-        if held or live or watermark < seen:
-            ts, place = folded if folded is not None else (None, None)
-            group.update((ts, place, seen, pickle.dumps((state, held, live))))
-            wake = held[0][0] if held else seen + self.idle
-            at = wake - self.lifetime + self.delay if held or live else seen
-            group.setTimeoutTimestamp(max(at, watermark + 1))
+        if not (held or live or watermark < seen):
+            return None
+        wake = held[0][0] if held else seen + self.idle
+        at = wake - self.lifetime + self.delay if held or live else seen
+        return (folded, seen, state, held, live), max(at, watermark + 1)
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        arrived = [(ts, place, row) for f in frames for ts, place, row in zip(f["_ms"], f["ord"], f["_row"], strict=True)]
+        if any(part is None or part != part for part in key):
+            return  # rows without a key only move the watermark
+        results: list[tuple] = []
+        kept = pickle.loads(group.get[0]) if group.exists else None
+        following = self.advance(key, arrived, kept, group.getCurrentWatermarkMs(), results)
+        if following:
+            kept, at = following
+            group.update((pickle.dumps(kept),))
+            group.setTimeoutTimestamp(at)
+        elif group.exists:
+            group.remove()
+        if results:
+            yield pd.DataFrame(results, columns=self.columns, dtype=object)
+
+
+class Buckets(Walk):
+    """The same for all keys of a bucket at once: a call and a state row for each of millions of keys costs far
+    more than the folds. The state is what is kept of every key, by key, with the time it is to be woken up."""
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = group.getCurrentWatermarkMs()
+        keys: dict[str, tuple] = pickle.loads(group.get[0]) if group.exists else {}
+        arrived: dict[str, list] = {name: [] for name, (_, at) in keys.items() if at <= watermark}
+        for f in frames:
+            for name, *row in zip(f["_key"], f["_ms"], f["ord"], f["_row"], strict=True):
+                if name is not None:  # rows without a key only move the watermark
+                    arrived.setdefault(name, []).append(row)
+        results: list[tuple] = []
+        for name, rows in arrived.items():
+            kept = keys.pop(name)[0] if name in keys else None
+            following = self.advance((name,), rows, kept, watermark, results)
+            if following:
+                keys[name] = following
+        if keys:
+            group.update((pickle.dumps(keys),))
+            group.setTimeoutTimestamp(max(min(at for _, at in keys.values()), watermark + 1))
         elif group.exists:
             group.remove()
         if results:
@@ -122,29 +157,34 @@ def in_order(
     lifetime: str = "2 days",
     idle: str = "1 hour",
     ticks: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``keys``, the fold's results and ``late_row``, as an append stream.
 
     ``events`` needs ``ts`` (event time), ``ord`` (bigint; decides between equal times) and the fold's
     fields. ``ticks`` is another stream with ``ts`` only: its rows move the watermark and nothing else.
     """
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
     rows = events.select(
-        *keys,
+        F.when(known, F.to_json(F.struct(*keys))).alias("_key"),
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"),
         F.col("ts").cast("timestamp").alias("ts"),
         "ord",
         F.to_json(F.struct("ord", *fold.FIELDS)).alias("_row"),
     )
     if ticks is not None:
-        rows = rows.unionByName(ticks.select(F.col("ts").cast("timestamp").alias("ts")), allowMissingColumns=True)
+        tick = ticks.select(F.col("ts").cast("timestamp").alias("ts"), *[F.lit(0).cast("bigint").alias(c) for c in ("ord", "_bucket")])
+        rows = rows.unionByName(tick, allowMissingColumns=True)
     rows = rows.withWatermark("ts", lifetime).withColumn("_ms", F.unix_millis("ts"))
-    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), fold.OUTPUT, f"{LATE} string"])
+    schema = f"_key string, {fold.OUTPUT}, {LATE} string"
     names = [c.split()[0] for c in schema.split(", ")]
-    walk = Walk(fold, len(keys), names, milliseconds(delay), milliseconds(lifetime), milliseconds(idle))
+    walk = Buckets(fold, 1, names, milliseconds(delay), milliseconds(lifetime), milliseconds(idle))
 
     def walked(key, frames, group):
         yield from walk(key, frames, group)
 
-    return rows.groupBy(*keys).applyInPandasWithState(
+    out = rows.groupBy("_bucket").applyInPandasWithState(
         walked, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    of_keys = StructType([events.schema[k] for k in keys])
+    return out.withColumn("_key", F.from_json("_key", of_keys)).select("_key.*", *names[1:])

@@ -216,3 +216,64 @@ def test_packets_in_any_order_equal_the_batch(spark, tmp_path):
     out, late = run.run_ordered(spark, build, "test")
     assert batch.count() > 0 and late.count() == 0
     assert sorted(map(str, out.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_many_keys_share_a_few_state_rows(spark, tmp_path):
+    """5000 keys in four buckets: each trigger calls the fold's function a few times and keeps four states."""
+    rng = random.Random(4)
+    rows = [(f"u{k}", rng.randrange(3000) + i, i, None) for k in range(5000) for i in range(2)]
+    rng.shuffle(rows)
+    path = str(tmp_path / "in")
+    write_batches(spark, path, [rows[i::2] for i in range(2)])
+    made = []
+
+    def build(ticks):
+        stream = run.files_stream(spark, path, spark.read.parquet(path).schema, 1)
+        made.append(ordered.in_order(stream, ["uid"], Listing(), "1 hour", "1 day", "2 hours", ticks, buckets=4))
+        return made[-1]
+
+    out, late = run.run_ordered(spark, build, "shared")
+    assert late.count() == 0
+    first = {}
+    for uid, seconds, place, _ in rows:
+        first.setdefault(uid, []).append((seconds, place))
+    want = {uid: ",".join(str(p) for _, p in sorted(two)) for uid, two in first.items()}
+    assert {r.uid: r.places for r in out.collect()} == want
+    assert made[0].schema.names == ["uid", "places", "late_row"]
+
+
+def test_keys_of_a_bucket_do_not_see_each_other():
+    import json
+
+    import pandas as pd
+
+    rng = random.Random(6)
+    columns = ["_key", "places", "late_row"]
+    for _ in range(60):
+        rows = [(f"u{rng.randrange(9)}", t, i) for i, t in enumerate(rng.sample(range(10_000, 30_000), 60))]
+        walk, group, out = ordered.Buckets(Listing(), 1, columns, 1000, 5000, 700), Group(0), []
+        frames = {}
+
+        def call(part, walk=walk, group=group, out=out):
+            frame = pd.DataFrame([(k, t, i, json.dumps({"ord": i})) for k, t, i in part], columns=["_key", "_ms", "ord", "_row"])
+            for f in walk((0,), iter([frame]), group):
+                out.extend(f.itertuples(index=False, name=None))
+
+        alone = []
+        for key in sorted({k for k, *_ in rows}):
+            frames[key] = [r for r in rows if r[0] == key]
+        seen, at = 0, 0
+        singles = {k: (ordered.Walk(Listing(), 1, columns, 1000, 5000, 700), Group(0)) for k in frames}
+        while at < len(rows) or group.timer is not None:
+            part, at = rows[at : at + 7], at + 7
+            call([*part, (None, 0, 0)])
+            for key, (single, own) in singles.items():
+                mine = pd.DataFrame([(t, i, json.dumps({"ord": i})) for k, t, i in part if k == key], columns=["_ms", "ord", "_row"])
+                if len(mine) or own.timer is not None:
+                    for f in single((key,), iter([mine]), own):
+                        alone.extend(f.itertuples(index=False, name=None))
+            seen = max([seen, *(t for _, t, _ in part)])
+            mark = 10**9 if at >= len(rows) else max(group.watermark, seen - 5000)
+            for each in (group, *(g for _, g in singles.values())):
+                each.watermark = mark
+        assert sorted(map(str, out)) == sorted(map(str, alone)) and not group.exists
