@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mxposture.constants import EXPIRY_WARNING_SECONDS, MAX_CHAIN_DEPTH
 from mxposture.functions import identity, tls
 from mxposture.operators.scale import running
-from mxposture.session import checkpointed
+from mxposture.session import checkpointed, settled
 
 CERTIFICATE_MIME = [
     "application/pkix-cert",
@@ -250,21 +250,22 @@ def _reached(certs: DataFrame, anchors: DataFrame, rounds: int) -> DataFrame:
     """Subjects of each connection that lead to an anchor through its own intermediates.
 
     Breadth-first from the anchors: one semi join per hop, never a list of paths. A subject is
-    kept once, so cross-signed certificates do not multiply.
+    kept once, so cross-signed certificates do not multiply. What a hop reads is worked out before the first, and
+    the hops are shuffled: the planner takes their sides for smaller than they are and would send them around.
     """
     cols = ["uid", "role", "subject", "issuer"]
-    open_ = certs.where(F.col("chain_index") > 0).select(*cols).distinct()
+    open_ = settled(certs.where(F.col("chain_index") > 0).select(*cols).distinct())
     trusted = anchors.select(F.col("subject").alias("issuer")).distinct()
-    frontier = open_.join(trusted, "issuer", "left_semi").select("uid", "role", "subject").distinct()
+    frontier = open_.join(trusted.hint("merge"), "issuer", "left_semi").select("uid", "role", "subject").distinct()
     frontier = checkpointed(frontier)
     found = frontier
     for _ in range(rounds - 1):
         if frontier.isEmpty():
             break
         step = frontier.withColumnRenamed("subject", "issuer")
-        grown = open_.join(step, ["uid", "role", "issuer"], "left_semi")
+        grown = open_.join(step.hint("merge"), ["uid", "role", "issuer"], "left_semi")
         frontier = grown.select("uid", "role", "subject").distinct()
-        frontier = frontier.join(found, ["uid", "role", "subject"], "left_anti")
+        frontier = frontier.join(found.hint("merge"), ["uid", "role", "subject"], "left_anti")
         frontier = checkpointed(frontier)
         found = found.unionByName(frontier)
     return found

@@ -9,6 +9,7 @@ from mxposture.functions import identity, tls
 from mxposture.operators import certificates as ops
 from mxposture.plans.adapters import VIEWS, view
 from mxposture.plans.registry import query
+from mxposture.session import settled
 
 # Extracted certificates: digests are padded numbers, so both engines write them alike.
 VIEWS["x_extracted"] = """
@@ -72,7 +73,7 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certificates with path and identity outcomes, shared by rule and report queries."""
-    certs = certificates(spark, sf_dir)
+    certs = settled(certificates(spark, sf_dir))
     anchors = view(spark, sf_dir, "x_anchors")
     capture = ops.validate_paths(certs, anchors, F.col("capture_time"))
     analysis = ops.validate_paths(certs, anchors, F.lit(ANALYSIS_TIME).cast("timestamp"))
@@ -256,7 +257,7 @@ FROM (SELECT *, r0 OR r1 OR r2 OR r3 AS named,
 
 @query("j25_chain_walk", _PATHS)
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    certs = certificates(spark, sf_dir)
+    certs = settled(certificates(spark, sf_dir))
     out = ops.validate_paths(certs, view(spark, sf_dir, "x_anchors"), F.col("capture_time"))
     readable = certs.where("syntax_valid").select("uid", "role", "der_sha256", "cert_no")
     return out.join(readable, ["uid", "role", "der_sha256"]).select(

@@ -116,3 +116,22 @@ def test_join_few_by_real_size(spark, monkeypatch):
         assert out.where("twice = 2 * k").count() == 1000
         plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def test_chain_walk_works_its_input_out_once(spark):
+    from mxposture.operators import certificates
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(subject):
+        read.add(1)
+        return subject
+
+    # Ten chains of six certificates; the sixth's issuer is an anchor.
+    rows = [(f"u{k}", "server", i, f"s{i}", f"s{i + 1}") for k in range(10) for i in range(6)]
+    certs = spark.createDataFrame(rows, "uid string, role string, chain_index int, subject string, issuer string")
+    certs = certs.withColumn("subject", F.udf(seen, "string")("subject"))
+    anchors = spark.createDataFrame([("s6",)], "subject string")
+    found = certificates._reached(certs, anchors, 16)
+    assert {(r.uid, r.subject) for r in found.collect()} == {(f"u{k}", f"s{i}") for k in range(10) for i in range(1, 6)}
+    assert read.value <= 60
