@@ -21,6 +21,18 @@ def with_chunk(df: DataFrame, order: str, width: int = CHUNK_ROWS) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
+def large_keys(df: DataFrame, keys: list[str], most: int = CHUNK_ROWS) -> DataFrame:
+    """Keys with over ``most`` rows, worked out now; at most the rows over ``most`` keys are that large."""
+    return settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
+
+
+def marked_large(df: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """``df`` with ``_large``: true on rows of a large key, else null."""
+    mark = large.withColumn("_large", F.lit(True))
+    matched = [df[k].eqNullSafe(mark[k]) for k in keys]
+    return df.join(mark, matched, "left").select(*[df[c] for c in df.columns], "_large")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -29,14 +41,46 @@ def running(
     lasts: dict[str, Column] | None = None,
     width: int = CHUNK_ROWS,
     chunk: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums and last non-null values per key up to and including the row.
 
     The first order column is the position in the key, unless ``chunk`` (any non-decreasing
-    function of the order) is given. One exchange moves the rows (by key and chunk); what passes
-    from chunk to chunk is one row per chunk.
+    function of the order) is given. Keys of up to ``width`` rows take a plain window, so one
+    exchange by key serves them and whatever follows by key. Larger ones are cut into chunks: one
+    exchange moves their rows (by key and chunk), and what passes from chunk to chunk is one row
+    per chunk. ``counted``, a table with the same keys and at least as many rows of each, is
+    counted instead of ``df`` where that is cheaper.
     """
     sums, lasts = sums or {}, lasts or {}
+    large = large_keys(df if counted is None else counted, keys, width)
+    if large.isEmpty():
+        return _running_whole(df, keys, order, sums, lasts)
+    marked = marked_large(df, keys, large)
+    plain = _running_whole(marked.where("_large IS NULL").drop("_large"), keys, order, sums, lasts)
+    cut = _running_chunks(marked.where("_large").drop("_large"), keys, order, sums, lasts, width, chunk)
+    return plain.unionByName(cut)
+
+
+def _running_whole(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns(
+        {
+            **{n: F.sum(e.cast("bigint")).over(so_far) for n, e in sums.items()},
+            **{n: F.last(e, ignorenulls=True).over(so_far) for n, e in lasts.items()},
+        }
+    )
+
+
+def _running_chunks(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column],
+    lasts: dict[str, Column],
+    width: int,
+    chunk: Column | None,
+) -> DataFrame:
     df = with_chunk(df, order[0], width) if chunk is None else df.withColumn("_chunk", chunk)
     df = df.withColumns({f"_v_{n}": e.cast("bigint") for n, e in sums.items()})
     df = df.withColumns({f"_v_{n}": e for n, e in lasts.items()})
@@ -139,6 +183,17 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(few.hint("broadcast" if few.count() <= FEW_ROWS else "merge"), keys)
 
 
+def join_named(rows: DataFrame, side: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """Left join on a string ``key`` that many ``rows`` lack: these match nothing and are dealt by ``spread``.
+
+    A plain left join sends every row without a key to one task.
+    """
+    dealt = F.concat(F.lit("?"), F.xxhash64(*spread).cast("string"))
+    left = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), key), dealt))
+    right = side.withColumn("_key", F.concat(F.lit("="), key)).drop(key)
+    return left.join(right, "_key", "left").drop("_key")
+
+
 def bucketed(df: DataFrame, value: str, name: str, edges: int = EDGES) -> DataFrame:
     """``name``: a bucket that does not decrease with ``value``, cut where the values are.
 
@@ -226,22 +281,22 @@ def global_position(df: DataFrame, order: list, name: str = "position") -> DataF
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, most: int = CHUNK_ROWS) -> DataFrame:
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str, most: int = CHUNK_ROWS, large: DataFrame | None = None
+) -> DataFrame:
     """``row_number`` of each key in ``order``, no key of any size in one task.
 
     Keys of up to ``most`` rows are numbered by a plain window. The rows of larger ones are dealt by range of
     (key, order) into sorted pieces; a piece numbers its own rows of a key and adds how many the pieces before
     hold, which is one small row per piece and key. Nulls in ``order`` come first, rows of equal order stay
-    together.
+    together. ``large`` names the larger keys, or some of their columns, where they are known already.
     """
     by_key = Window.partitionBy(*keys).orderBy(*order)
-    large = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
-    # At most the rows over ``most`` keys are that large.
+    if large is None:
+        large = large_keys(df, keys, most)
     if large.isEmpty():
         return df.withColumn(name, F.row_number().over(by_key))
-    mark = large.withColumn("_large", F.lit(True))
-    matched = [df[k].eqNullSafe(mark[k]) for k in keys]
-    marked = df.join(mark, matched, "left").select(*[df[c] for c in df.columns], "_large")
+    marked = marked_large(df, large.columns, large)
     plain = marked.where("_large IS NULL").drop("_large").withColumn(name, F.row_number().over(by_key))
     pieces = settled(
         marked.where("_large").drop("_large").repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())

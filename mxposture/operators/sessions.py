@@ -364,7 +364,7 @@ def _filled(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags.items()})
 
 
-def _awaited(events: DataFrame, width: int) -> DataFrame:
+def _awaited(events: DataFrame, width: int, counted: DataFrame | None = None) -> DataFrame:
     """Events with the number of upgrade requests so far and whether a reply can answer one.
 
     A reply answers the latest request. IMAP replies must carry its tag (when both have one) and
@@ -378,6 +378,7 @@ def _awaited(events: DataFrame, width: int) -> DataFrame:
         {"_epoch": F.when(F.col("_upgrade"), 1).otherwise(0)},
         {"_request": tagged},
         width,
+        counted=counted,
     )
     wanted, tag = F.col("_request.tag"), F.col("tag")
     final = (wanted.isNull() | tag.isNull() | (tag == wanted)) & (
@@ -388,15 +389,15 @@ def _awaited(events: DataFrame, width: int) -> DataFrame:
     return events.withColumn("_answer", F.coalesce(answer, F.lit(False)))
 
 
-def upgrade_outcomes(events: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
+def upgrade_outcomes(events: DataFrame, width: int = CHUNK_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Upgrade state per session from events (uid, ord, protocol, kind, command, reply_code,
     text, tag, client_hello).
 
     Acceptance is the first positive answer or explicit start event. Credentials before it are a
     fallback; risky commands after it without a client hello are a violation. Every step is a
-    min/max aggregate, first per (session, request), then per session.
+    min/max aggregate, first per (session, request), then per session. ``counted``: see ``scale.running``.
     """
-    rows = _awaited(_event_facts(events), width)
+    rows = _awaited(_event_facts(events), width, events if counted is None else counted)
     ord_ = F.col("ord")
     per_request = rows.groupBy("uid", "_epoch").agg(
         F.max("protocol").alias("protocol"),
@@ -456,7 +457,7 @@ def upgrade_frames(
     events: DataFrame, outcomes: DataFrame, hello_frames: DataFrame | None = None, width: int = CHUNK_ROWS
 ) -> DataFrame:
     """Distinct frame numbers behind an upgrade outcome, as rows."""
-    rows = _awaited(_event_facts(events), width)
+    rows = _awaited(_event_facts(events), width, events)
     numbered = Window.partitionBy("uid", "_epoch").orderBy("ord")
     answers = (
         rows.where(F.col("_answer"))
@@ -558,7 +559,7 @@ def build_sessions(
     )
     named = base.select("uid", "protocol", "client_hello")
     dialogue = events.drop("protocol", "client_hello").join(named, "uid")
-    outcome = upgrade_outcomes(dialogue, width).select(
+    outcome = upgrade_outcomes(dialogue, width, counted=events).select(
         "uid",
         F.col("state").alias("upgrade_state"),
         F.col("downgrade_consistent"),

@@ -135,3 +135,34 @@ def test_chain_walk_works_its_input_out_once(spark):
     found = certificates._reached(certs, anchors, 16)
     assert {(r.uid, r.subject) for r in found.collect()} == {(f"u{k}", f"s{i}") for k in range(10) for i in range(1, 6)}
     assert read.value <= 60
+
+
+def test_keys_of_ordinary_size_are_moved_once_for_running_values(spark):
+    # Rows that no broadcast or local shortcut covers; what follows by key needs no further exchange.
+    df = skewed(spark).repartition(4)
+    out = scale.running(df, ["k"], ["ord"], {"s": F.coalesce("v", F.lit(0))}, {"l": F.col("v")})
+    sums = out.groupBy("k", "s").agg(F.max("l").alias("l")).groupBy("k").agg(F.max("l").alias("l"))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    # A table with at least as many rows of each key may be counted in its place.
+    some = df.where("ord < 5")
+    want = scale.running(some, ["k"], ["ord"], {"s": F.lit(1)}).select("k", "ord", "s").collect()
+    got = scale.running(some, ["k"], ["ord"], {"s": F.lit(1)}, width=9, counted=df).select("k", "ord", "s").collect()
+    assert sorted(got) == sorted(want)
+
+
+def test_rows_without_a_key_are_not_joined_in_one_task(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(8000).select("id", F.when(F.col("id") % 100 == 0, F.concat(F.lit("d"), F.col("id") % 7)).alias("t"))
+        side = spark.createDataFrame([("d1", 1), ("d2", 2), (None, 9)], "t string, hit int")
+        out = scale.join_named(rows, side, "t", ["id"]).withColumn("part", F.spark_partition_id())
+        assert max(r["count"] for r in out.groupBy("part").count().collect()) < 4000
+        plain = rows.join(side, "t", "left")
+        assert sorted(out.select("id", "t", "hit").collect()) == sorted(plain.select("id", "t", "hit").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
