@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mxposture.constants import EXPIRY_WARNING_SECONDS, MAX_CHAIN_DEPTH
 from mxposture.functions import identity, tls
-from mxposture.operators.scale import running
+from mxposture.operators.scale import join_named, running
 from mxposture.session import checkpointed, settled
 
 CERTIFICATE_MIME = [
@@ -67,26 +67,22 @@ def match_files(tls_rows: DataFrame, files: DataFrame, extracted: DataFrame) ->
     by SHA-256, then SHA-1, then file id; a certificate counts once per connection.
     """
     owners = F.when(F.col("uid").isNotNull(), F.array("uid")).otherwise(F.col("conn_uids"))
-    rows = files.withColumn("uid", F.explode(owners))
-    rows = rows.join(tls_rows.select("uid").distinct(), "uid", "left_semi")
+    owned = files.withColumn("uid", F.explode(owners))
+    rows = owned.join(tls_rows.select("uid").distinct(), "uid", "left_semi")
     by_sha = digest_index(extracted)
     by_id = extracted.groupBy("fuid").agg(F.max("sha256").alias("_by_id"))
 
     def digest(alias: str, column: str) -> DataFrame:
         return by_sha.select(F.col("token").alias(column), F.col("der_sha256").alias(alias))
 
-    rows = (
-        rows.withColumns({"_t64": F.lower("sha256"), "_t40": F.lower("sha1")})
-        .join(digest("_by64", "_t64"), "_t64", "left")
-        .join(digest("_by40", "_t40"), "_t40", "left")
-        .join(by_id, "fuid", "left")
-        .withColumn("der_sha256", F.coalesce("_by64", "_by40", "_by_id"))
-        .where(F.col("der_sha256").isNotNull())
-    )
+    rows = rows.withColumns({"_t64": F.lower("sha256"), "_t40": F.lower("sha1")})
+    for side, key in ((digest("_by64", "_t64"), "_t64"), (digest("_by40", "_t40"), "_t40"), (by_id, "fuid")):
+        rows = join_named(rows, side, key, ["uid", "ord", "fuid"])
+    rows = rows.withColumn("der_sha256", F.coalesce("_by64", "_by40", "_by_id")).where(F.col("der_sha256").isNotNull())
     first = rows.groupBy("uid", "der_sha256").agg(
         F.min("ord").alias("ord"), F.max(F.coalesce("truncated", F.lit(False))).alias("truncated")
     )
-    numbered = running(first, ["uid"], ["ord", "der_sha256"], {"_n": F.lit(1)})
+    numbered = running(first, ["uid"], ["ord", "der_sha256"], {"_n": F.lit(1)}, counted=owned)
     return numbered.select(
         "uid",
         F.lit("server").alias("role"),
