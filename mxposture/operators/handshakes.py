@@ -9,7 +9,7 @@ from mxposture.constants import HANDSHAKE_TYPE_KINDS
 from mxposture.functions import tls
 from mxposture.functions.coerce import int_list
 from mxposture.functions.states import lookup
-from mxposture.operators.scale import numbered
+from mxposture.operators.scale import large_keys, numbered
 from mxposture.sources.lookups import CIPHER_SUITES, GROUPS
 
 
@@ -139,16 +139,24 @@ def frame_message_rows(frames: DataFrame, tie: list[str] | None = None) -> DataF
     )
 
 
-def attach_frames(messages: DataFrame, frames: DataFrame, tie: list[str] | None = None) -> DataFrame:
+def attach_frames(
+    messages: DataFrame, frames: DataFrame, tie: list[str] | None = None, long: DataFrame | None = None
+) -> DataFrame:
     """Give the n-th message of a kind the n-th frame of that kind.
 
-    Retry requests beyond the retry messages take the next server hello and rewrite its kind.
+    Retry requests beyond the retry messages take the next server hello and rewrite its kind. ``long`` names
+    the uids with very many messages where they are known (see ``scale.large_keys``).
     """
     tie = tie or []
     order = ["frame_number", *tie, "slot"]
-    rows = frame_message_rows(frames, tie)
-    rows = numbered(rows, ["uid", "kind"], order, "_n")
-    real = numbered(messages.where(F.col("kind") != "direction_flip"), ["uid", "kind"], ["position"], "_n")
+    real = messages.where(F.col("kind") != "direction_flip")
+    # A connection's rows bound those of each kind, and a list of types is longer than the messages it names.
+    busy = large_keys(frames, ["uid"], weight=F.length(F.col("handshake_types").cast("string")))
+    long = large_keys(real, ["uid"]) if long is None else long
+    # Dealt by uid, all steps but the match itself stay in place.
+    rows = frame_message_rows(frames.repartition("uid") if busy.isEmpty() else frames, tie)
+    rows = numbered(rows, ["uid", "kind"], order, "_n", large=busy)
+    real = numbered(real, ["uid", "kind"], ["position"], "_n", large=long)
     retries = (
         real.where(F.col("kind") == "hello_retry_request")
         .groupBy("uid")
@@ -157,7 +165,7 @@ def attach_frames(messages: DataFrame, frames: DataFrame, tie: list[str] | None
     rows = rows.join(retries, "uid", "left").withColumn("_retries", F.coalesce("_retries", F.lit(0)))
     overflow = (F.col("kind") == "hello_retry_request") & (F.col("_n") > F.col("_retries"))
     queue = F.when(overflow, "server_hello").otherwise(F.col("kind"))
-    rows = numbered(rows.withColumn("_queue", queue).drop("_n"), ["uid", "_queue"], order, "_n")
+    rows = numbered(rows.withColumn("_queue", queue).drop("_n"), ["uid", "_queue"], order, "_n", large=busy)
     taken = rows.select(
         "uid",
         F.col("_queue").alias("kind"),

@@ -21,9 +21,13 @@ def with_chunk(df: DataFrame, order: str, width: int = CHUNK_ROWS) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
-def large_keys(df: DataFrame, keys: list[str], most: int = CHUNK_ROWS) -> DataFrame:
-    """Keys with over ``most`` rows, worked out now; at most the rows over ``most`` keys are that large."""
-    return settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
+def large_keys(df: DataFrame, keys: list[str], most: int = CHUNK_ROWS, weight: Column | None = None) -> DataFrame:
+    """Keys with over ``most`` rows, worked out now; at most the rows over ``most`` keys are that large.
+
+    ``weight`` bounds the rows that a row will become, where it is cheaper to count before they are made.
+    """
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return settled(df.groupBy(*keys).agg(rows.alias("_n")).where(F.col("_n") > most).drop("_n"))
 
 
 def marked_large(df: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mxposture.functions import tls
 from mxposture.operators import handshakes as ops
+from mxposture.operators.scale import large_keys
 from mxposture.plans.adapters import VIEWS, view
 from mxposture.plans.flow_queries import built_flows
 from mxposture.plans.registry import query
@@ -210,8 +211,11 @@ WITH m AS (SELECT uid, generate_subscripts(string_split(ssl_history, ''), 1) - 1
 
 
 def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = ops.message_rows(view(spark, sf_dir, "x_ssl"), ["uid"])
-    return ops.attach_frames(messages, view(spark, sf_dir, "x_hs_frames"), ["tie"])
+    ssl = view(spark, sf_dir, "x_ssl").select("uid", "ssl_history")
+    # Dealt before the histories become some seven rows each.
+    messages = ops.message_rows(ssl.repartition("uid"), ["uid"])
+    long = large_keys(ssl, ["uid"], weight=F.length("ssl_history"))
+    return ops.attach_frames(messages, view(spark, sf_dir, "x_hs_frames"), ["tie"], long)
 
 
 @query("j07_nth_frame_attach", _ATTACH + "SELECT * FROM y")

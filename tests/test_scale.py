@@ -166,3 +166,11 @@ def test_rows_without_a_key_are_not_joined_in_one_task(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_large_keys_are_bounded_before_their_rows_are_made(spark):
+    df = spark.createDataFrame([("a", "xxxx"), ("a", "xx"), ("b", "xxx"), ("c", None)], "k string, s string")
+    made = df.select("k", F.explode(F.split("s", "(?!^)")))
+    counted = scale.large_keys(made, ["k"], most=5).collect()
+    assert counted == scale.large_keys(df, ["k"], most=5, weight=F.length("s")).collect()
+    assert [r.k for r in counted] == ["a"]
