@@ -14,6 +14,7 @@ from mxposture.constants import CHECK_CATEGORY, STATE_RANK, USABLE_STATES
 from mxposture.functions.states import predicate, sql_literal, state_from_rank, state_rank
 from mxposture.functions.text import joined_digest
 from mxposture.operators.certificates import leaf_per_uid
+from mxposture.session import settled
 from mxposture.sources.rulepacks import Predicate, Rule, RulePack
 
 # Evaluation context: one struct per evidence kind.
@@ -456,7 +457,13 @@ def evaluate_pack(
     clock: Column,
     capture: Column,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings and checks of all targets the pack names."""
+    """Findings and checks of all targets the pack names.
+
+    Each target meets the evidence of all four kinds, so that is worked out once, before the first.
+    """
+    flows, sessions, handshakes, certificates = (
+        settled(evidence) for evidence in (flows, sessions, handshakes, certificates)
+    )
     found, seen = None, None
     for target in dict.fromkeys(r.target for r in pack.rules):
         judged = evaluate(

@@ -168,3 +168,19 @@ def test_bad_packs_are_refused():
     ):
         with pytest.raises(ValueError):
             packs.check_pack(bad)
+
+
+def test_evidence_is_worked_out_once_for_all_targets(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from mxposture.operators import rules as ops
+    from mxposture.plans import registry
+
+    if not registry.QUERIES:
+        registry.load_all()
+    from mxposture.plans import rule_queries
+
+    structs = rule_queries._structs(spark, sf_dir)
+    _, seen = ops.evaluate_pack(rule_queries._PACK, *structs, rule_queries.clock(), F.lit("capture"))
+    # What the targets read has no way back to the tables.
+    assert "FileScan" not in seen._jdf.queryExecution().executedPlan().toString()
