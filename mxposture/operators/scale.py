@@ -31,8 +31,8 @@ def large_keys(df: DataFrame, keys: list[str], most: int = CHUNK_ROWS, weight: C
 
 
 def marked_large(df: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
-    """``df`` with ``_large``: true on rows of a large key, else null."""
-    mark = large.withColumn("_large", F.lit(True))
+    """``df`` with ``_large``: true on rows of a large key, else null; a large key's rows stay where they are."""
+    mark = hinted(large.withColumn("_large", F.lit(True)), large.count())
     matched = [df[k].eqNullSafe(mark[k]) for k in keys]
     return df.join(mark, matched, "left").select(*[df[c] for c in df.columns], "_large")
 
@@ -177,14 +177,20 @@ EDGES = 1024
 FEW_ROWS = 100_000
 
 
-def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a side that has about one row per key; the many rows are never the side sent around.
+def hinted(few: DataFrame, rows: int) -> DataFrame:
+    """``few`` as a join side that goes to every task only if its ``rows`` (or a bound of them) are few."""
+    return few.hint("broadcast" if rows <= FEW_ROWS else "merge")
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """Join with a side that has about one row per key; the many rows are never the side sent around.
 
     Spark reckons sizes from the files that were read, and rows that were exploded or decoded since count for
     little there: left to it, ``rows`` may be gathered by the driver. ``few``, which must be settled, is counted
-    and goes to every task if it really is small; otherwise both sides are shuffled.
+    and goes to every task if it really is small; otherwise both sides are shuffled. ``most`` bounds its rows
+    where that is known without working it out.
     """
-    return rows.join(few.hint("broadcast" if few.count() <= FEW_ROWS else "merge"), keys)
+    return rows.join(hinted(few, few.count() if most is None else most), keys, how)
 
 
 def join_named(rows: DataFrame, side: DataFrame, key: str, spread: list[str]) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mxposture.operators.scale import CHUNK_ROWS, numbered
 from mxposture.plans.adapters import VIEWS, table, view
 from mxposture.plans.registry import query
+from mxposture.session import settled
 from mxposture.streaming import online, protocols, reconstruction, run, versions
 
 RATES = {
@@ -59,10 +61,33 @@ FROM lineitem
 """
 
 
+def hot_packets(spark: SparkSession, sf_dir: str, most: int = CHUNK_ROWS) -> DataFrame:
+    """Rows of ``x_packets_hot``; its plain window would number a third of the table in one task.
+
+    The walk reads the packets several times, so they are numbered once.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumn(
+        "of", F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey"))
+    )
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    hot = F.col("l_orderkey") % 3 == 0
+    step = 10 * (F.floor(F.col("l_orderkey") / 3) % 50) + 10 * (F.col("l_linenumber") % 5)
+    size = F.when(F.col("l_partkey") % 5 == 0, 20).when(F.col("l_partkey") % 5 == 1, 0).otherwise(10)
+    rows = numbered(lines.select("of", *order), ["of"], order, "ord", most).select(
+        F.when(hot, "hot").otherwise(F.col("l_orderkey").cast("string")).alias("uid"),
+        (hot | (F.col("l_suppkey") % 2 == 0)).alias("is_orig"),
+        F.col("ord").cast("bigint").alias("ord"),
+        F.when(F.col("l_partkey") % 97 == 0, "S").otherwise("A").alias("flags"),
+        (1 + step).cast("bigint").alias("seq"),
+        size.cast("bigint").alias("len"),
+    )
+    return settled(rows)
+
+
 @query("st02_hot_direction", _WALK.replace("x_packets", "x_packets_hot"))
 def hot_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all packets in one direction, walked in chunks of a thousand."""
-    out = reconstruction.reconstruct(view(spark, sf_dir, "x_packets_hot"), width=1000)
+    out = reconstruction.reconstruct(hot_packets(spark, sf_dir), width=1000)
     return out.select("uid", "is_orig", "ord", "event_type", "len")
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mxposture.operators.scale import CHUNK_ROWS
+from mxposture.operators.scale import CHUNK_ROWS, join_few
 from mxposture.session import settled
 from mxposture.streaming.ordered import Fold, in_order
 
@@ -243,8 +243,8 @@ def reconstruct(packets: DataFrame, width: int = CHUNK_ROWS, chunk: Column | Non
     # Directions of one chunk start from nothing and need no summary.
     several = rows.groupBy(*KEY).agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b").select(*KEY)
     several = settled(several)
-    short = rows.join(several, KEY, "left_anti")
-    rows = settled(rows.join(several, KEY, "left_semi"))
+    short = join_few(rows, several, KEY, "left_anti")
+    rows = settled(join_few(rows, several, KEY, "left_semi"))
     walked = settled(_with_states(rows, None).mapInPandas(_summaries, _WALKED))
     while True:
         starts = settled(walked.groupBy(*KEY).applyInPandas(_fold, _STARTS))

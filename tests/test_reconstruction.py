@@ -101,3 +101,14 @@ def test_rows_without_numbers_are_left_out(spark):
     assert [tuple(r) for r in out] == [(4, "duplicate")]
     assert reconstruct(spark.createDataFrame([], SCHEMA)).count() == 0
     assert reconstruct(spark.createDataFrame(rows[:1], SCHEMA), chunk=F.lit(5)).count() == 0
+
+
+def test_the_hot_direction_is_numbered_in_pieces(spark, sf_dir):
+    from mxposture.plans.adapters import view
+    from mxposture.plans.stream_queries import hot_packets
+
+    want = view(spark, sf_dir, "x_packets_hot")
+    for most in (300, 100_000):
+        rows = hot_packets(spark, sf_dir, most)
+        assert rows.dtypes == want.dtypes
+        assert sorted(rows.collect()) == sorted(want.collect())

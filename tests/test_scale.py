@@ -174,3 +174,16 @@ def test_large_keys_are_bounded_before_their_rows_are_made(spark):
     counted = scale.large_keys(made, ["k"], most=5).collect()
     assert counted == scale.large_keys(df, ["k"], most=5, weight=F.length("s")).collect()
     assert [r.k for r in counted] == ["a"]
+
+
+def test_rows_of_a_large_key_are_not_gathered_to_be_marked(spark):
+    df = skewed(spark)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = scale.marked_large(df, ["k"], scale.large_keys(df, ["k"], 1000))
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.k for r in marked.where("_large").select("k").distinct().collect()} == {"hot"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
