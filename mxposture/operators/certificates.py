@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mxposture.constants import EXPIRY_WARNING_SECONDS, MAX_CHAIN_DEPTH
 from mxposture.functions import identity, tls
-from mxposture.operators.scale import join_named, running
+from mxposture.operators.scale import join_few, join_named, running
 from mxposture.session import checkpointed, settled
 
 CERTIFICATE_MIME = [
@@ -50,14 +52,24 @@ def digest_index(extracted: DataFrame) -> DataFrame:
 
 def match_fingerprints(rows: DataFrame, extracted: DataFrame) -> DataFrame:
     """Certificate places whose fingerprint names an extracted certificate."""
-    token = F.lower(F.trim(F.regexp_replace("fingerprint", ":", "")))
+    token = F.lower(F.trim(F.replace("fingerprint", F.lit(":"), F.lit(""))))
     keyed = rows.withColumn("token", token).where(F.length("token").isin(64, 40))
-    joined = keyed.join(digest_index(extracted), "token").drop("token", "fingerprint")
-    return distinct_places(joined)
+    # A certificate has two tokens.
+    joined = join_few(keyed, digest_index(extracted), ["token"], most=2 * extracted.count())
+    return distinct_places(joined.drop("token", "fingerprint"), rows.count())
+
+
+PLACE = ["uid", "chain_index", "role", "der_sha256"]
+PLACES_PER_TASK = 200_000
 
 
-def distinct_places(rows: DataFrame) -> DataFrame:
-    return rows.dropDuplicates(["uid", "chain_index", "role", "der_sha256"])
+def distinct_places(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows that differ as places of certificates. Almost all do, so a task that reads files would hold all its
+    rows to drop nothing: they are dealt by place first, over as many tasks as ``most`` rows need."""
+    if most is None:
+        return rows.repartition(*PLACE).dropDuplicates(PLACE)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(most / PLACES_PER_TASK))
+    return rows.repartition(tasks, *PLACE).dropDuplicates(PLACE)
 
 
 def match_files(tls_rows: DataFrame, files: DataFrame, extracted: DataFrame) -> DataFrame:
