@@ -256,11 +256,12 @@ def _state_column(schema: T.StructType, path: str) -> Column:
     return F.coalesce(*options)
 
 
-def evaluate(context: DataFrame, pack: RulePack, target: str, clock: Column) -> DataFrame:
+def evaluate(context: DataFrame, pack: RulePack, target: str, clock: Column, references: bool = True) -> DataFrame:
     """One row per applicable (record, rule): result, check outcome, states and references.
 
     ``context`` keeps its other columns (capture id and the like). ``clock`` is the evaluation
-    instant; rows without one have no active rule.
+    instant; rows without one have no active rule. ``references`` are built for every rule and
+    record; where no findings are made of the rows, they can be left out.
     """
     rules = [r for r in pack.rules if r.target == target]
     schema = context.schema
@@ -285,7 +286,7 @@ def evaluate(context: DataFrame, pack: RulePack, target: str, clock: Column) ->
         rank = state_rank(F.when(value.isNull() & source.isin(USABLE_STATES), "indeterminate").otherwise(source))
         columns[f"_r{index}"] = F.coalesce(rank, F.lit(STATE_RANK["indeterminate"]))
     ready = context.withColumns(columns)
-    judged = ", ".join(_judge(rule, slot) for rule in rules)
+    judged = ", ".join(_judge(rule, slot, references) for rule in rules)
     keep = [F.col(f"`{c}`") for c in context.columns]
     applied = F.expr(f"filter(array({judged}), j -> j.check_outcome IS NOT NULL)")
     return ready.select(*keep, F.explode(applied).alias("_j")).select(*keep, "_j.*")
@@ -295,7 +296,7 @@ def _least(parts: list[str]) -> str:
     return parts[0] if len(parts) == 1 else f"least({', '.join(parts)})"
 
 
-def _judge(rule: Rule, slot) -> str:
+def _judge(rule: Rule, slot, with_references: bool = True) -> str:
     """SQL struct with the judgement of one rule over the predicate columns ``_p<n>`` (true, false,
     null for unusable) and their state ranks ``_r<n>``."""
     where = [slot(p) for p in rule.where]
@@ -343,8 +344,8 @@ def _judge(rule: Rule, slot) -> str:
     basis = _least([r for ranks in by_path.values() for r in ranks])
     return (
         f"named_struct('code', {sql_literal(rule.code)}, 'result', {result}, 'check_outcome', {outcome}, "
-        f"'coverage_rank', CAST({coverage} AS INT), 'basis_rank', CAST({basis} AS INT), "
-        f"'references', array({references}))"
+        f"'coverage_rank', CAST({coverage} AS INT), 'basis_rank', CAST({basis} AS INT)"
+        + (f", 'references', array({references}))" if with_references else ")")
     )
 
 

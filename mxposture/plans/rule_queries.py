@@ -237,10 +237,12 @@ def _structs(spark: SparkSession, sf_dir: str, certs: DataFrame | None = None):
     return flows, sessions, handshakes, ops.certificate_struct(certs)
 
 
-def judged(spark: SparkSession, sf_dir: str, target: str, profile: str = "ietf_current") -> DataFrame:
+def judged(
+    spark: SparkSession, sf_dir: str, target: str, profile: str = "ietf_current", references: bool = True
+) -> DataFrame:
     pack = built_in_pack(profile)
     context = ops.contexts(target, pack, *_structs(spark, sf_dir))
-    return ops.evaluate(context, pack, target, clock())
+    return ops.evaluate(context, pack, target, clock(), references)
 
 
 def _tallied(rows: DataFrame, number) -> DataFrame:
@@ -253,12 +255,12 @@ def _tallied(rows: DataFrame, number) -> DataFrame:
 
 @query("f29_handshake_rules", _tally(_HANDSHAKE_SOURCE, _HANDSHAKE_RULES))
 def handshake_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tallied(judged(spark, sf_dir, "handshake"), F.col("uid").cast("bigint"))
+    return _tallied(judged(spark, sf_dir, "handshake", references=False), F.col("uid").cast("bigint"))
 
 
 @query("f29_session_rules", _tally("SELECT * FROM y_session_contexts", _SESSION_RULES))
 def session_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tallied(judged(spark, sf_dir, "session"), F.col("uid").cast("bigint"))
+    return _tallied(judged(spark, sf_dir, "session", references=False), F.col("uid").cast("bigint"))
 
 
 @query("f29_certificate_rules", _tally(_CERT_SOURCE, _CERT_RULES))
@@ -272,7 +274,7 @@ def certificate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = RulePack(pack.profile, pack.version, pack.clock, tuple(kept))
     context = ops.contexts("certificate", pack, *_structs(spark, sf_dir))
     number = F.col("certificate.der_sha256").cast("bigint")
-    return _tallied(ops.evaluate(context, pack, "certificate", clock()), number)
+    return _tallied(ops.evaluate(context, pack, "certificate", clock(), references=False), number)
 
 
 @query(
@@ -530,5 +532,5 @@ def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.to_timestamp(F.date_add(F.to_date("o_orderdate"), 7000)).alias("capture_start")
     starts = orders.select(F.col("o_orderkey").cast("string").alias("uid"), start)
     context = ops.contexts("handshake", pack, *_structs(spark, sf_dir)).join(starts, "uid")
-    rows = ops.evaluate(context, pack, "handshake", F.col("capture_start"))
+    rows = ops.evaluate(context, pack, "handshake", F.col("capture_start"), references=False)
     return _tallied(rows, F.col("uid").cast("bigint"))

@@ -184,3 +184,19 @@ def test_evidence_is_worked_out_once_for_all_targets(spark, sf_dir):
     _, seen = ops.evaluate_pack(rule_queries._PACK, *structs, rule_queries.clock(), F.lit("capture"))
     # What the targets read has no way back to the tables.
     assert "FileScan" not in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tallies_build_no_references(spark, sf_dir):
+    from mxposture.plans import registry, rule_queries
+
+    registry.load_all()
+    full = rule_queries.judged(spark, sf_dir, "handshake")
+    short = rule_queries.judged(spark, sf_dir, "handshake", references=False)
+    assert [c for c in full.columns if c != "references"] == short.columns
+    number = full["uid"].cast("bigint")
+    rows = rule_queries._tallied(full, number)
+    tally = rule_queries.historical(spark, sf_dir)
+    assert "field_path" in rows._jdf.queryExecution().analyzed().toString()
+    assert "field_path" not in tally._jdf.queryExecution().analyzed().toString()
+    plain = rule_queries.handshake_rules(spark, sf_dir)
+    assert sorted(rows.collect()) == sorted(plain.collect())
