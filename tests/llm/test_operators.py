@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mxposture.llm import counts, decontam, elias, licenses, neardup, packing, pii, quality, queries, secrets, sharding
+from mxposture.llm import components as component_steps
 from mxposture.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -414,6 +415,17 @@ def test_components(spark):
     assert components(spark.createDataFrame(edges[:0], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("large", [True, False])
+def test_a_step_of_few_edges_is_one_task(spark, large):
+    rng = random.Random(2)
+    edges = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a > b}
+    rows = spark.createDataFrame(sorted(edges), "a long, b long").repartition(3)
+    few, many = component_steps._star(rows, large, 1), component_steps._star(rows, large, 2)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    plan = component_steps._star(rows.coalesce(1), large, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" not in plan
+
+
 # --- the registered queries and the pipeline ---------------------------------------------------------------
 
 
