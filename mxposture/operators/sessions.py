@@ -332,7 +332,8 @@ def _event_facts(events: DataFrame) -> DataFrame:
     smtp, imap, pop3 = (F.col("protocol") == p for p in ("smtp", "imap", "pop3"))
     verb = F.when(pop3, "STLS").otherwise("STARTTLS")
     words = F.split(F.when(smtp, text).otherwise(F.regexp_replace(text, ",", " ")), r"\s+")
-    offered = F.array_contains(words, verb)
+    # Splitting compiles its pattern on every row; a text that does not contain the verb has no such word.
+    offered = F.when(text.contains(verb), F.array_contains(words, verb)).otherwise(F.lit(False))
     capability, reply, request = kind == "capability", kind == "reply", kind == "request"
     upgrade = request & (command == verb)
     return _filled(
@@ -397,23 +398,34 @@ def upgrade_outcomes(events: DataFrame, width: int = CHUNK_ROWS, counted: DataFr
     fallback; risky commands after it without a client hello are a violation. Every step is a
     min/max aggregate, first per (session, request), then per session. ``counted``: see ``scale.running``.
     """
-    rows = _awaited(_event_facts(events), width, events if counted is None else counted)
+    own = {"protocol": F.max("protocol"), "client_hello": F.max(F.coalesce("client_hello", F.lit(False)))}
+    whole = _upgrade_marks(events, width, events if counted is None else counted, own)
+    return whole.withColumns(_upgrade_state()).drop("_asked", "_cred_first", "_risk_last")
+
+
+def _upgrade_marks(events: DataFrame, width: int, counted: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """Per session what its state follows from, and the maxima ``own``.
+
+    But for ``own`` all values are of fixed width, so the aggregates stay hash-based.
+    """
+    rows = _awaited(_event_facts(events), width, counted)
     ord_ = F.col("ord")
+    positive = F.col("_positive")
     per_request = rows.groupBy("uid", "_epoch").agg(
-        F.max("protocol").alias("protocol"),
-        F.max(F.coalesce("client_hello", F.lit(False))).alias("_hello"),
+        *[c.alias(n) for n, c in own.items()],
         F.max("_upgrade").alias("_requested"),
         F.max("_advert").alias("_advertised"),
         F.max("_asked").alias("_asked"),
-        F.min(F.when(F.col("_answer"), F.struct(ord_, F.col("_positive")))).alias("_first"),
+        F.min(F.when(F.col("_answer") & positive, ord_)).alias("_yes"),
+        F.min(F.when(F.col("_answer") & ~positive, ord_)).alias("_no"),
         F.min(F.when(F.col("kind") == "starttls", ord_)).alias("_explicit"),
         F.min(F.when(F.col("_credential"), ord_)).alias("_cred_first"),
         F.max(F.when(F.col("_credential") | F.col("_risky"), ord_)).alias("_risk_last"),
     )
-    answered = F.when(F.col("_first._positive"), F.col("_first.ord"))
-    whole = per_request.groupBy("uid").agg(
-        F.max("protocol").alias("protocol"),
-        F.max("_hello").alias("client_hello"),
+    # The first answer decides; of two in one place the negative.
+    answered = F.when(F.col("_no").isNull() | (F.col("_yes") < F.col("_no")), F.col("_yes"))
+    return per_request.groupBy("uid").agg(
+        *[F.max(n).alias(n) for n in own],
         F.max("_requested").alias("requested"),
         F.max("_advertised").alias("advertised"),
         F.max("_asked").alias("_asked"),
@@ -421,8 +433,13 @@ def upgrade_outcomes(events: DataFrame, width: int = CHUNK_ROWS, counted: DataFr
         F.min("_cred_first").alias("_cred_first"),
         F.max("_risk_last").alias("_risk_last"),
     )
+
+
+def _upgrade_state() -> dict[str, Column]:
+    """State columns from ``_upgrade_marks``, protocol and client_hello; null without marks."""
     accepted = F.col("accepted_at").isNotNull()
     hello = F.col("client_hello")
+    mail = F.col("protocol").isin(MAIL_PROTOCOLS)
     violation = accepted & ~hello & (F.col("_risk_last") > F.col("accepted_at"))
     fallback = F.col("_cred_first").isNotNull() & (
         ~accepted | (F.col("_cred_first") < F.col("accepted_at"))
@@ -435,22 +452,15 @@ def upgrade_outcomes(events: DataFrame, width: int = CHUNK_ROWS, counted: DataFr
         .when(F.col("requested"), "requested")
         .when(F.col("advertised"), "advertised")
     )
-    return (
-        whole.withColumn("state", F.when(F.col("protocol").isin(MAIL_PROTOCOLS), state))
-        .withColumn(
-            "evidence_state",
-            F.when(F.col("state").isNotNull(), "observed").otherwise("not_observable"),
-        )
-        .withColumn(
-            "downgrade_consistent",
-            F.col("_asked")
-            & ~F.col("advertised")
-            & F.col("requested")
-            & accepted
-            & F.coalesce(F.col("protocol").isin(MAIL_PROTOCOLS), F.lit(False)),
-        )
-        .drop("_asked", "_cred_first", "_risk_last")
+    state = F.when(mail, state)
+    downgrade = (
+        F.col("_asked") & ~F.col("advertised") & F.col("requested") & accepted & F.coalesce(mail, F.lit(False))
     )
+    return {
+        "state": state,
+        "evidence_state": F.when(state.isNotNull(), "observed").otherwise("not_observable"),
+        "downgrade_consistent": F.when(F.col("_asked").isNotNull(), downgrade),
+    }
 
 
 def upgrade_frames(
@@ -559,14 +569,13 @@ def build_sessions(
     )
     named = base.select("uid", "protocol", "client_hello")
     dialogue = events.drop("protocol", "client_hello").join(named, "uid")
-    outcome = upgrade_outcomes(dialogue, width, counted=events).select(
-        "uid",
-        F.col("state").alias("upgrade_state"),
-        F.col("downgrade_consistent"),
-        "accepted_at",
-    )
+    # Protocol and client hello are one per session, so the outcome takes them from there.
+    state = _upgrade_state()
+    joined = base.join(_upgrade_marks(dialogue, width, events, {}), "uid", "left")
+    columns = [*base.columns, state["state"].alias("upgrade_state")]
+    columns += [state["downgrade_consistent"].alias("downgrade_consistent"), "accepted_at"]
     return (
-        base.join(outcome, "uid", "left")
+        joined.select(*columns)
         .withColumn(
             "upgrade_evidence_state",
             F.when(F.col("upgrade_state").isNotNull(), "observed").otherwise("not_observable"),

@@ -94,6 +94,30 @@ def test_upgrade_frames(spark):
     assert sorted(r.frame_number for r in ops.upgrade_frames(events, out).collect()) == [4, 5, 6, 9]
 
 
+def test_built_sessions_take_the_walk_and_fixed_width_aggregates(spark):
+    rng = random.Random(13)
+    listed = {f"s{n}": dialogue(rng, f"s{n}") for n in range(150)}
+    # Two answers in one place: the negative one decides.
+    listed["tie"] = [
+        ("tie", 0, "smtp", "request", "STARTTLS", None, None, None, True, 1),
+        ("tie", 1, "smtp", "reply", None, 250, None, None, True, 2),
+        ("tie", 1, "smtp", "reply", None, 454, None, None, True, 3),
+    ]
+    expected = {uid: walk(rows) for uid, rows in listed.items() if uid != "tie"} | {"tie": "requested", "silent": None}
+    flows = [(uid, "a", 40000, "b", 465 if uid == "silent" else 25) for uid in expected]
+    facts = [(uid, uid == "silent" or listed[uid][0][8], None) for uid in expected]
+    out = ops.build_sessions(
+        spark.createDataFrame(flows, "uid string, orig_h string, orig_p int, resp_h string, resp_p int"),
+        spark.createDataFrame([r for rows in listed.values() for r in rows], SCHEMA),
+        tls_facts=spark.createDataFrame(facts, "uid string, client_hello boolean, next_protocol string"),
+    )
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.uid: r for r in out.collect()}
+    assert {uid: r.upgrade_state for uid, r in got.items()} == expected
+    assert got["silent"].downgrade_consistent is None and got["silent"].upgrade_evidence_state == "not_observable"
+    assert out.columns.count("client_hello") == 1
+
+
 # --- merge ------------------------------------------------------------------------------------
 
 MERGE = (
